@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Scratch, table
@@ -124,6 +124,10 @@ def allocation(both: np.ndarray, n: int, tau: int = TAU, most_probes: int = 600)
     return best[1], best[2]
 
 
+def _flip(part: int, key: Column):
+    return lambda x: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(x).alias("key"))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -147,7 +151,7 @@ def links(spark: SparkSession, fps: DataFrame, scratch: Scratch, tau: int = TAU)
     for k, mask, bits, t in use:
         masks = [_signed(sum(1 << b for b in c)) for d in range(t + 1) for c in combinations(bits, d)]
         key = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        flips.append(F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x, k=k, key=key: F.struct(F.lit(k).alias("part"), key.bitwiseXOR(x).alias("key"))))
+        flips.append(F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), _flip(k, key)))
     probes = known.select(F.col("fp").alias("a"), F.col("label").alias("la"), F.explode(F.concat(*flips)).alias("s")).select("s.part", "s.key", "a", "la")
     found = probes.join(stored, (probes["part"] == stored["part"]) & (probes["key"] == stored["key"]) & (F.col("la") != F.col("lb")) & (far <= tau))
     return star.unionByName(found.select("a", "b"))
