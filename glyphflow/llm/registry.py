@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets, simhash, substring, suffix
+from . import decontam, exact_dedup, langid, quality, secrets, sentencepiece, simhash, substring, suffix
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece.op1_sentencepiece,
+    "op3_quality": quality.op3_quality,
+    "op4_language_id": langid.op4_language_id,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_suffix_dedup": suffix.op7_suffix_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_decontaminate": decontam.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
