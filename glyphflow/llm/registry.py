@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, langid, quality, secrets, sentencepiece, simhash, substring, suffix
+from . import decontam, exact_dedup, html, langid, quality, secrets, sentencepiece, simhash, substring, suffix
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
+    "op2_html_extract": html.op2_html_extract,
     "op3_quality": quality.op3_quality,
     "op4_language_id": langid.op4_language_id,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
