@@ -1,7 +1,13 @@
-"""Removal of every byte covered by a 200-byte string that starts anywhere else.
+"""Removal of every byte covered by a 200-byte string that starts anywhere else, by deep-shallow suffix sorting.
 
-Open: strings are grouped by 128-bit digests of the compacted graph of ``windows`` and not yet ordered by deep-shallow
-suffix sorting (README).
+Candidates: runs of windows that share their minimiser (the paths of ``windows``), one copy of each distinct run with its
+count. A minimiser with a single run needs no order. The runs of every other minimiser are a bucket; equal strings have
+equal minimisers, so only suffixes of one bucket need to be ordered. A bucket's suffixes go through multikey quicksort over
+words of 8 bytes down to a shallow depth; each group still together there has a long common prefix and is ordered by a
+blind trie, whose leaves are the distinct 200-byte strings. A leaf met more than once, counts included, is repeated.
+
+Buckets of over MOST runs never go to one task: their windows are judged by 128-bit digests, counted before the shuffle.
+Nothing is dropped on either way.
 
 Defined cases: null text is empty; a text under 200 bytes keeps all; repeated rows remove each other; an empty table
 gives an empty table; further columns are not read.
@@ -9,15 +15,172 @@ gives an empty table; further columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
-from .windows import Shape, cut
+from ._common import Scratch, table
+from .windows import Shape, by_digest, cut
 
 SHAPE = Shape("byte", 200, 32)
+MOST, SHALLOW, CHUNK = 1024, 4, 1 << 20
+
+_PIECE = ["mini", "h1", "h2", "count", "n"]
+
+
+def shallow(words: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multikey quicksort of suffixes down to ``depth`` words of 8 bytes, all groups side by side.
+
+    ``words``: the big-endian word at every byte; ``group``: nondecreasing. Returns the suffixes in order, the first slot
+    of the group of each, and its depth; groups of one suffix stop early.
+    """
+    order, first, deep = starts.copy(), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    live = np.arange(len(starts))
+    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else live
+    size = np.diff(np.append(edge, len(live)))
+    while True:
+        first[live] = np.repeat(live[edge], size)
+        stay = np.repeat(size, size) > 1
+        stay &= deep[live] < depth
+        live = live[stay]
+        if not len(live):
+            return order, first, deep
+        g = first[live]
+        edge = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        size = np.diff(np.append(edge, len(live)))
+        key = words[order[live] + 8 * deep[live]]
+        pivot = np.repeat(key[edge + size // 2], size)
+        part = np.repeat(3 * np.arange(len(edge)), size) + (key >= pivot) + (key > pivot)
+        by = np.argsort(part, kind="stable")
+        part = part[by]
+        order[live], deep[live] = order[live][by], deep[live][by] + (part % 3 == 1)
+        edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        size = np.diff(np.append(edge, len(live)))
+
+
+class BlindTrie:
+    """Branch positions and branch bytes only; an insertion descends blindly and compares with the one leaf it reaches."""
+
+    def __init__(self):
+        self.root = None  # a leaf is (key, members), a branch [position, {byte: child}]
+
+    def add(self, key: bytes, member: int) -> None:
+        node = self.root
+        if node is None:
+            self.root = (key, [member])
+            return
+        while type(node) is list:
+            kids = node[1]
+            node = kids.get(key[node[0]]) or next(iter(kids.values()))
+        other = node[0]
+        if key == other:
+            node[1].append(member)
+            return
+        gap = int.from_bytes(key, "big") ^ int.from_bytes(other, "big")
+        at = len(key) - (gap.bit_length() + 7) // 8
+        above, node = None, self.root
+        while type(node) is list and node[0] < at:
+            above, node = node, node[1][key[node[0]]]
+        leaf = (key, [member])
+        if type(node) is list and node[0] == at:
+            node[1][key[at]] = leaf
+            return
+        branch = [at, {key[at]: leaf, other[at]: node}]
+        if above is None:
+            self.root = branch
+        else:
+            above[1][key[above[0]]] = branch
+
+    def leaves(self) -> Iterator[list[int]]:
+        """Members of every leaf, in the order of keys."""
+        stack = [self.root] if self.root else []
+        while stack:
+            node = stack.pop()
+            if type(node) is list:
+                stack.extend(child for _, child in sorted(node[1].items(), reverse=True))
+            else:
+                yield node[1]
+
+
+def classes(raw: bytes, starts: np.ndarray, group: np.ndarray, width: int, depth: int = SHALLOW) -> list[np.ndarray]:
+    """Suffixes in order, as classes of those that share their first ``width`` bytes. ``raw``: all suffixes have ``width`` bytes."""
+    depth = min(depth, width // 8)
+    pad = np.frombuffer(raw + bytes(8), np.uint8).astype(np.uint64)
+    words = np.zeros(len(raw) + 1, np.uint64)
+    for k in range(8):
+        words = words << np.uint64(8) | pad[k : k + len(words)]
+    order, first, _ = shallow(words, starts, group, depth)
+    edge = np.flatnonzero(np.append(True, first[1:] != first[:-1])) if len(first) else np.zeros(0, np.int64)
+    out = []
+    for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist()):
+        if b - a == 1:
+            out.append(order[a:b])
+        else:
+            trie = BlindTrie()
+            for s in order[a:b].tolist():
+                trie.add(raw[s + 8 * depth : s + width], s)
+            out.extend(np.array(x) for x in trie.leaves())
+    return out
+
+
+def _judge(rows: list[dict], width: int) -> pa.RecordBatch:
+    """Runs of whole buckets, with the offsets of their repeated strings (null: all)."""
+    raw = b"".join(r["piece"] for r in rows)
+    base = np.cumsum([0, *(len(r["piece"]) for r in rows)])
+    count = np.array([r["count"] for r in rows])
+    run = np.repeat(np.arange(len(rows)), count)
+    starts = base[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    mini = np.array([r["mini"] for r in rows])
+    bucket = np.cumsum(np.append(0, mini[1:] != mini[:-1]))
+    weight = np.array([r["n"] for r in rows])
+    twice = [c for c in classes(raw, starts, bucket[run], width) if len(c) > 1 or weight[np.searchsorted(base, c[0], "right") - 1] > 1]
+    hits = np.sort(np.concatenate(twice)) if twice else np.zeros(0, np.int64)
+    cuts = np.searchsorted(hits, base)
+    out = []
+    for i, r in enumerate(rows):
+        off = hits[cuts[i] : cuts[i + 1]] - base[i]
+        if len(off):
+            out.append((*(r[c] for c in _PIECE[:4]), None if len(off) == r["count"] else off.tolist()))
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], [*_PIECE[:4], "offs"])
+
+
+def by_order(again: DataFrame, shape: Shape, scratch: Scratch) -> DataFrame:
+    """As ``windows.by_digest``, with buckets of up to MOST runs judged by their suffix order."""
+    width = shape.width
+
+    def pieces(batches):
+        for b in batches:
+            out = []
+            for text, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                raw = text.encode()
+                out.extend({**{c: x[c] for c in _PIECE}, "piece": raw[x["start"] : x["start"] + x["count"] - 1 + width]} for x in starts)
+            yield pa.RecordBatch.from_pylist(out, pa.schema([*((c, pa.int64()) for c in _PIECE), ("piece", pa.binary())]))
+
+    def judge(batches):
+        rows, held = [], 0
+        for b in batches:
+            for r in b.to_pylist():
+                if held >= CHUNK and r["mini"] != rows[-1]["mini"]:  # a bucket is never parted
+                    yield _judge(rows, width)
+                    rows, held = [], 0
+                rows.append(r)
+                held += len(r["piece"])
+        if rows:
+            yield _judge(rows, width)
+
+    def part(condition: str) -> DataFrame:
+        return again.select("text", F.expr(f"filter(starts, x -> x.branches {condition} {MOST})").alias("starts")).where("size(starts) > 0")
+
+    longs = ", ".join(f"{c} long" for c in _PIECE)
+    cold = scratch.keep(part("<=").mapInArrow(pieces, f"{longs}, piece binary"))
+    cold = cold.repartition("mini").sortWithinPartitions("mini", "h1", "h2").mapInArrow(judge, "mini long, h1 long, h2 long, count long, offs array<long>")
+    return cold.unionByName(by_digest(part(">"), shape, scratch))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cut(spark, table(spark, sf_dir, "documents"), SHAPE)
+    c = cut(spark, table(spark, sf_dir, "documents"), SHAPE, branches=by_order)
     return c.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")

@@ -74,17 +74,8 @@ def _long(x: np.ndarray) -> pa.Array:
 _PATH = ["mini", "h1", "h2", "count"]
 
 
-def repeated(spark: SparkSession, texts: DataFrame, shape: Shape, scratch: Scratch) -> DataFrame:
-    """rid, spans (array of starts, array of ends of runs of repeated windows) of rows with any. ``texts``: rid, text."""
-
-    def paths(batches):
-        memo = WordHashes()
-        for b in batches:
-            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                q = Sequence(text, shape, memo)
-                if q.enough:
-                    start, count, mini, h1, h2 = q.paths()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), rid, np.int64)), _long(start), _long(mini), _long(h1), _long(h2), _long(count)], ["rid", "start", *_PATH])
+def by_digest(again: DataFrame, shape: Shape, scratch: Scratch) -> DataFrame:
+    """Paths with their repeated offsets, by the digests of all windows. ``again``: text, starts (array of its paths)."""
 
     def windows(batches):
         memo = WordHashes()
@@ -95,21 +86,37 @@ def repeated(spark: SparkSession, texts: DataFrame, shape: Shape, scratch: Scrat
                 for x in starts:
                     off = np.arange(x["count"])
                     k = len(off)
-                    cols = [np.full(k, x[c], np.int64) for c in ("mini", "h1", "h2", "count")]
+                    cols = [np.full(k, x[c], np.int64) for c in _PATH]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _long(off), _long(w1[x["start"] + off]), _long(w2[x["start"] + off]), pa.array(np.full(k, x["n"], np.int64))], [*_PATH, "off", "w1", "w2", "n"])
 
+    apart = scratch.keep(again.mapInArrow(windows, ", ".join(f"{c} long" for c in [*_PATH, "off", "w1", "w2", "n"])))
+    # A window common to many paths is counted before the shuffle and joined back: its paths never meet in one task.
+    multiple = scratch.keep(apart.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").drop("t"))
+    return apart.join(multiple, ["w1", "w2"]).groupBy(*_PATH).agg(F.collect_list("off").alias("offs"))
+
+
+def repeated(spark: SparkSession, texts: DataFrame, shape: Shape, scratch: Scratch, branches=by_digest) -> DataFrame:
+    """rid, hits (array of paths with their repeated offsets) of rows with any. ``texts``: rid, text; ``branches`` judges the
+    windows of paths that share their minimiser with other paths."""
+
+    def paths(batches):
+        memo = WordHashes()
+        for b in batches:
+            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                q = Sequence(text, shape, memo)
+                if q.enough:
+                    start, count, mini, h1, h2 = q.paths()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), rid, np.int64)), _long(start), _long(mini), _long(h1), _long(h2), _long(count)], ["rid", "start", *_PATH])
+
     longs = ", ".join(f"{c} long" for c in ["rid", "start", *_PATH])
     found = scratch.keep(texts.mapInArrow(paths, longs))
     distinct = scratch.keep(found.groupBy(*_PATH).agg(F.count("*").alias("n"), F.min(F.struct("rid", "start")).alias("src")))
     group = distinct.groupBy("mini").agg(F.count("*").alias("branches"), F.sum("n").alias("total")).where("total > 1")
     marked = scratch.keep(distinct.join(group, "mini"))
     straight = marked.where("branches = 1").select(*_PATH, F.lit(None).cast("array<long>").alias("offs"))
-    starts = marked.where("branches > 1").select(F.col("src.rid").alias("rid"), F.struct(F.col("src.start").alias("start"), *_PATH, "n").alias("s"))
+    starts = marked.where("branches > 1").select(F.col("src.rid").alias("rid"), F.struct(F.col("src.start").alias("start"), *_PATH, "n", "branches").alias("s"))
     starts = starts.groupBy("rid").agg(F.collect_list("s").alias("starts"))
-    again = texts.join(starts, "rid").select("text", "starts")
-    apart = scratch.keep(again.mapInArrow(windows, ", ".join(f"{c} long" for c in [*_PATH, "off", "w1", "w2", "n"])))
-    multiple = apart.groupBy("w1", "w2").agg(F.sum("n").alias("t"), F.collect_list(F.struct(*_PATH, "off")).alias("p")).where("t > 1")
-    branched = multiple.select(F.explode("p").alias("p")).select("p.*").groupBy(*_PATH).agg(F.collect_list("off").alias("offs"))
+    branched = branches(texts.join(starts, "rid").select("text", "starts"), shape, scratch)
     every = scratch.keep(straight.unionByName(branched))
     hits = found.join(every, _PATH).select("rid", F.struct("start", "count", "offs").alias("h"))
     return scratch.keep(hits.groupBy("rid").agg(F.collect_list("h").alias("hits")))
@@ -125,11 +132,11 @@ def cover(size: int, hits: list[dict] | None, shape: Shape) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def cut(spark: SparkSession, docs: DataFrame, shape: Shape, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut(spark: SparkSession, docs: DataFrame, shape: Shape, doc_id: str = "doc_id", text: str = "text", branches=by_digest) -> DataFrame:
     """doc_id, n (symbols), n_removed, n_spans, kept_sha256 and kept (binary) of every row."""
     scratch = Scratch(spark)
     rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    hits = repeated(spark, rows.select("rid", "text"), shape, scratch)
+    hits = repeated(spark, rows.select("rid", "text"), shape, scratch, branches)
 
     def apply(batches):
         import hashlib
