@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import mix, table
 
-SAMPLE, GRAMS, BITS, HASHES, SHARE, SIZES = 20_000, 400_000, 22, 3, 0.5, (2, 3, 4)
+SAMPLE, GRAMS, BITS, HASHES, SHARE, SIZES, MEMO = 20_000, 400_000, 22, 3, 0.5, (2, 3, 4), 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -64,15 +64,27 @@ class Filters:
         fill = np.array([np.count_nonzero(self.slots >> np.uint64(b) & np.uint64(1)) for b in range(len(self.langs))]) / (1 << BITS)
         self.false = fill**HASHES
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        got = grams(text) if text else Counter()
-        if not got or not self.langs:
+    def _hits(self, words: list[str]) -> np.ndarray:
+        """For every word, how many of its n-grams each language's filter has; last, how many n-grams it has."""
+        keys = [[w[i : i + k] for k in SIZES for i in range(len(w) - k + 1)] for w in (f" {x} " for x in words)]
+        size = np.array([len(k) for k in keys])
+        got = np.bitwise_and.reduce(self.slots[_slots([g for k in keys for g in k])], axis=0)
+        bits = (got[:, None] >> np.arange(len(self.langs), dtype=np.uint64)) & np.uint64(1)
+        return np.column_stack([np.add.reduceat(bits, np.append(0, np.cumsum(size)[:-1]), axis=0), size]).astype(np.float64)
+
+    def predict(self, text: str | None, memo: dict[str, np.ndarray] | None = None) -> tuple[str, float]:
+        """``memo``: hits of words met before, kept by the caller and emptied at MEMO words."""
+        words = Counter(_WORD.findall(text.lower())) if text else Counter()
+        if not words or not self.langs:
             return "und", 0.0
-        at = _slots(list(got))
-        words = np.bitwise_and.reduce(self.slots[at], axis=0)
-        weight = np.fromiter(got.values(), np.float64, len(got))
-        bits = (words[:, None] >> np.arange(len(self.langs), dtype=np.uint64)) & np.uint64(1)
-        right = np.maximum((weight @ bits - weight.sum() * self.false) / (1 - self.false), 0)
+        memo = {} if memo is None else memo
+        if len(memo) >= MEMO:
+            memo.clear()
+        new = [w for w in words if w not in memo]
+        if new:
+            memo.update(zip(new, self._hits(new)))
+        total = np.fromiter(words.values(), np.float64, len(words)) @ np.stack([memo[w] for w in words])
+        right = np.maximum((total[:-1] - total[-1] * self.false) / (1 - self.false), 0)
         if right.max() <= 0:
             return self.common, 0.0
         return self.langs[int(right.argmax())], float(min(1.0, right.max() / right.sum()))
@@ -108,7 +120,8 @@ def predict(spark: SparkSession, docs: DataFrame, model: Filters, keep: list[str
 
     @F.pandas_udf("lang_pred string, score double")
     def of(t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(x) for x in t], columns=["lang_pred", "score"])
+        memo: dict[str, np.ndarray] = {}
+        return pd.DataFrame([shared.value.predict(x, memo) for x in t], columns=["lang_pred", "score"])
 
     return docs.select(*keep, of(F.col(text)).alias("p")).select(*keep, "p.lang_pred", "p.score")
 
