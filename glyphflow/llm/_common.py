@@ -67,6 +67,28 @@ def blob_id(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
+def row_digest(text: Column) -> Column:
+    """SHA-256 of a text as it is; null counts as the empty text."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def drop_rows(docs: DataFrame, labelled: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first row of every label, all columns. ``labelled``: doc_id, sha (row_digest), label of every row of ``docs``.
+
+    Rows are told apart by doc_id and text, as ids may be null or repeat; null ids come last, and of rows equal in both
+    one stays. Only what goes is named.
+    """
+    rows = scratch.keep(labelled.groupBy("label", "doc_id", "sha").count().withColumn("who", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")))
+    first = rows.groupBy("label").agg(F.min("who").alias("first"), F.count("*").alias("of")).where("of > 1").drop("of")
+    gone = scratch.keep(rows.join(first, "label").where("who <> first").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__of")))
+    own = scratch.keep(rows.where("count > 1").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__of")))
+    names, same = docs.columns, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of"))
+    kept = docs.withColumn("__sha", row_digest(F.col(text))).join(gone, same, "left_anti")
+    if not own.isEmpty():
+        kept = kept.join(own, same, "left_anti").unionByName(kept.join(own, same, "left_semi").dropDuplicates([doc_id, "__sha"]))
+    return kept.select(*names)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit words."""
     x = x.astype(np.uint64, copy=True)
@@ -155,4 +177,4 @@ def batches(column):
     return [b"" if x is None else x.encode() for x in column.to_pylist()]
 
 
-__all__ = ["SPACES", "Rolling", "Scratch", "WordHashes", "blob_id", "mix", "rolling_min", "table", "weakref", "work_dir"]
+__all__ = ["SPACES", "Rolling", "Scratch", "WordHashes", "blob_id", "drop_rows", "mix", "rolling_min", "row_digest", "table", "weakref", "work_dir"]
