@@ -1,10 +1,14 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds that no allowed pattern escapes.
 
-Fixed masks over SPAN tokens read only some positions, so a hit survives substitutions at the ignored ones. Benchmark
-hashes of all masks and positions are the query set; it is taken in blocks of at most BLOCK hashes, each block sent to
-all tasks (its size is checked, further blocks follow), and every position of every whole document is looked up. Around a
-hit, the document and the item are laid side by side at the hit's offset: a document is contaminated if some stretch of
-at least LEAST tokens (the whole item, where shorter, but SHORT tokens at least) agrees in SIMILAR of its positions.
+A document is contaminated if some stretch of at least LEAST tokens (the whole item, where shorter, but SHORT tokens at
+least) agrees with an item in SIMILAR of its positions. k substitutions cut the agreeing positions of a stretch into at
+most k + 1 runs, so the longest has its share or more: 4 tokens at every allowed length and pattern, but 3 for whole
+items of 10, 11 or 15 tokens (``run_of``). Every run of that many tokens of an item is a seed (MASKS, one for each
+length), so recall is whole for substitutions at any place; insertions and deletions end a stretch.
+
+Seed hashes of all items are the query set; it is taken in blocks of at most BLOCK hashes, each block sent to all tasks
+(its size is checked, further blocks follow), and every position of every whole document is looked up. Around a hit, the
+document and the item are laid side by side at the hit's offset and the stretch is verified.
 
 Tokens: runs of letters and digits, lower-cased.
 
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import Scratch, WordHashes, mix, table
 
 # The masks; 1 reads a token, 0 ignores it.
-MASKS = ("1110100110111", "1101110010111", "11111111")
+MASKS = ("1111", "111")
 LEAST, SHORT, SIMILAR, BLOCK = 20, 8, 0.8, 2_000_000
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -44,6 +48,14 @@ def seeds(t: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(h)
 
 
+def run_of(n: int) -> int:
+    """The longest run of agreeing tokens that every allowed stretch of an item of n tokens has at least."""
+    least = max(SHORT, min(LEAST, n))
+    tenths = round(SIMILAR * 10)
+    agree = lambda size: -(-tenths * size // 10)
+    return min(-(-agree(size) // (size - agree(size) + 1)) for size in range(least, max(least, n) + 1))
+
+
 def stretch(same: np.ndarray, least: int) -> bool:
     """Whether some run of at least ``least`` positions agrees in SIMILAR of them."""
     if len(same) < least:
@@ -59,8 +71,12 @@ class Items:
     def __init__(self, rows: list[tuple[int, np.ndarray]]):
         self.rows = rows
         h, who, at = [], [], []
+        self.salts = set()
         for k, (_, t) in enumerate(rows):
             for salt, mask in enumerate(MASKS):
+                if len(mask) != run_of(len(t)):
+                    continue
+                self.salts.add(salt)
                 s = seeds(t, mask, salt + 1)
                 h.append(s)
                 who.append(np.full(len(s), k))
@@ -75,8 +91,8 @@ class Items:
     def matches(self, t: np.ndarray) -> list[int]:
         """Ids of the items with a verified overlap."""
         pairs = set()
-        for salt, mask in enumerate(MASKS):
-            s = seeds(t, mask, salt + 1)
+        for salt in sorted(self.salts):
+            s = seeds(t, MASKS[salt], salt + 1)
             pos = np.flatnonzero(self.sieve[(s >> np.uint64(40)).astype(np.int64)])
             lo, hi = np.searchsorted(self.h, s[pos], "left"), np.searchsorted(self.h, s[pos], "right")
             for p, a, b in zip(pos[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
@@ -98,7 +114,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str):
         t = tokens(r[1], memo)
         if len(t) >= SHORT:
             rows.append((r[0], t))
-            n += len(t) * len(MASKS)
+            n += len(t)
         if n >= BLOCK:
             yield Items(rows)
             rows, n = [], 0
