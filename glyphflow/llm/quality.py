@@ -17,13 +17,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, table
+from ._common import Scratch, row_digest, table
 
 SAMPLE, WORDS, Z, LAMBDA = 20_000, 4_000, 2.5, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -167,12 +168,12 @@ def _site(source):
     return F.substring_index(s, "/", 1).alias("host"), F.when(F.instr(s, "/") > 0, F.element_at(F.split(s, "/"), 2)).otherwise("").alias("path")
 
 
-def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """rid, doc_id, host, path, p_low, p_toxic, p_site, score (probability of a good document), keep, of every row."""
+def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, further: Sequence[Column] = ()) -> DataFrame:
+    """rid, doc_id, host, path, p_low, p_toxic, p_site, score (probability of a good document), keep, of every row; ``further`` columns too."""
     scratch = Scratch(spark)
     models = train(docs, labels)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), *_site(F.col("source").cast("string")), F.col("text").cast("string").alias("text"))
-    scored = scratch.keep(evidence(spark, rows, models, ["rid", "doc_id", "host", "path"]))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), *_site(F.col("source").cast("string")), F.col("text").cast("string").alias("text"), *further)
+    scored = scratch.keep(evidence(spark, rows, models, [c for c in rows.columns if c != "text"]))
     sites, mean = posteriors(scored, scratch)
     sites = scratch.keep(sites)
     low = 1 / (1 + F.exp(-(_logit(F.col("p_low")) + LAMBDA * (_logit(F.col("p_site")) - _logit(F.lit(mean))))))
@@ -181,10 +182,15 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, all columns."""
+    """The rows of ``docs`` that the classifier keeps, all columns.
+
+    A decision depends on text and source alone, so rows are told apart by doc_id, text and source: ids may be null or repeat.
+    """
     scratch = Scratch(spark)
-    out = scores(spark, docs, labels).where("not keep").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(scratch.keep(out), F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    who = lambda: [F.col("doc_id").cast("long").alias("__id"), row_digest(F.col("text").cast("string")).alias("__sha"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source")]
+    out = scores(spark, docs, labels, who()).where("not keep").select(F.col("__id").alias("__gone"), F.col("__sha").alias("__of"), F.col("__source").alias("__from")).distinct()
+    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__of")) & (F.col("__source") == F.col("__from"))
+    return docs.select("*", *who()).join(scratch.keep(out), same, "left_anti").select(*docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ empty table gives an empty table; null doc_id never names a component unless it
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 from math import comb
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, table
+from ._common import Scratch, drop_rows, row_digest, table
 from .components import components
 
 TAU, WORDS, SEED = 4, 4, 42
@@ -45,14 +46,14 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (long) of every row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", further: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, ``further`` columns, fp (long) of every row."""
 
     @F.pandas_udf("long")
     def of(t: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(x) for x in t], dtype="int64")
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("fp"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), *further, of(F.col(text)).alias("fp"))
 
 
 def bit_table(fps: DataFrame) -> tuple[np.ndarray, int]:
@@ -157,25 +158,27 @@ def links(spark: SparkSession, fps: DataFrame, scratch: Scratch, tau: int = TAU)
     return star.unionByName(found.select("a", "b"))
 
 
-def clusters(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    scratch = Scratch(spark)
-    rows = scratch.keep(fingerprints(docs, doc_id, text))
+def _labelled(scratch: Scratch, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, sha (digest of the text), fp, label (of the component), component_id of every row."""
+    rows = scratch.keep(fingerprints(docs, doc_id, text, [row_digest(F.col(text)).alias("sha")]))
     fps = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = scratch.keep(links(spark, fps.select("fp"), scratch).distinct())
+    edges = scratch.keep(links(scratch.spark, fps.select("fp"), scratch).distinct())
     label = components(edges, scratch)
     named = fps.join(label.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    names = scratch.keep(named.join(least, "label").select("fp", "component_id"))
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = scratch.keep(named.join(least, "label").select("fp", "label", "component_id"))
+    return rows.join(names, "fp")
+
+
+def clusters(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp, component_id of every row."""
+    return _labelled(Scratch(spark), docs, doc_id, text).select("doc_id", "fp", "component_id")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, all columns."""
+    """The first row of every component, all columns."""
     scratch = Scratch(spark)
-    c = clusters(spark, docs, doc_id, text)
-    gone = scratch.keep(c.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__fp")).distinct())
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    return drop_rows(docs, _labelled(scratch, docs, doc_id, text), scratch, doc_id, text)
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
