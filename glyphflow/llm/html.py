@@ -3,7 +3,7 @@
 A page becomes a sequence of blocks (texts between block-level tags). Each block is two hashed vectors: its tag path (tags and
 the words of class, id and role) and its words. A bidirectional LSTM in numpy reads the whole sequence and labels every
 block, so each decision sees the whole page. It is trained here on a bounded sample (SAMPLE pages with the smallest hash
-of their id); the labels of the training blocks come from the tags and class words below, which are not consulted when a page
+of their id, each whole); the labels of the training blocks come from the tags and class words below, which are not consulted when a page
 is read. Script, style and markup are never text.
 
 Defined cases: null or empty html gives the empty text; repeated rows each get theirs; a page without blocks gives the empty
@@ -161,7 +161,7 @@ class Labeller:
 
 def train(pages: DataFrame, key: str = "page_id", html: str = "html") -> Labeller:
     rows = pages.where(F.col(html).isNotNull()).orderBy(F.xxhash64(key), key, F.sha2(html, 256)).limit(SAMPLE).select(html).collect()
-    got = [blocks(r[0])[:400] for r in rows]
+    got = [blocks(r[0]) for r in rows]
     return Labeller().fit([(vectors(b), np.array([taught(p) for _, p in b])) for b in got if b])
 
 
