@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary folder only where that is unset (tests, local mode)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary folder only where that is unset and the master is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "local" not in _SCRATCH:
         _SCRATCH["local"] = tempfile.TemporaryDirectory(prefix="glyphflow-")
     return "file://" + _SCRATCH["local"].name
@@ -41,10 +43,13 @@ def _drop(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder, each cutting its lineage.
 
-    ``keep`` writes a frame and reads it back, so a lost executor never forces what lies above it to run again.
-    ``drop`` deletes a table that no later frame reads.
+    ``keep`` writes a frame and reads it back, so a lost executor never forces what lies above it to run again. The
+    shuffle files of that write go as soon as it has ended (its result no longer needs them), so that the disk in use is
+    that of one step. ``drop`` deletes tables that no later frame reads.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{work_dir(spark)}/glyphflow/{uuid.uuid4().hex}"
@@ -53,13 +58,22 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}"
         self.paths[len(self.paths)] = path
-        df.write.parquet(path)
+        before = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(self.CLEANUP)
+            else:
+                self.spark.conf.set(self.CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        _drop(self.spark, df.scratch_path)
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            _drop(self.spark, df.scratch_path)
 
 
 def blob_id(text: Column) -> Column:
@@ -177,4 +191,4 @@ def batches(column):
     return [b"" if x is None else x.encode() for x in column.to_pylist()]
 
 
-__all__ = ["SPACES", "Rolling", "Scratch", "WordHashes", "blob_id", "drop_rows", "mix", "rolling_min", "row_digest", "table", "weakref", "work_dir"]
+__all__ = ["SPACES", "Rolling", "Scratch", "WordHashes", "blob_id", "drop_rows", "mix", "rolling_min", "row_digest", "table", "work_dir"]

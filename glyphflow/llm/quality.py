@@ -1,22 +1,25 @@
 """Quality classifier: document evidence combined with hierarchical empirical Bayes posteriors of host and path.
 
 Document evidence: two logistic models (low quality, toxic) over shape features and the presence of telling words, fitted on
-a bounded sample of labelled rows (SAMPLE with the smallest hash of their id). A telling word is one whose smoothed log
-odds differ by Z standard errors or more.
+a bounded sample of labelled rows (SAMPLE ids with the smallest hash). A telling word is one whose log likelihood ratio
+of presence by class has a root of Z or more; the words of the sample are counted by class in Spark, and only the WORDS most telling ones
+reach the driver, with one sparse row for each sampled document.
 
 Sites: the source is host/path. The mean evidence of a host is shrunk toward the corpus mean, that of a path toward its
 host, each with the weight k of as many documents as the spread between sites asks for (method of moments); counts and
-means cover all documents. A document's odds move by LAMBDA times what its site's log odds differ from the corpus's.
+means cover all documents. A source without a path has its host's posterior alone. A document's own evidence is taken out
+of its site's before its odds move by LAMBDA times what the site's log odds differ from the corpus's.
 
 Defined cases: null or empty text has shape zero and no words; null source is the site ''; no labels (or one class
-only): all kept with score 1; repeated rows count each; an empty table gives an empty table; further columns pass through.
+only): all kept with score 1; null labels and labels of null ids are not read; of several labels of an id low quality
+and toxic win; of rows that repeat a labelled id one is learned from; repeated rows count each; very long texts are read
+whole; an empty table gives an empty table; further columns pass through.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,22 +29,39 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, row_digest, table
 
-SAMPLE, WORDS, Z, LAMBDA = 20_000, 4_000, 2.5, 0.5
+SAMPLE, WORDS, Z, LAMBDA = 20_000, 256, 3.5, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
+_KINDS = ("letter", "upper", "digit", "symbol", "bar")
+_TABLE = 0x3000  # characters beyond are counted one by one
 
 
-def shape(text: str) -> list[float]:
+def _kind(c: str) -> int:
+    return c.isalpha() | c.isupper() << 1 | c.isdigit() << 2 | (c in "!#$%&*<>=+~^@") << 3 | (c in "|{}[]\\") << 4
+
+
+_KIND = np.array([_kind(chr(i)) for i in range(_TABLE)], np.uint8)
+
+
+def kinds(text: str) -> list[int]:
+    """How many letters, capitals, digits, symbols and bars a text has."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    near = codes < _TABLE
+    seen = np.bincount(_KIND[codes[near]], minlength=32)
+    for c in codes[~near].tolist():
+        seen[_kind(chr(c))] += 1
+    return [int(seen[[k for k in range(32) if k >> b & 1]].sum()) for b in range(len(_KINDS))]
+
+
+def shape(text: str, words: list[str]) -> list[float]:
     """Shares of capitals, symbols, digits, bars and repeats; length."""
-    n = max(1, len(text))
-    words = text.split()
-    k = max(1, len(words))
-    letters = max(1, sum(map(str.isalpha, text)))
+    n, k = max(1, len(text)), max(1, len(words))
+    letters, upper, digits, symbols, bars = kinds(text)
     lines = [x for x in text.split("\n") if x.strip()]
     return [
-        min(1.0, sum(map(str.isupper, text)) / letters) * 4,
-        sum(text.count(c) for c in "!#$%&*<>=+~^@") / k * 2,
-        sum(map(str.isdigit, text)) / n * 10,
-        sum(text.count(c) for c in "|{}[]\\") / k * 4,
+        upper / max(1, letters) * 4,
+        symbols / k * 2,
+        digits / n * 10,
+        bars / k * 4,
         (1 - len(set(lines)) / len(lines)) * 4 if lines else 0.0,
         (1 - len(set(words)) / k) * math.sqrt(1 / (1 + math.log1p(k))),
         n / k / 5,
@@ -49,78 +69,84 @@ def shape(text: str) -> list[float]:
     ]
 
 
+def features(text: str | None) -> tuple[list[float], set[str]]:
+    text = text or ""
+    return shape(text, text.split()), set(_WORD.findall(text.lower()))
+
+
 class Logit:
-    def __init__(self, rows: list[tuple[list[float], frozenset[str]]], y: np.ndarray):
-        self.base = float(y.mean()) if len(y) else 0.0
-        self.words: dict[str, int] = {}
+    """Logistic regression by Newton's steps. ``found``: for every row, the places of its words in ``words``."""
+
+    def __init__(self, shapes: np.ndarray, found: Sequence[Sequence[int]], words: list[str], y: np.ndarray):
         self.w = None
-        if not 0 < self.base < 1:
+        if not len(y) or not 0 < y.mean() < 1:
             return
-        pos, neg, a, b = Counter(), Counter(), int(y.sum()), int((1 - y).sum())
-        for (_, words), one in zip(rows, y):
-            (pos if one else neg).update(words)
-        told = []
-        for word in sorted(pos.keys() | neg.keys()):
-            p, q = pos[word], neg[word]
-            odds = math.log((p + 0.5) / (a - p + 0.5)) - math.log((q + 0.5) / (b - q + 0.5))
-            z = odds / math.sqrt(1 / (p + 0.5) + 1 / (a - p + 0.5) + 1 / (q + 0.5) + 1 / (b - q + 0.5))
-            if abs(z) >= Z:
-                told.append((-abs(z), word))
-        self.words = {word: i for i, (_, word) in enumerate(sorted(told)[:WORDS])}
-        x = np.stack([self._row(*r) for r in rows])
-        self.w = np.zeros(x.shape[1])
-        pull = np.full(x.shape[1], 0.1)
+        k = 1 + shapes.shape[1]
+        x = np.zeros((len(y), k + len(words)))
+        x[:, 0], x[:, 1:k] = 1, shapes
+        for row, at in zip(x, found):
+            row[k + np.asarray(at, int)] = 1
+        w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1)
         pull[0] = 1e-6
-        for _ in range(30):  # Newton's steps
-            p = 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
+        for _ in range(15):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(pull)
-            step = np.linalg.solve(h, x.T @ (p - y) + pull * self.w)
-            self.w -= step
-            if abs(step).max() < 1e-8:
+            step = np.linalg.solve(h, x.T @ (p - y) + pull * w)
+            w -= step
+            if abs(step).max() < 1e-6:
                 break
+        self.w, self.weight = w[:k], dict(zip(words, w[k:].tolist()))
 
-    def _row(self, shape: list[float], words) -> np.ndarray:
-        out = np.zeros(1 + len(shape) + len(self.words))
-        out[0], out[1 : 1 + len(shape)] = 1, shape
-        for word in words:
-            i = self.words.get(word)
-            if i is not None:
-                out[1 + len(shape) + i] = 1
-        return out
-
-    def __call__(self, shape, words) -> float:
+    def __call__(self, shape: list[float], words: set[str]) -> float:
         if self.w is None:
             return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self._row(shape, words) @ self.w, -30, 30))))
+        z = float(self.w[0] + self.w[1:] @ shape) + math.fsum(self.weight[w] for w in words & self.weight.keys())
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def features(text: str | None) -> tuple[list[float], frozenset[str]]:
-    text = text or ""
-    return shape(text), frozenset(_WORD.findall(text.lower()))
+def _telling(words: DataFrame, mark: str, marked: int, other: int) -> list[str]:
+    """The WORDS most telling words for the class ``mark``. ``words``: w, n, and how often in rows of each class."""
+    n, all_ = F.col("n"), float(marked + other)
+    cells = [(F.col(mark), n * (marked / all_)), (marked - F.col(mark), (all_ - n) * (marked / all_)), (n - F.col(mark), n * (other / all_)), (other - n + F.col(mark), (all_ - n) * (other / all_))] if all_ else []
+    ratio = sum((F.when(o > 0, o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
+    z = F.sqrt(F.greatest(F.lit(0.0), 2 * ratio))
+    return [r["w"] for r in words.select("w", z.alias("z")).where(F.col("z") >= Z).orderBy(F.desc("z"), "w").limit(WORDS).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Logit, Logit]:
-    """(low quality, toxic), fitted on the driver from the features of at most ``sample`` rows."""
-    chosen = labels.select("doc_id", "quality", "toxic").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
+    """(low quality, toxic), fitted on the driver from one sparse row for each of at most ``sample`` documents."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    id_ = F.col("doc_id").cast("long").alias("__id")
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(id_).agg((F.min("quality") == 0).cast("long").alias("low"), (F.max("toxic") == 1).cast("long").alias("toxic"))
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
 
     def read(frames):
         for f in frames:
             x = [features(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "quality": f["quality"], "toxic": f["toxic"], "shape": [a for a, _ in x], "words": [sorted(b) for _, b in x]})
-
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(read, "doc_id long, quality long, toxic long, shape array<double>, words array<string>")
-    # A word is of use from four rows on; others stay with the executors.
-    rows = got.select("doc_id", "quality", "toxic", "shape").collect()
-    often = got.select("doc_id", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.collect_list("doc_id").alias("ids")).where("n >= 4").orderBy(F.desc("n"), "w").limit(20_000)
-    words: dict[int, set[str]] = {}
-    for r in often.collect():
-        for i in r["ids"]:
-            words.setdefault(i, set()).add(r["w"])
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["toxic"]))
-    x = [(list(r["shape"]), frozenset(words.get(r["doc_id"], ()))) for r in rows]
-    low = np.array([1.0 if r["quality"] == 0 else 0.0 for r in rows])
-    toxic = np.array([1.0 if r["toxic"] == 1 else 0.0 for r in rows])
-    return Logit(x, low), Logit(x, toxic)
+            yield pd.DataFrame({"id": f["__id"], "low": f["low"], "toxic": f["toxic"], "shape": [a for a, _ in x], "words": [sorted(b) for _, b in x]})
+
+    got = docs.select(id_, F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("__id", "low", "toxic", "text").mapInPandas(read, "id long, low long, toxic long, shape array<double>, words array<string>")
+    rows = scratch.keep(got.dropDuplicates(["id"]))
+    n, low, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("low"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    words = scratch.keep(rows.select("low", "toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")))
+    lists = [_telling(words, mark, m, n - m) for mark, m in (("low", low), ("toxic", toxic))]
+    every = sorted({w for x in lists for w in x})
+    place = {w: i for i, w in enumerate(every)}
+
+    def sparse(frames):
+        for f in frames:
+            yield f.assign(at=[[place[w] for w in ws if w in place] for ws in f["words"]])[["id", "low", "toxic", "shape", "at"]]
+
+    data = rows.mapInPandas(sparse, "id long, low long, toxic long, shape array<double>, at array<int>").toPandas().sort_values("id", ignore_index=True)
+    scratch.drop(rows, words)
+    shapes = np.array(data["shape"].tolist(), float).reshape(len(data), -1)
+    out = []
+    for mark, own in zip(("low", "toxic"), lists):
+        to = np.full(len(every), -1)
+        to[[place[w] for w in own]] = np.arange(len(own))
+        out.append(Logit(shapes, [k[k >= 0] for k in (to[np.asarray(a, int)] for a in data["at"])], own, data[mark].to_numpy(float)))
+    return out[0], out[1]
 
 
 def evidence(spark: SparkSession, docs: DataFrame, models: tuple[Logit, Logit], keep: list[str]) -> DataFrame:
@@ -152,15 +178,24 @@ def _weight(sites: DataFrame) -> float:
     return float(min(1e4, max(1.0, within / between)))
 
 
-def posteriors(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
-    """host, path, p_site of all sites (low-quality share, shrunk); the corpus mean. Means are pre-aggregated per path."""
+def posteriors(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, float]]:
+    """host, path, sums of evidence (n, s) of the path and (n_host, s_host) of its host; the priors: corpus mean, k_host, k_path."""
     paths = scratch.keep(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_low").alias("s"), F.sum(F.col("p_low") * F.col("p_low")).alias("q")))
     hosts = scratch.keep(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = (total["s"] or 0.0) / max(1, total["n"] or 0)
-    k_host, k_path = _weight(hosts), _weight(paths)
-    host = hosts.select("host", ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("p_host"))
-    return paths.join(host, "host").select("host", "path", "p_host", ((F.col("s") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_site")), mean
+    prior = {"mean": mean, "host": _weight(hosts), "path": _weight(paths.where("path <> ''"))}
+    sites = scratch.keep(paths.join(hosts.select("host", F.col("n").alias("n_host"), F.col("s").alias("s_host")), "host").select("host", "path", "n", "s", "n_host", "s_host"))
+    scratch.drop(paths, hosts)
+    return sites, prior
+
+
+def _without_own(prior: dict[str, float]) -> Column:
+    """The posterior of a document's site from all its documents but this one."""
+    own = F.col("p_low")
+    host = (F.col("s_host") - own + prior["host"] * prior["mean"]) / (F.col("n_host") - 1 + prior["host"])
+    path = (F.col("s") - own + prior["path"] * host) / (F.col("n") - 1 + prior["path"])
+    return F.greatest(F.lit(0.0), F.when(F.col("path") == "", host).otherwise(path))
 
 
 def _site(source):
@@ -174,11 +209,10 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, further: Seq
     models = train(docs, labels)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), *_site(F.col("source").cast("string")), F.col("text").cast("string").alias("text"), *further)
     scored = scratch.keep(evidence(spark, rows, models, [c for c in rows.columns if c != "text"]))
-    sites, mean = posteriors(scored, scratch)
-    sites = scratch.keep(sites)
-    low = 1 / (1 + F.exp(-(_logit(F.col("p_low")) + LAMBDA * (_logit(F.col("p_site")) - _logit(F.lit(mean))))))
-    out = scored.join(sites, ["host", "path"]).withColumn("score", (1 - low) * (1 - F.col("p_toxic")))
-    return out.withColumn("keep", (low < 0.5) & (F.col("p_toxic") < 0.5))
+    sites, prior = posteriors(scored, scratch)
+    low = 1 / (1 + F.exp(-(_logit(F.col("p_low")) + LAMBDA * (_logit(F.col("p_site")) - _logit(F.lit(prior["mean"]))))))
+    out = scored.join(sites, ["host", "path"]).withColumn("p_site", _without_own(prior)).drop("n", "s", "n_host", "s_host")
+    return out.withColumn("score", (1 - low) * (1 - F.col("p_toxic"))).withColumn("keep", (low < 0.5) & (F.col("p_toxic") < 0.5))
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
