@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Log
 
     data = rows.mapInPandas(sparse, "id long, low long, toxic long, shape array<double>, at array<int>").toPandas().sort_values("id", ignore_index=True)
     scratch.drop(rows, words)
-    shapes = np.array(data["shape"].tolist(), float).reshape(len(data), -1)
+    shapes = np.array(data["shape"].tolist() or np.zeros((0, 8)), float)
     out = []
     for mark, own in zip(("low", "toxic"), lists):
         to = np.full(len(every), -1)

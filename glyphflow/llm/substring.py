@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ._common import table
 from .windows import Shape, cut
 
-SHAPE = Shape("word", 35, 6)
+SHAPE = Shape("word", 35, 16)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

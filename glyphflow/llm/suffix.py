@@ -1,16 +1,20 @@
 """Removal of every byte covered by a 200-byte string that starts anywhere else, by deep-shallow suffix sorting.
 
-Candidates: runs of windows that share their minimiser (the paths of ``windows``), one copy of each distinct run with its
-count. A minimiser with a single run needs no order. The runs of every other minimiser are a bucket; equal strings have
-equal minimisers, so only suffixes of one bucket need to be ordered. A bucket's suffixes go through multikey quicksort over
-words of 8 bytes down to a shallow depth; each group still together there has a long common prefix and is ordered by a
-blind trie, whose leaves are the distinct 200-byte strings. A leaf met more than once, counts included, is repeated.
-
-Buckets of over MOST runs never go to one task: their windows are judged by 128-bit digests, counted before the shuffle.
-Nothing is dropped on either way.
-
-Defined cases: null text is empty; a text under 200 bytes keeps all; repeated rows remove each other; an empty table
-gives an empty table; further columns are not read.
+Candidates: runs of windows that share their minimiser (``windows``), one copy of each distinct run with its count. A
+minimiser with a single run needs no order. The runs of every other minimiser are a bucket, and equal strings lie in one
+bucket at the same distance from the minimiser. What follows the minimiser's start in each run is a suffix, and what
+precedes it, read backwards, another; both are ordered by multikey quicksort over words of 8 bytes down to a shallow
+depth, and each group still together there has a long common prefix and is ordered by a blind trie. From the two orders and
+the common prefixes of neighbours, two strings with l bytes before the minimiser are equal exactly if their runs fall into
+one class of the first l bytes backwards and one class of the remaining bytes onward. A class met more than once, counts
+included, is repeated. Bytes, not hashes, decide.
+
+Buckets of over MOST runs are parted over the cluster before they are ordered: the range of l is halved, and each half keys
+its strings by the bytes that all of them hold (multikey partitioning). A part still too large is halved again, until one l
+is left, whose strings are grouped as they are. Nothing is dropped on any way, and no bucket grows in one task.
+
+Defined cases: null text is empty; a text under 200 bytes keeps all; repeated rows remove each other, as do ties within a
+text; very long texts are read whole; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Scratch, table
-from .windows import Shape, by_digest, cut
+from .windows import Shape, cut
 
 SHAPE = Shape("byte", 200, 32)
-MOST, SHALLOW, CHUNK = 1024, 4, 1 << 20
+MOST, SHALLOW, CHUNK = 1024, 8, 8 << 20
 
-_PIECE = ["mini", "h1", "h2", "count", "n"]
+_KEY = ["mini", "h1", "h2", "count", "at"]
+_RUN = [*_KEY, "n"]
 
 
 def shallow(words: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,66 +110,103 @@ class BlindTrie:
                 yield node[1]
 
 
-def classes(raw: bytes, starts: np.ndarray, group: np.ndarray, width: int, depth: int = SHALLOW) -> list[np.ndarray]:
-    """Suffixes in order, as classes of those that share their first ``width`` bytes. ``raw``: all suffixes have ``width`` bytes."""
-    depth = min(depth, width // 8)
-    pad = np.frombuffer(raw + bytes(8), np.uint8).astype(np.uint64)
-    words = np.zeros(len(raw) + 1, np.uint64)
-    for k in range(8):
-        words = words << np.uint64(8) | pad[k : k + len(words)]
-    order, first, _ = shallow(words, starts, group, depth)
+def ordered(strings: list[bytes], group: np.ndarray, width: int, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Strings in order within their groups (nondecreasing), by their first ``width`` bytes, zeros behind short ones; and how
+    many bytes each shares with the one before it, -1 at the start of a group."""
+    size = -(-max(width, 8 * depth) // 8) * 8
+    raw = b"".join([x[:width].ljust(size, b"\0") for x in strings])
+    flat = np.frombuffer(raw, np.uint8).reshape(len(strings), size)
+    words = np.zeros(len(raw), np.uint64)
+    words[::8] = np.frombuffer(raw, ">u8")
+    order, first, _ = shallow(words, np.arange(len(strings)) * size, group, depth)
+    order //= size
     edge = np.flatnonzero(np.append(True, first[1:] != first[:-1])) if len(first) else np.zeros(0, np.int64)
-    out = []
     for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist()):
-        if b - a == 1:
-            out.append(order[a:b])
-        else:
+        if b - a > 1:
             trie = BlindTrie()
-            for s in order[a:b].tolist():
-                trie.add(raw[s + 8 * depth : s + width], s)
-            out.extend(np.array(x) for x in trie.leaves())
-    return out
+            for k in order[a:b].tolist():
+                trie.add(raw[k * size + 8 * depth : k * size + size], k)
+            order[a:b] = [k for leaf in trie.leaves() for k in leaf]
+    far = flat[order]
+    differ = far[1:] != far[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), size)
+    shared[group[order][1:] != group[order][:-1]] = -1
+    return order, np.append(-1, shared)[: len(order)]
+
+
+def repeats(pieces: list[bytes], at: np.ndarray, count: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, width: int) -> list[np.ndarray]:
+    """For every run the offsets of its strings that are repeated within its group. ``at``: place of the minimiser in the piece;
+    only strings with ``low`` to ``high`` bytes before it count."""
+    k = len(pieces)
+    onward, share_on = ordered([p[a:] for p, a in zip(pieces, at.tolist())], group, width)
+    back, share_back = ordered([p[:a][::-1] for p, a in zip(pieces, at.tolist())], group, width)
+    least, most = np.maximum(low, at - count + 1), np.minimum(high, at)
+    class_on, class_back, hits = np.zeros(k, np.int64), np.zeros(k, np.int64), []
+    for left in range(int(least.min()), int(most.max()) + 1) if k else ():
+        here = np.flatnonzero((least <= left) & (left <= most))
+        if not len(here):
+            continue
+        class_on[onward], class_back[back] = np.cumsum(share_on < width - left), np.cumsum(share_back < left)
+        key = class_back[here] * (k + 1) + class_on[here]
+        by = np.argsort(key, kind="stable")
+        edge = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+        total = np.add.reduceat(weight[here][by], edge)
+        twice = here[by][np.repeat(total > 1, np.diff(np.append(edge, len(by))))]
+        hits.append((twice, at[twice] - left))
+    run = np.concatenate([r for r, _ in hits]) if hits else np.zeros(0, np.int64)
+    off = np.concatenate([o for _, o in hits]) if hits else np.zeros(0, np.int64)
+    by = np.lexsort((off, run))
+    return np.split(off[by], np.searchsorted(run[by], np.arange(1, k)))
 
 
 def _judge(rows: list[dict], width: int) -> pa.RecordBatch:
-    """Runs of whole buckets, with the offsets of their repeated strings (null: all)."""
-    raw = b"".join(r["piece"] for r in rows)
-    base = np.cumsum([0, *(len(r["piece"]) for r in rows)])
-    count = np.array([r["count"] for r in rows])
-    run = np.repeat(np.arange(len(rows)), count)
-    starts = base[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    mini = np.array([r["mini"] for r in rows])
-    bucket = np.cumsum(np.append(0, mini[1:] != mini[:-1]))
-    weight = np.array([r["n"] for r in rows])
-    twice = [c for c in classes(raw, starts, bucket[run], width) if len(c) > 1 or weight[np.searchsorted(base, c[0], "right") - 1] > 1]
-    hits = np.sort(np.concatenate(twice)) if twice else np.zeros(0, np.int64)
-    cuts = np.searchsorted(hits, base)
-    out = []
-    for i, r in enumerate(rows):
-        off = hits[cuts[i] : cuts[i + 1]] - base[i]
-        if len(off):
-            out.append((*(r[c] for c in _PIECE[:4]), None if len(off) == r["count"] else off.tolist()))
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], [*_PIECE[:4], "offs"])
+    """Runs of whole buckets, with the offsets of their repeated strings."""
+    col = lambda c: np.array([r[c] for r in rows], np.int64)
+    bucket = col("bucket")
+    got = repeats([r["piece"] for r in rows], col("at"), col("count"), col("n"), col("low"), col("high"), np.cumsum(np.append(0, bucket[1:] != bucket[:-1])), width)
+    out = [(*(r[c] for c in _KEY), off.tolist()) for r, off in zip(rows, got) if len(off)]
+    kinds = [pa.int64()] * len(_KEY) + [pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], [*_KEY, "offs"])
+
+
+def _parted(runs: DataFrame, shape: Shape, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """Parts of large buckets that are small enough to order, and the paths judged on the way down to a single l."""
+    rest, small = shape.width - shape.gram, []
+    while True:
+        middle = F.expr("(low + high) div 2")
+        half = F.explode(F.array(F.struct(F.col("low").alias("l"), middle.alias("h")), F.struct((middle + 1).alias("l"), F.col("high").alias("h")))).alias("half")
+        parts = runs.where("low < high").select(*_RUN, "piece", half).select(*_RUN, "piece", F.col("half.l").alias("low"), F.col("half.h").alias("high"))
+        parts = parts.where("low <= high and low <= at and high >= at - count + 1")
+        held = F.expr(f"substring(piece, cast(at - low + 1 as int), cast(low + {shape.gram} + {rest} - high as int))")
+        parts = scratch.keep(parts.withColumn("bucket", F.xxhash64("mini", "low", "high", held)))
+        large = scratch.keep(parts.groupBy("bucket").count().where(F.col("count") > MOST).select("bucket"))
+        small.append(parts.join(large, "bucket", "left_anti"))
+        runs = scratch.keep(parts.join(large, "bucket", "left_semi"))
+        if runs.where("low < high").isEmpty():
+            break
+    string = F.expr(f"substring(piece, cast(at - low + 1 as int), {shape.width})")
+    one = runs.where("low = high").withColumn("string", string)
+    twice = one.groupBy("string").agg(F.sum("n").alias("t")).where("t > 1").drop("t")
+    return small, one.join(scratch.keep(twice), "string").select(*_KEY, F.array(F.col("at") - F.col("low")).alias("offs"))
 
 
 def by_order(again: DataFrame, shape: Shape, scratch: Scratch) -> DataFrame:
-    """As ``windows.by_digest``, with buckets of up to MOST runs judged by their suffix order."""
-    width = shape.width
+    """As ``windows.by_digest``, judged by the order of suffixes."""
+    width, rest = shape.width, shape.width - shape.gram
 
     def pieces(batches):
         for b in batches:
             out = []
             for text, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = text.encode()
-                out.extend({**{c: x[c] for c in _PIECE}, "piece": raw[x["start"] : x["start"] + x["count"] - 1 + width]} for x in starts)
-            yield pa.RecordBatch.from_pylist(out, pa.schema([*((c, pa.int64()) for c in _PIECE), ("piece", pa.binary())]))
+                out.extend({**{c: x[c] for c in [*_RUN, "branches"]}, "piece": raw[x["start"] : x["start"] + x["count"] - 1 + width]} for x in starts)
+            yield pa.RecordBatch.from_pylist(out, pa.schema([*((c, pa.int64()) for c in [*_RUN, "branches"]), ("piece", pa.binary())]))
 
     def judge(batches):
         rows, held = [], 0
         for b in batches:
             for r in b.to_pylist():
-                if held >= CHUNK and r["mini"] != rows[-1]["mini"]:  # a bucket is never parted
+                if held >= CHUNK and r["bucket"] != rows[-1]["bucket"]:  # a bucket is never parted
                     yield _judge(rows, width)
                     rows, held = [], 0
                 rows.append(r)
@@ -172,13 +214,21 @@ def by_order(again: DataFrame, shape: Shape, scratch: Scratch) -> DataFrame:
         if rows:
             yield _judge(rows, width)
 
-    def part(condition: str) -> DataFrame:
-        return again.select("text", F.expr(f"filter(starts, x -> x.branches {condition} {MOST})").alias("starts")).where("size(starts) > 0")
-
-    longs = ", ".join(f"{c} long" for c in _PIECE)
-    cold = scratch.keep(part("<=").mapInArrow(pieces, f"{longs}, piece binary"))
-    cold = cold.repartition("mini").sortWithinPartitions("mini", "h1", "h2").mapInArrow(judge, "mini long, h1 long, h2 long, count long, offs array<long>")
-    return cold.unionByName(by_digest(part(">"), shape, scratch))
+    names = [*_RUN, "piece", "low", "high", "bucket"]
+    runs = scratch.keep(again.mapInArrow(pieces, ", ".join(f"{c} long" for c in [*_RUN, "branches"]) + ", piece binary"))
+    runs = runs.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(rest).cast("long"))
+    small, tail = [runs.where(F.col("branches") <= MOST).withColumn("bucket", F.col("mini")).select(names)], None
+    large = runs.where(F.col("branches") > MOST)
+    if not large.isEmpty():
+        more, tail = _parted(large, shape, scratch)
+        small += [m.select(names) for m in more]
+    every = small[0]
+    for m in small[1:]:
+        every = every.unionByName(m)
+    out = every.repartition("bucket").sortWithinPartitions("bucket", "h1", "h2").mapInArrow(judge, ", ".join(f"{c} long" for c in _KEY) + ", offs array<long>")
+    if tail is None:
+        return out
+    return out.unionByName(tail).groupBy(*_KEY).agg(F.flatten(F.collect_list("offs")).alias("offs"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,18 @@
-"""Repeated windows of symbol sequences by a compacted de Bruijn graph.
-
-The windows of a text are the edges of a de Bruijn graph. Each run of windows that share their minimiser (the smallest
-hashed gram of a window, leftmost on ties) is a path of that graph; it is named by its minimiser and a 128-bit hash of all
-its symbols. Paths are grouped by name, so a passage met a million times is one row with a count. Where a minimiser has
-only one path, that path has no branch and all its windows repeat exactly if its count is over one. Where a minimiser
-has several paths (the branches), one source of each is read again and its windows are counted apart, weighted with the
-counts of their paths. Equal windows have equal minimisers, so nothing is missed; only unbounded runs of distinct
-windows, never groups of copies, are expanded. The repeated offsets of every path go back to all source coordinates.
-
-A window is believed equal to another if the 128-bit hashes of all its symbols agree.
+"""Repeated windows of symbol sequences, counted inside runs that share a minimiser.
+
+A run is a stretch of consecutive windows with the same minimiser (the smallest hashed gram of a window, leftmost on ties):
+a path of the de Bruijn graph whose edges are the windows. It is named by its minimiser and a 128-bit BLAKE2b digest of all
+its bytes, so a passage met a million times is one row with a count. Where a minimiser has only one path, that path has no
+branch and all its windows repeat exactly if its count is over one. Where a minimiser has several paths (the branches),
+one source of each is read again and its windows are judged apart, weighted with the counts of their paths. Equal windows
+have equal minimisers, so nothing is missed; only distinct runs, never groups of copies, are expanded. The repeated offsets
+of every path go back to all source coordinates.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from ._common import Rolling, Scratch, WordHashes, mix
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 @dataclass(frozen=True)
@@ -36,25 +34,27 @@ class Shape:
 
 
 class Sequence:
-    """Symbols of one text and the hashes of their windows."""
+    """Symbols of one text, its windows and their digests."""
 
     def __init__(self, text: str | None, shape: Shape, memo: WordHashes):
-        self.raw = b"" if text is None else text.encode()
+        self.raw, self.shape = b"" if text is None else text.encode(), shape
         if shape.unit == "word":
             self.words = self.raw.split()
-            symbols = memo.of(self.words)
+            self.size = len(self.words)
         else:
-            symbols = _BYTE[np.frombuffer(self.raw, np.uint8)]
-        self.size = len(symbols)
+            self.size = len(self.raw)
         self.enough = self.size >= shape.width
-        if self.enough:
-            self.shape = shape
-            self.one, self.two = Rolling(symbols, _BASES[0]), Rolling(mix(symbols), _BASES[1])
+        if self.enough and shape.unit == "word":
+            self.symbols, self.flat = memo.of(self.words), b" ".join(self.words)
+            self.end = np.cumsum(np.fromiter(map(len, self.words), np.int64, self.size) + 1) - 1
+            self.begin = np.append(0, self.end[:-1] + 1)
+        elif self.enough:
+            self.symbols, self.flat = _BYTE[np.frombuffer(self.raw, np.uint8)], self.raw
 
     def paths(self):
-        """start, number of windows, minimiser, two hashes of every path."""
+        """start, number of windows, minimiser, its place after start, two halves of the digest of every path."""
         s = self.shape
-        keys = mix(self.one.windows(s.gram))
+        keys = mix(Rolling(self.symbols).windows(s.gram))
         at, span, have = np.arange(len(keys)), s.width - s.gram + 1, 1
         while have < span:
             step = min(have, span - have)
@@ -63,15 +63,23 @@ class Sequence:
             have += step
         start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         count = np.diff(np.append(start, len(at)))
-        end = start + count - 1 + s.width
-        return start, count, keys[at[start]], self.one.spans(start, end), self.two.spans(start, end)
+        h = self.digests(start, start + count - 1 + s.width)
+        return start, count, keys[at[start]], at[start] - start, h[:, 0], h[:, 1]
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128-bit digests of spans of symbols, as two columns."""
+        if self.shape.unit == "word":
+            start, end = self.begin[start], self.end[end - 1]
+        flat = self.flat
+        got = b"".join([blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())])
+        return np.frombuffer(got, np.int64).reshape(-1, 2)
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-_PATH = ["mini", "h1", "h2", "count"]
+_PATH = ["mini", "h1", "h2", "count", "at"]
 
 
 def by_digest(again: DataFrame, shape: Shape, scratch: Scratch) -> DataFrame:
@@ -82,17 +90,19 @@ def by_digest(again: DataFrame, shape: Shape, scratch: Scratch) -> DataFrame:
         for b in batches:
             for text, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 q = Sequence(text, shape, memo)
-                w1, w2 = q.one.windows(shape.width), q.two.windows(shape.width)
                 for x in starts:
-                    off = np.arange(x["count"])
-                    k = len(off)
+                    k = x["count"]
+                    off = np.arange(k)
+                    w = q.digests(x["start"] + off, x["start"] + off + shape.width)
                     cols = [np.full(k, x[c], np.int64) for c in _PATH]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _long(off), _long(w1[x["start"] + off]), _long(w2[x["start"] + off]), pa.array(np.full(k, x["n"], np.int64))], [*_PATH, "off", "w1", "w2", "n"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _long(off), _long(w[:, 0]), _long(w[:, 1]), pa.array(np.full(k, x["n"], np.int64))], [*_PATH, "off", "w1", "w2", "n"])
 
     apart = scratch.keep(again.mapInArrow(windows, ", ".join(f"{c} long" for c in [*_PATH, "off", "w1", "w2", "n"])))
     # A window common to many paths is counted before the shuffle and joined back: its paths never meet in one task.
     multiple = scratch.keep(apart.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").drop("t"))
-    return apart.join(multiple, ["w1", "w2"]).groupBy(*_PATH).agg(F.collect_list("off").alias("offs"))
+    out = scratch.keep(apart.join(multiple, ["w1", "w2"]).groupBy(*_PATH).agg(F.collect_list("off").alias("offs")))
+    scratch.drop(apart, multiple)
+    return out
 
 
 def repeated(spark: SparkSession, texts: DataFrame, shape: Shape, scratch: Scratch, branches=by_digest) -> DataFrame:
@@ -105,21 +115,25 @@ def repeated(spark: SparkSession, texts: DataFrame, shape: Shape, scratch: Scrat
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 q = Sequence(text, shape, memo)
                 if q.enough:
-                    start, count, mini, h1, h2 = q.paths()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), rid, np.int64)), _long(start), _long(mini), _long(h1), _long(h2), _long(count)], ["rid", "start", *_PATH])
+                    start, count, mini, at, h1, h2 = q.paths()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), rid, np.int64)), _long(start), _long(mini), _long(h1), _long(h2), _long(count), _long(at)], ["rid", "start", *_PATH])
 
     longs = ", ".join(f"{c} long" for c in ["rid", "start", *_PATH])
     found = scratch.keep(texts.mapInArrow(paths, longs))
     distinct = scratch.keep(found.groupBy(*_PATH).agg(F.count("*").alias("n"), F.min(F.struct("rid", "start")).alias("src")))
     group = distinct.groupBy("mini").agg(F.count("*").alias("branches"), F.sum("n").alias("total")).where("total > 1")
     marked = scratch.keep(distinct.join(group, "mini"))
+    scratch.drop(distinct)
     straight = marked.where("branches = 1").select(*_PATH, F.lit(None).cast("array<long>").alias("offs"))
     starts = marked.where("branches > 1").select(F.col("src.rid").alias("rid"), F.struct(F.col("src.start").alias("start"), *_PATH, "n", "branches").alias("s"))
     starts = starts.groupBy("rid").agg(F.collect_list("s").alias("starts"))
     branched = branches(texts.join(starts, "rid").select("text", "starts"), shape, scratch)
     every = scratch.keep(straight.unionByName(branched))
+    scratch.drop(marked)
     hits = found.join(every, _PATH).select("rid", F.struct("start", "count", "offs").alias("h"))
-    return scratch.keep(hits.groupBy("rid").agg(F.collect_list("h").alias("hits")))
+    out = scratch.keep(hits.groupBy("rid").agg(F.collect_list("h").alias("hits")))
+    scratch.drop(found, every)
+    return out
 
 
 def cover(size: int, hits: list[dict] | None, shape: Shape) -> np.ndarray:
@@ -158,4 +172,5 @@ def cut(spark: SparkSession, docs: DataFrame, shape: Shape, doc_id: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = rows.join(hits, "rid", "left").select("doc_id", "text", "hits")
+    # The table of texts and hits stays until the session's folder goes: the frame returned reads it.
     return joined.mapInArrow(apply, "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary")

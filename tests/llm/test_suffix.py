@@ -17,13 +17,33 @@ def test_order(letters, width, depth):
     rng = np.random.default_rng(5)
     part = bytes(rng.choice(list(letters), 90).tolist())
     raw = part + bytes(rng.choice(list(letters), 60).tolist()) + part[7:]
-    starts = np.arange(len(raw) - width + 1)
-    group = starts * 3 // (len(starts) + 1)
-    want = sorted({(int(g), raw[s : s + width]) for s, g in zip(starts, group)})
-    got = suffix.classes(raw, starts, group, width, depth)
-    assert [(int(group[c[0]]), raw[c[0] : c[0] + width]) for c in got] == want
-    assert sorted(np.concatenate(got).tolist()) == starts.tolist()
-    assert all(len({(int(group[s]), raw[s : s + width]) for s in c}) == 1 for c in got)
+    strings = [raw[s : s + width] for s in range(len(raw))]
+    group = np.arange(len(raw)) * 3 // len(raw)
+    order, shared = suffix.ordered(strings, group, width, depth)
+    full = [(int(g), s.ljust(width, b"\0")) for g, s in zip(group, strings)]
+    assert [full[k] for k in order] == sorted(full)
+    for i, j, n in zip(order, order[1:], shared[1:]):
+        (g, a), (h, b) = full[i], full[j]
+        assert n == -1 if g != h else min(n, width) == next((k for k in range(width) if a[k] != b[k]), width)
+
+
+def test_repeats():
+    rng = np.random.default_rng(6)
+    width, gram = 12, b"GRAM"
+    left = [bytes(rng.choice(list(b"ab"), 8).tolist()) for _ in range(60)]
+    right = [bytes(rng.choice(list(b"ab"), 8).tolist()) for _ in range(60)]
+    at, end = rng.integers(0, 9, 60), rng.integers(0, 9, 60)
+    runs = [(x[8 - a :] + gram + y[:e], int(a)) for x, y, a, e in zip(left, right, at, end) if a + e >= 8]
+    group, weight = np.arange(len(runs)) // 20, np.where(np.arange(len(runs)) % 9, 1, 2)
+    count = np.array([len(p) - width + 1 for p, _ in runs])
+    place = np.array([a for _, a in runs])
+    seen = Counter()
+    for (p, a), c, g, w in zip(runs, count, group, weight):
+        for k in range(c):
+            seen[g, a - k, p[k : k + width]] += int(w)
+    got = suffix.repeats([p for p, _ in runs], place, count, weight, np.zeros(len(runs), int), np.full(len(runs), 8), group, width)
+    for (p, a), c, g, off in zip(runs, count, group, got):
+        assert off.tolist() == [k for k in range(c) if seen[g, a - k, p[k : k + width]] > 1]
 
 
 @pytest.mark.parametrize("width, gram, most", [(200, 32, 1024), (20, 4, 1024), (20, 4, 2)])
