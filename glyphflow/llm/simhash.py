@@ -11,7 +11,8 @@ Large groups: before the probe join, members of one stored key link to the small
 they are within tau; the join then looks only for links between different components.
 
 Defined cases: null or blank text has fingerprint zero and links like any other; repeated rows share a fingerprint; an
-empty table gives an empty table; null doc_id never names a component unless it is alone; further columns are not read.
+empty table gives an empty table; null doc_id never names a component unless it is alone; very long texts are read whole,
+hashed in slices; further columns are not read.
 """
 
 from __future__ import annotations
@@ -175,8 +176,13 @@ def clusters(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     return _labelled(Scratch(spark), docs, doc_id, text).select("doc_id", "fp", "component_id")
 
 
-def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first row of every component, all columns."""
+def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", verified: bool = False) -> DataFrame:
+    """The first row of every component, all columns. ``verified``: components of texts alike in their shingles
+    (``nearcopies``), for which fingerprints give the candidates that they can; else links of fingerprints alone."""
+    if verified:
+        from . import nearcopies
+
+        return nearcopies.dedup(spark, docs, doc_id, text)
     scratch = Scratch(spark)
     return drop_rows(docs, _labelled(scratch, docs, doc_id, text), scratch, doc_id, text)
 
