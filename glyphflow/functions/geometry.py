@@ -50,3 +50,76 @@ def clamp(v: Column, lo: Column, hi: Column) -> Column:
 
 def gray() -> Column:
     return F.expr("(299 * r + 587 * g + 114 * b) div 1000")
+
+
+def rounded(v: Column) -> Column:
+    """Half away from zero for what is not negative, as an integer."""
+    return F.floor(v + 0.5).cast("long")
+
+
+def resized(width: Column, height: Column, longest: int = 1280, multiple: int = 32) -> dict[str, Column]:
+    """Size of an image scaled to at most ``longest`` on its longer side, and padded to a multiple."""
+    scale = F.least(F.lit(1.0), longest / F.greatest(width, height))
+    w, h = (F.greatest(F.lit(1).cast("long"), rounded(v * scale)) for v in (width, height))
+    pad = lambda v: ((v + multiple - 1) - (v + multiple - 1) % multiple).cast("long")
+    return {"w": w, "h": h, "pad_w": pad(w), "pad_h": pad(h)}
+
+
+def corners(p: str = "") -> Column:
+    """Quad of a box: top left, top right, bottom right, bottom left."""
+    at = lambda x, y: F.struct(F.col(p + x).alias("x"), F.col(p + y).alias("y"))
+    return F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1"))
+
+
+def ordered_corners(quad: Column) -> Column:
+    """The points of least and largest sums and differences: top left, top right, bottom right, bottom left; first on ties."""
+
+    def first(key, most: bool):
+        keys = F.transform(quad, key)
+        return F.element_at(quad, F.array_position(keys, F.array_max(keys) if most else F.array_min(keys)).cast("int"))
+
+    total, side = (lambda q: q["x"] + q["y"]), (lambda q: q["x"] - q["y"])
+    return F.array(first(total, False), first(side, True), first(total, True), first(side, False))
+
+
+def half_turn(quad: Column) -> Column:
+    return F.concat(F.slice(quad, 3, 2), F.slice(quad, 1, 2))
+
+
+def flipped(logits: Column, least: float = 0.9) -> Column:
+    """Whether the second of two class scores wins and is sure; fewer than two, or none at all: false."""
+    a, b = F.get(logits, F.lit(0)), F.get(logits, F.lit(1))
+    return F.coalesce((b > a) & (b > least), F.lit(False))
+
+
+def bounds(quad: Column) -> dict[str, Column]:
+    xs, ys = F.transform(quad, lambda q: q["x"]), F.transform(quad, lambda q: q["y"])
+    return {"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)}
+
+
+def distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.pow((a["x"] - b["x"]).cast("double"), 2.0) + F.pow((a["y"] - b["y"]).cast("double"), 2.0))
+
+
+def crop_size(quad: Column, height: int = 48) -> dict[str, Column]:
+    """Width and height of the straightened crop of ``height`` pixels a line, and whether it stands upright; without the fixed
+    height, the plain size."""
+    q = ordered_corners(quad)
+    p = [F.element_at(q, k) for k in (1, 2, 3, 4)]
+    w = F.greatest(distance(p[0], p[1]), distance(p[3], p[2]))
+    h = F.greatest(F.greatest(distance(p[0], p[3]), distance(p[1], p[2])), F.lit(1.0))
+    long = F.greatest(F.lit(1).cast("long"), F.when(h > w, rounded(height * h / F.greatest(w, F.lit(1e-9)))).otherwise(rounded(height * w / h)))
+    return {"upright": h > w, "length": long, "w": F.greatest(F.lit(1).cast("long"), w.cast("long")), "h": h.cast("long")}
+
+
+def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
+    """Even-odd ray cast: borders at the least coordinates are inside, those at the largest are not."""
+    out = F.lit(False)
+    for (xi, yi), (xj, yj) in zip(polygon, [polygon[-1], *polygon[:-1]]):
+        if yi != yj:
+            out = out != (((F.lit(float(yi)) > y) != (F.lit(float(yj)) > y)) & (x < (xj - xi) * (y - yi) / float(yj - yi) + xi))
+    return out
+
+
+def colour_distance(a: list[Column], b: list[Column]) -> Column:
+    return sum(((p - q) * (p - q) for p, q in zip(a, b)), F.lit(0))

@@ -1,42 +1,94 @@
-"""Joins and merges of boxes. All joins are equi-joins on image and orientation with a residual predicate."""
+"""Joins and merges of boxes. Boxes meet through the grid cells that they cover, so work follows the boxes, not their pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 
-MAX_DISTANCE, MAX_RATIO, MIN_OVERLAP = 10, 1.5, 0.8
+MAX_DISTANCE, MAX_RATIO, MIN_OVERLAP, CELL = 10, 1.5, 0.8, 64
 
 
 def prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*[F.col(c).alias(p + c) for c in df.columns])
 
 
-def proximity_edges(boxes: DataFrame, max_distance: float = MAX_DISTANCE, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """image_id, a, b of boxes (a < b) of one image and orientation, near each other and of like size."""
-    d = boxes.select("image_id", "box_id", "x0", "y0", "x1", "y1", g.vertical().alias("tall"), F.least(g.width(), g.height()).alias("size"))
-    a, b = prefixed(d, "a_"), prefixed(d, "b_")
-    big, small = F.greatest("a_size", "b_size"), F.least("a_size", "b_size")
-    on = (F.col("a_image_id") == F.col("b_image_id")) & (F.col("a_tall") == F.col("b_tall")) & (F.col("a_box_id") < F.col("b_box_id"))
-    on = on & (big <= small * max_ratio) & (g.gap_squared("a_", "b_") <= max_distance * max_distance)
-    return a.join(b, on).select(F.col("a_image_id").alias("image_id"), F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"))
+def _cells(d: DataFrame, p: str, margin: int, cell: int) -> DataFrame:
+    """``d`` once for each cell that its box, grown by ``margin``, covers."""
+    low = lambda v: F.floor((F.col(p + v) - margin) / cell)
+    high = lambda v: F.floor((F.col(p + v) + margin) / cell)
+    x = d.where((F.col(p + "x1") >= F.col(p + "x0")) & (F.col(p + "y1") >= F.col(p + "y0")))
+    return x.withColumn(p + "cx", F.explode(F.sequence(low("x0"), high("x1")))).withColumn(p + "cy", F.explode(F.sequence(low("y0"), high("y1"))))
 
 
-def box_clusters(boxes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``boxes`` with cluster (smallest box_id reachable); components are folded inside each image, whose boxes are few."""
-    per = edges.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("es"))
-    ids = boxes.join(per, "image_id").groupBy("image_id").agg(F.first("es").alias("es"), F.array_sort(F.collect_set("box_id")).alias("ids"))
-    start = F.transform("ids", lambda i: F.struct(i.alias("id"), i.alias("c")))
+def meeting(a: DataFrame, b: DataFrame, on: Column, margin: int = 0, cell: int = CELL) -> DataFrame:
+    """Pairs of boxes of ``a`` (a_ columns) and ``b`` (b_ columns) of one image whose gap on each axis is at most ``margin``
+    and for which ``on`` holds. A pair is taken in one cell only: that of the first corner that both reach."""
+    left, right = _cells(a, "a_", margin, cell), _cells(b, "b_", 0, cell)
+    here = lambda v: F.floor(F.greatest(F.col(f"a_{v}0") - margin, F.col(f"b_{v}0")) / cell)
+    near = (F.col("a_image_id") == F.col("b_image_id")) & (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy"))
+    return left.join(right, near & (F.col("a_cx") == here("x")) & (F.col("a_cy") == here("y")) & on).drop("a_cx", "a_cy", "b_cx", "b_cy")
 
-    def relabel(acc, e):
-        of = lambda v: F.element_at(F.filter(acc, lambda x: x["id"] == v), 1)["c"]
-        lo, hi = F.least(of(e["a"]), of(e["b"])), F.greatest(of(e["a"]), of(e["b"]))
-        return F.transform(acc, lambda x: F.struct(x["id"].alias("id"), F.when(x["c"] == hi, lo).otherwise(x["c"]).alias("c")))
 
-    labels = ids.select("image_id", F.explode(F.aggregate("es", start, relabel)).alias("l")).select("image_id", F.col("l.id").alias("box_id"), F.col("l.c").alias("cluster"))
-    return boxes.join(labels, ["image_id", "box_id"], "left").withColumn("cluster", F.coalesce("cluster", "box_id"))
+def near_pairs(boxes: DataFrame, distance: float) -> DataFrame:
+    """Pairs (a_, b_ columns, a before b) of boxes of one image with a gap of at most ``distance``."""
+    on = (F.col("a_box_id") < F.col("b_box_id")) & (g.gap_squared("a_", "b_") <= distance * distance)
+    return meeting(prefixed(boxes, "a_"), prefixed(boxes, "b_"), on, int(-(-distance // 1)))
+
+
+def proximity_edges(boxes: DataFrame, max_distance: float = MAX_DISTANCE, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """image_id, a, b of boxes (a < b) of one image and orientation, near each other and of like size."""
+    d = boxes.select("image_id", "box_id", "x0", "y0", "x1", "y1", g.vertical().alias("tall"), F.least(g.width(), g.height()).alias("size"))
+    big, small = F.greatest("a_size", "b_size"), F.least("a_size", "b_size")
+    p = near_pairs(d, max_distance).where((F.col("a_tall") == F.col("b_tall")) & (big <= small * max_ratio))
+    return p.select(F.col("a_image_id").alias("image_id"), F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"))
+
+
+def _labels(x0, y0, x1, y1, ids, distance: float, ratio: float, cell: int = CELL) -> list[int]:
+    """The smallest id of each box's cluster; boxes meet through grid cells, clusters through a union-find."""
+    n, root, seen = len(ids), list(range(len(ids))), {}
+    m = int(-(-distance // 1))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(n):
+        w, h = x1[i] - x0[i], y1[i] - y0[i]
+        tall, size, met = h > w, min(w, h), set()
+        for cx in range((x0[i] - m) // cell, (x1[i] + m) // cell + 1):
+            for cy in range((y0[i] - m) // cell, (y1[i] + m) // cell + 1):
+                met.update(seen.get((tall, cx, cy), ()))
+        for j in met:
+            a, b = find(i), find(j)
+            if a == b:
+                continue
+            other = min(x1[j] - x0[j], y1[j] - y0[j])
+            dx, dy = max(0, max(x0[i], x0[j]) - min(x1[i], x1[j])), max(0, max(y0[i], y0[j]) - min(y1[i], y1[j]))
+            if max(size, other) <= ratio * min(size, other) and dx * dx + dy * dy <= distance * distance:
+                root[max(a, b)] = min(a, b)
+        for cx in range(x0[i] // cell, x1[i] // cell + 1):
+            for cy in range(y0[i] // cell, y1[i] // cell + 1):
+                seen.setdefault((tall, cx, cy), []).append(i)
+    return [ids[find(i)] for i in range(n)]
+
+
+def box_clusters(boxes: DataFrame, max_distance: float = MAX_DISTANCE, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """``boxes`` with cluster (smallest box_id reachable by proximity): one row for each image, all images of a batch at once."""
+
+    @F.pandas_udf("array<long>")
+    def of(kids: pd.Series) -> pd.Series:
+        return pd.Series([_labels(*([k[c] for k in ks] for c in ("x0", "y0", "x1", "y1", "box_id")), max_distance, max_ratio) for ks in kids], dtype=object)
+
+    names = [c for c in boxes.columns if c != "image_id"]
+    kids = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", *[c for c in names if c != "box_id"]))).alias("kids"))
+    bare = F.transform("kids", lambda k: F.struct(*[k[c].alias(c) for c in ("x0", "y0", "x1", "y1", "box_id")]))
+    both = kids.select("image_id", F.explode(F.arrays_zip("kids", of(bare).alias("cluster"))).alias("k"))
+    return both.select("image_id", *[F.col(f"k.kids.{c}").alias(c) for c in names], F.col("k.cluster").alias("cluster"))
 
 
 def merged_lines(clustered: DataFrame) -> DataFrame:
@@ -45,25 +97,51 @@ def merged_lines(clustered: DataFrame) -> DataFrame:
     child = F.struct(g.center_y().alias("cy"), g.center_x().alias("cx"), "box_id", "text", "score")
     m = clustered.groupBy("image_id", "cluster").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.count("*").alias("n"), tall.alias("tall"), F.collect_list(child).alias("kids"),
+        F.count("*").alias("n"), tall.alias("tall"), F.collect_list(child).alias("kids"), F.avg(F.least(g.width(), g.height())).alias("size"),
     )
     across = F.array_sort("kids")
     down = F.array_sort(F.transform("kids", lambda k: F.struct((-k["cx"]).alias("nx"), k["cy"].alias("cy"), k["box_id"].alias("box_id"), k["text"].alias("text"), k["score"].alias("score"))))
-    text = F.when(F.col("tall"), F.array_join(F.transform(down, lambda k: k["text"]), " ")).otherwise(F.array_join(F.transform(across, lambda k: k["text"]), " "))
+    words = lambda kids: F.array_join(F.filter(F.transform(kids, lambda k: k["text"]), lambda t: F.trim(t) != ""), " ")
+    text = F.when(F.col("tall"), words(down)).otherwise(words(across))
     score = F.when(F.col("tall"), F.element_at(down, 1)["score"]).otherwise(F.element_at(across, 1)["score"])
-    m = m.select("image_id", "cluster", "x0", "y0", "x1", "y1", "n", text.alias("text"), score.alias("score"))
+    m = m.select("image_id", "cluster", "x0", "y0", "x1", "y1", "n", text.alias("text"), score.alias("score"), "size")
     return m.withColumn("line", F.row_number().over(Window.partitionBy("image_id").orderBy(g.center_y(), g.center_x(), "cluster")).cast("long"))
 
 
 def assign_children(children: DataFrame, parents: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """image_id, box_id, parent_id: the parent of same orientation that covers most of a child, at least ``min_overlap``."""
-    c = prefixed(children.where(g.area() > 0), "c_").withColumn("c_tall", g.vertical("c_"))
-    p = prefixed(parents, "p_").withColumn("p_tall", g.vertical("p_"))
-    over = g.intersection("c_", "p_")
-    on = (F.col("c_image_id") == F.col("p_image_id")) & (F.col("c_tall") == F.col("p_tall")) & (over >= g.area("c_") * min_overlap)
-    best = F.min_by("p_parent_id", F.struct((-over).alias("o"), F.col("p_parent_id"))).alias("parent_id")
-    return c.join(p, on).groupBy(F.col("c_image_id").alias("image_id"), F.col("c_box_id").alias("box_id")).agg(best)
+    c = prefixed(children.where(g.area() > 0), "a_").withColumn("a_tall", g.vertical("a_"))
+    p = prefixed(parents, "b_").withColumn("b_tall", g.vertical("b_"))
+    over = g.intersection("a_", "b_")
+    pairs = meeting(c, p, (F.col("a_tall") == F.col("b_tall")) & (over >= g.area("a_") * min_overlap))
+    best = F.min_by("b_parent_id", F.struct((-over).alias("o"), F.col("b_parent_id"))).alias("parent_id")
+    return pairs.groupBy(F.col("a_image_id").alias("image_id"), F.col("a_box_id").alias("box_id")).agg(best)
 
 
 def orphans(children: DataFrame, assigned: DataFrame) -> DataFrame:
     return children.where(g.area() > 0).join(assigned, ["image_id", "box_id"], "left_anti")
+
+
+def with_children(parents: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Parents that have children, with their number and ids in order."""
+    kids = assigned.groupBy("image_id", "parent_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("box_id")).alias("kids"))
+    return parents.join(kids, ["image_id", "parent_id"])
+
+
+def hierarchical(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Parents with children, in their order, then every orphan as a parent of itself, in the order of children: image_id,
+    seq, parent_id (null: orphan), box_id (null: parent), x0, y0, x1, y1, n."""
+    assigned = assign_children(children, parents)
+    box, none = ["x0", "y0", "x1", "y1"], F.lit(None).cast("long")
+    own = with_children(parents, assigned).select("image_id", F.lit(0).alias("tail"), "parent_id", none.alias("box_id"), *box, "n")
+    alone = orphans(children, assigned).select("image_id", F.lit(1).alias("tail"), none.alias("parent_id"), "box_id", *box, F.lit(0).cast("long").alias("n"))
+    order = Window.partitionBy("image_id").orderBy("tail", "parent_id", "box_id")
+    return own.unionByName(alone).withColumn("seq", F.row_number().over(order).cast("long")).drop("tail")
+
+
+def parent_text(lines: DataFrame, parent: list[str], order: list[str]) -> DataFrame:
+    """Texts of recognised lines (neither null nor empty) joined in order, and their mean score, by parent; parents without
+    any are dropped. ``lines``: parent, order, text, score."""
+    kept = lines.where("text is not null and text <> ''")
+    kids = F.array_sort(F.collect_list(F.struct(*order, "text")))
+    return kept.groupBy(*parent).agg(F.array_join(F.transform(kids, lambda k: k["text"]), " ").alias("text"), F.avg("score").alias("score"), F.count("*").alias("n"))

@@ -37,3 +37,93 @@ def runs(marks: DataFrame, key: str, pos: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(pos)
     isle = marks.withColumn("i", F.col(pos) - F.row_number().over(w))
     return isle.groupBy(key, "i").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end")).drop("i")
+
+
+def text_colour(pixels: DataFrame, least: int = 4, least_outside: int = 20) -> DataFrame:
+    """image_id, r, g, b, dark of images with at least ``least`` pixels inside: the colour of the text cluster.
+
+    Pixels inside are parted at Otsu's threshold. Text is the cluster whose median is farther from that of the pixels outside
+    (ties: dark); with fewer than ``least_outside`` of these, the cluster of larger variance (ties: dark). With one cluster
+    only, it is the median of all.
+    """
+    t = otsu(pixels)
+    p = pixels.join(t, "image_id").withColumn("part", F.when(~F.col("inside"), 0).when(g.gray() <= F.col("threshold"), 1).otherwise(2))
+    med = lambda c, k: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC) FILTER (WHERE {k})").cast("long")
+    kinds = {"o": "part = 0", "d": "part = 1", "l": "part = 2", "a": "part > 0"}
+    spread = lambda k: sum((F.var_pop(F.when(F.expr(kinds[k]), F.col(c))) for c in "rgb"), F.lit(0.0))
+    s = p.groupBy("image_id").agg(
+        *[med(c, cond).alias(c + k) for k, cond in kinds.items() for c in "rgb"], *[F.count_if(F.expr(cond)).alias("n" + k) for k, cond in kinds.items()],
+        spread("d").alias("vd"), spread("l").alias("vl"),
+    )
+    far = lambda k: g.colour_distance([F.col(c + k) for c in "rgb"], [F.col(c + "o") for c in "rgb"])
+    dark = F.when((F.col("nd") == 0) | (F.col("nl") == 0), F.lit(None)).when(F.col("no") >= least_outside, far("d") >= far("l")).otherwise(F.round("vl", 6) <= F.round("vd", 6))
+    pick = [F.when(F.col("dark").isNull(), F.col(c + "a")).when(F.col("dark"), F.col(c + "d")).otherwise(F.col(c + "l")).alias(c) for c in "rgb"]
+    return s.where(F.col("na") >= least).withColumn("dark", dark).select("image_id", *pick, "dark")
+
+
+def char_spans(segments: Column, chars: int, axis: int) -> Column:
+    """Character spans (start, end) of pixel segments in order, out of ``chars`` over ``axis`` pixels. A span starts no earlier
+    than the one before it ends, has one character at least, and is left out where no character remains."""
+    scaled = lambda v: F.greatest(F.lit(0).cast("long"), F.least(F.lit(chars).cast("long"), F.floor(v * float(chars) / axis + 0.5)))
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def step(acc, s):
+        start = F.greatest(scaled(s["start"]), F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0).cast("long")))
+        end = F.least(F.lit(chars).cast("long"), F.greatest(scaled(s["end"]), start + 1))
+        return F.when(start >= chars, acc).otherwise(F.concat(acc, F.array(F.struct(start.alias("start"), end.alias("end"))).cast(kind)))
+
+    return F.aggregate(segments, F.array().cast(kind), step)
+
+
+_SPANS = "array<struct<start:bigint,end:bigint,r:bigint,g:bigint,b:bigint>>"
+
+
+def _apart(x: Column, y: Column) -> Column:
+    return g.colour_distance([x[c] for c in "rgb"], [y[c] for c in "rgb"])
+
+
+def _channel(spans: str, c: str) -> Column:
+    return F.transform(spans, lambda s: s[c])
+
+
+def suppress_outliers(df: DataFrame, spans: str, least: int = 6000, ratio: int = 3, alike: int = 4000) -> DataFrame:
+    """``df`` with outlying colours of ``spans`` (start, end, r, g, b, in order) given to a neighbour.
+
+    A span of three or more is outlying if its distance from the median colour is over ``least`` and over ``ratio`` times the
+    median distance. It goes to the neighbour closer in colour (ties: left), unless its neighbours differ by over ``alike``.
+    """
+    middle = lambda a: F.element_at(F.array_sort(a), (F.expr(f"size({spans}) div 2") + 1).cast("int"))
+    df = df.withColumn("__m", F.struct(*[middle(_channel(spans, c)).alias(c) for c in "rgb"]))
+    df = df.withColumn("__d", F.transform(spans, lambda s: _apart(s, F.col("__m"))))
+    df = df.withColumn("__t", F.greatest(F.lit(least).cast("long"), middle("__d") * ratio))
+    n = F.size(spans)
+    zero = F.struct(F.array().cast(_SPANS).alias("out"), F.lit(None).cast("bigint").alias("carry"))
+
+    def step(acc, i):
+        e, right = F.get(spans, i), F.get(spans, i + 1)
+        left, start = F.get(acc["out"], F.size(acc["out"]) - 1), F.coalesce(acc["carry"], F.get(spans, i)["start"])
+        own = F.array(F.struct(start.alias("start"), e["end"].alias("end"), *[e[c].alias(c) for c in "rgb"])).cast(_SPANS)
+        longer = F.concat(F.slice(acc["out"], 1, F.greatest(F.lit(0), F.size(acc["out"]) - 1)), F.array(F.struct(left["start"].alias("start"), e["end"].alias("end"), *[left[c].alias(c) for c in "rgb"])).cast(_SPANS))
+        has_left, has_right = F.size(acc["out"]) > 0, i + 1 < n
+        stays = (F.get("__d", i) <= F.col("__t")) | (~has_left & ~has_right) | (has_left & has_right & (_apart(left, right) > alike))
+        to_left = has_left & (~has_right | (_apart(e, left) <= _apart(e, right)))
+        none = F.lit(None).cast("bigint")
+        return F.when(stays, F.struct(F.concat(acc["out"], own).alias("out"), none.alias("carry"))).when(to_left, F.struct(longer.alias("out"), none.alias("carry"))).otherwise(F.struct(acc["out"].alias("out"), start.alias("carry")))
+
+    folded = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda a: a["out"])
+    return df.withColumn(spans, F.when(n < 3, F.col(spans).cast(_SPANS)).otherwise(folded)).drop("__m", "__d", "__t")
+
+
+def merge_similar(spans: Column, most: int = 2000) -> Column:
+    """Spans (start, end, r, g, b, in order) with neighbours of like colour made one, colours weighted by length."""
+
+    def step(acc, e):
+        p = F.get(acc, F.size(acc) - 1)
+        a, b = p["end"] - p["start"], e["end"] - e["start"]
+        mixed = [g.rounded((p[c] * a + e[c] * b) / F.greatest(a + b, F.lit(1).cast("bigint"))).alias(c) for c in "rgb"]
+        one = F.array(F.struct(p["start"].alias("start"), e["end"].alias("end"), *mixed)).cast(_SPANS)
+        own = F.array(F.struct(*[e[c].alias(c) for c in ("start", "end", "r", "g", "b")])).cast(_SPANS)
+        near = (F.size(acc) > 0) & (_apart(p, e) <= most)
+        return F.when(near & (a + b == 0), acc).when(near, F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), one)).otherwise(F.concat(acc, own))
+
+    return F.aggregate(spans, F.array().cast(_SPANS), step)

@@ -16,3 +16,10 @@ def ctc(df: DataFrame, logits: Column, classes: int, charset: list[str]) -> Data
     total = F.aggregate("__e", F.lit(0.0), lambda a, s: a + F.when(s["p"] > 0, F.ln(s["p"])).otherwise(0.0))
     score = F.when(F.size("__e") > 0, F.exp(total / F.size("__e"))).otherwise(0.0)
     return df.withColumn("text", F.array_join(F.transform("__e", lambda s: F.get(chars, s["c"].cast("int"))), "")).withColumn("score", score).drop("__l", "__s", "__e")
+
+
+def steps(df: DataFrame, logits: Column, classes: int) -> DataFrame:
+    """``df`` once for each time step t of a flat T x C array, with its first largest class c and value p."""
+    parts = F.transform(F.sequence(F.lit(0), (F.size(logits) / classes).cast("int") - 1), lambda t: F.slice(logits, t * classes + 1, classes))
+    best = F.transform(parts, lambda a: F.struct((F.array_position(a, F.array_max(a)) - 1).alias("c"), F.array_max(a).cast("double").alias("p")))
+    return df.select(*df.columns, F.posexplode(best).alias("__t", "__s")).select(*df.columns, F.col("__t").cast("long").alias("t"), "__s.*")

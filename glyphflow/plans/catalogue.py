@@ -32,8 +32,7 @@ assigned AS (SELECT image_id, box_id, parent_id FROM (SELECT *, row_number() OVE
 
 
 def _clustered(spark, d):
-    b = D.boxes(spark, d)
-    return B.box_clusters(b, B.proximity_edges(b))
+    return B.box_clusters(D.boxes(spark, d))
 
 
 def _parents(spark, d):
@@ -78,7 +77,7 @@ QUERIES = {
     "aabb_metrics": _metrics,
     "proximity_edges": lambda s, d: B.proximity_edges(D.boxes(s, d)),
     "box_clusters": lambda s, d: _clustered(s, d).select("image_id", "box_id", "cluster"),
-    "merge_lines": lambda s, d: B.merged_lines(_clustered(s, d)),
+    "merge_lines": lambda s, d: B.merged_lines(_clustered(s, d)).drop("size"),
     "assign_children": lambda s, d: B.assign_children(D.boxes(s, d), _parents(s, d)),
     "orphan_children": lambda s, d: B.orphans(D.boxes(s, d), B.assign_children(D.boxes(s, d), _parents(s, d))).select("image_id", "box_id"),
     "layout_postprocess": _layout,

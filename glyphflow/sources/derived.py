@@ -44,3 +44,22 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") * 37 % 256).alias("r"), (F.col("value").cast("long") % 256).alias("g"), ((F.col("event_id") * 91 + F.col("user_id")) % 256).alias("b"),
         (F.col("event_type") != "error").alias("inside"),
     )
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4: vec_id, cells (64 doubles: 8 rows of 8)."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda e: e.cast("double") + 0.5).alias("cells"))
+
+
+def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6: image_id, spans (start, end, r, g, b by place) of the first eight pixels of every image."""
+    p = pixels(spark, sf_dir).where("s < 8")
+    dim = lambda c: F.expr(f"{c} div 64 * 64").alias(c)
+    kids = F.array_sort(F.collect_list(F.struct("s", (F.col("s") * 3).alias("start"), (F.col("s") * 3 + 3).alias("end"), dim("r"), dim("g"), dim("b"))))
+    return p.groupBy("image_id").agg(F.transform(kids, lambda k: F.struct(*[k[c].alias(c) for c in ("start", "end", "r", "g", "b")])).alias("spans"))
+
+
+def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D9: session_id, ts, event_id, op (create, delete, get), payload."""
+    op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("get")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id", op.alias("op"), F.col("event_id").cast("string").alias("payload"))

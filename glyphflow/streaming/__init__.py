@@ -1 +1 @@
-"""Streaming of the document-image engine."""
+"""Sessions as state, and files that arrive as a stream."""

@@ -1,14 +1,16 @@
-"""Every query with SQL against DuckDB at the smallest scale."""
+"""Every query with SQL against DuckDB at the smallest scale; the others for rows."""
 
+import math
 from collections import Counter
 
 import duckdb
 import pytest
 
-from glyphflow.plans import catalogue
+from glyphflow.plans import catalogue, pages
 
 SF = "/root/testdata/sf0.001"
 TABLES = "lineitem orders events embeddings documents conversations".split()
+QUERIES, SQL = {**catalogue.QUERIES, **pages.QUERIES}, {**catalogue.SQL, **pages.SQL}
 
 
 @pytest.fixture(scope="module")
@@ -19,15 +21,22 @@ def duck():
     return con
 
 
+def plain(v):
+    return "0.0" if isinstance(v, float) and v == 0 else str(v)
+
+
 def rows(cols, data):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return Counter(tuple(str(r[i]) for i in order) for r in data)
+    return Counter(tuple(plain(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
-    got = duck.execute(catalogue.SQL[name])
+    df = QUERIES[name](spark, SF)
+    if name not in SQL:
+        assert df.count() > 0
+        return
+    got = duck.execute(SQL[name])
     cols = [c[0] for c in got.description]
     assert sorted(cols) == sorted(df.columns)
     assert rows(df.columns, df.collect()) == rows(cols, got.fetchall())
