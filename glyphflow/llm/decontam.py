@@ -1,19 +1,21 @@
-"""Benchmark decontamination by seeds that no allowed pattern escapes.
+"""Benchmark decontamination by spaced seeds that no allowed pattern escapes.
 
-A document is contaminated if some stretch of at least LEAST tokens (the whole item, where shorter, but SHORT tokens at
-least) agrees with an item in SIMILAR of its positions. k substitutions cut the agreeing positions of a stretch into at
-most k + 1 runs, so the longest has its share or more: 4 tokens at every allowed length and pattern, but 3 for whole
-items of 10, 11 or 15 tokens (``run_of``). Every run of that many tokens of an item is a seed (MASKS, one for each
-length), so recall is whole for substitutions at any place; insertions and deletions end a stretch.
+A document is contaminated if some stretch of at least LEAST tokens (the whole item, where shorter) agrees with an item in
+SIMILAR of its positions. Fixed MASKS read four tokens and ignore selected positions between them: whatever a fifth of the
+tokens of a stretch is, and wherever, one mask still reads four that agree (test: every length from 5 to 120, by the least
+number of substitutions that leaves no hit; longer stretches hold such a block). Items under five tokens must agree in all,
+so their mask is the item. Recall is whole for substitutions at any place; insertions and deletions end a stretch.
 
-Seed hashes of all items are the query set; it is taken in blocks of at most BLOCK hashes, each block sent to all tasks
-(its size is checked, further blocks follow), and every position of every whole document is looked up. Around a hit, the
-document and the item are laid side by side at the hit's offset and the stretch is verified.
+Seeds of the items are rows of a table. Every position of every whole document is hashed under every mask; a sieve of fixed
+size (2**SIEVE bits, two probes), filled from that table, only spares rows that can join nothing. What passes joins the seed
+table in Spark, and around each joint hit document and item are laid side by side and the stretch is verified. Texts
+without any hit are never shuffled, and neither documents nor benchmark come to the driver.
 
 Tokens: runs of letters and digits, lower-cased.
 
-Defined cases: null or empty texts and items have no tokens and match nothing; an item under SHORT tokens is not
-searched; repeated rows each get theirs; an empty benchmark leaves all clean; further columns pass through ``clean``.
+Defined cases: null or empty texts and items have no tokens and match nothing; an item of few tokens matches wherever they
+stand in a row; repeated rows each get theirs; null item ids match and are named null; ties: all items are named, in order;
+very long texts are read whole; an empty benchmark leaves all clean; further columns pass through ``clean``.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, WordHashes, mix, table
+from ._common import Scratch, WordHashes, blob_id, mix, table
 
-# The masks; 1 reads a token, 0 ignores it.
-MASKS = ("1111", "111")
-LEAST, SHORT, SIMILAR, BLOCK = 20, 8, 0.8, 2_000_000
+# The masks; 1 reads a token, 0 ignores it. The first four are for stretches of five tokens or more.
+MASKS = ("1111", "11011", "10111", "11101", "1", "11", "111")
+LEAST, SIMILAR, SIEVE = 20, (4, 5), 26
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -37,118 +40,139 @@ def tokens(text: str | None, memo: WordHashes) -> np.ndarray:
     return memo.of([w.encode() for w in _TOKEN.findall(text.lower())] if text else [])
 
 
-def seeds(t: np.ndarray, mask: str, salt: int) -> np.ndarray:
+def seeds(t: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of all places of mask number ``salt``."""
+    mask = MASKS[salt]
     n = len(t) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, salt, np.uint64)
+    h = np.full(n, salt + 1, np.uint64)
     for i, c in enumerate(mask):
         if c == "1":
             h = h * np.uint64(0x9E3779B97F4A7C15) + t[i : i + n]
     return mix(h)
 
 
-def run_of(n: int) -> int:
-    """The longest run of agreeing tokens that every allowed stretch of an item of n tokens has at least."""
-    least = max(SHORT, min(LEAST, n))
-    tenths = round(SIMILAR * 10)
-    agree = lambda size: -(-tenths * size // 10)
-    return min(-(-agree(size) // (size - agree(size) + 1)) for size in range(least, max(least, n) + 1))
+def masks_of(n: int) -> list[int]:
+    """Numbers of the masks that seed an item of n tokens."""
+    return [MASKS.index("1" * n)] if n < 5 else [0, 1, 2, 3]
 
 
 def stretch(same: np.ndarray, least: int) -> bool:
     """Whether some run of at least ``least`` positions agrees in SIMILAR of them."""
-    if len(same) < least:
+    if len(same) < least or not least:
         return False
-    s = np.append(0.0, np.cumsum(same - SIMILAR))
+    p, q = SIMILAR
+    s = np.append(0, np.cumsum(same.astype(np.int64) * q - p))
     low = np.minimum.accumulate(s[: len(s) - least])
-    return bool((s[least:] - low >= -1e-9).any())
-
-
-class Items:
-    """Sorted seed hashes of one block of items."""
-
-    def __init__(self, rows: list[tuple[int, np.ndarray]]):
-        self.rows = rows
-        h, who, at = [], [], []
-        self.salts = set()
-        for k, (_, t) in enumerate(rows):
-            for salt, mask in enumerate(MASKS):
-                if len(mask) != run_of(len(t)):
-                    continue
-                self.salts.add(salt)
-                s = seeds(t, mask, salt + 1)
-                h.append(s)
-                who.append(np.full(len(s), k))
-                at.append(np.arange(len(s)))
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        h, who, at = cat(h, np.uint64), cat(who, np.int64), cat(at, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.h, self.who, self.at = h[order], who[order], at[order]
-        self.sieve = np.zeros(1 << 24, bool)
-        self.sieve[(self.h >> np.uint64(40)).astype(np.int64)] = True
-
-    def matches(self, t: np.ndarray) -> list[int]:
-        """Ids of the items with a verified overlap."""
-        pairs = set()
-        for salt in sorted(self.salts):
-            s = seeds(t, MASKS[salt], salt + 1)
-            pos = np.flatnonzero(self.sieve[(s >> np.uint64(40)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.h, s[pos], "left"), np.searchsorted(self.h, s[pos], "right")
-            for p, a, b in zip(pos[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                pairs.update(zip(self.who[a:b].tolist(), (p - self.at[a:b]).tolist()))
-        found = set()
-        for k, shift in pairs:
-            item, q = self.rows[k]
-            if item not in found:
-                a, b = max(0, shift), min(len(t), shift + len(q))
-                if stretch((t[a:b] == q[a - shift : b - shift]).astype(float), max(SHORT, min(LEAST, len(q)))):
-                    found.add(item)
-        return sorted(found)
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str):
-    """Blocks of items, streamed to the driver one partition at a time."""
-    memo, rows, n = WordHashes(), [], 0
-    for r in benchmark.select(F.col(item_id).cast("long"), F.col(text)).toLocalIterator():
-        t = tokens(r[1], memo)
-        if len(t) >= SHORT:
-            rows.append((r[0], t))
-            n += len(t)
-        if n >= BLOCK:
-            yield Items(rows)
-            rows, n = [], 0
-    if rows:
-        yield Items(rows)
+    return bool((s[least:] - low >= 0).any())
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, items (sorted ids of the items found) of every row."""
-    scratch = Scratch(spark)
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.array().cast("array<long>").alias("items"))
-    first = True
-    for block in _blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(block)
-        out = (out if first else scratch.keep(out)).withColumn("items", F.array_sort(F.array_union("items", _look(shared)(F.col("text")))))
-        first = False
-    return out.select("doc_id", "items")
+def agrees(t: np.ndarray, q: np.ndarray, shift: int) -> bool:
+    """Whether a stretch of item ``q`` laid at ``shift`` agrees with document ``t``."""
+    a, b = max(0, shift), min(len(t), shift + len(q))
+    return stretch(t[a:b] == q[a - shift : b - shift], min(LEAST, len(q))) if b > a else False
+
+
+def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = np.uint64(64 - SIEVE)
+    return (h >> top).astype(np.int64), (mix(h) >> top).astype(np.int64)
+
 
+def seed_table(benchmark: DataFrame, scratch: Scratch, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(items: item, id, tokens; seeds: h, item, at) of all items with a token."""
 
-def _look(shared):
     @F.pandas_udf("array<long>")
     def of(t: pd.Series) -> pd.Series:
         memo = WordHashes()
-        return pd.Series([shared.value.matches(tokens(x, memo)) for x in t], dtype=object)
+        return pd.Series([tokens(x, memo).view(np.int64) for x in t], dtype=object)
+
+    def spread(batches):
+        for b in batches:
+            for item, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = np.array(ts, np.int64).view(np.uint64)
+                got = [(seeds(t, m), m) for m in masks_of(len(t))]
+                h = np.concatenate([s for s, _ in got])
+                at = np.concatenate([np.arange(len(s)) for s, _ in got])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item, np.int64)), pa.array(at)], ["h", "item", "at"])
+
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).cast("long").alias("id"), of(F.col(text).cast("string")).alias("tokens"))
+    items = scratch.keep(items.where(F.size("tokens") > 0))
+    return items, scratch.keep(items.select("item", "tokens").mapInArrow(spread, "h long, item long, at long"))
+
+
+def _sieve(spark: SparkSession, seed: DataFrame):
+    """Bits of all seeds, or-ed by word in Spark; what comes to the driver has a fixed size."""
+
+    def slots(batches):
+        for b in batches:
+            s = np.unique(np.concatenate(_slots(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([pa.array(s >> 3), pa.array(1 << (s & 7))], ["word", "bit"])
+
+    got = seed.select("h").mapInArrow(slots, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (SIEVE - 3), np.uint8)
+    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
+    return spark.sparkContext.broadcast(bits.tobytes())
+
+
+def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: Column, scratch: Scratch, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """blob, items (sorted ids) of the texts with a verified overlap."""
+    items, seed = seed_table(benchmark, scratch, item_id, item_text)
+    shared = _sieve(spark, seed)
+    used = sorted({r["m"] for r in items.select(F.explode(F.when(F.size("tokens") < 5, F.array(F.size("tokens") - 5)).otherwise(F.array(F.lit(0)))).alias("m")).distinct().collect()})
+    masks = [m for u in used for m in ([0, 1, 2, 3] if u == 0 else masks_of(u + 5))]
+
+    @F.pandas_udf("array<struct<h:long,p:int>>")
+    def hits(t: pd.Series) -> pd.Series:
+        bits, memo, out = np.frombuffer(shared.value, np.uint8), WordHashes(), []
+        for x in t:
+            ts, got = tokens(x, memo), []
+            for m in masks:
+                h = seeds(ts, m)
+                for k in (0, 1):
+                    if k == 0:
+                        place = np.arange(len(h))
+                    s = _slots(h[place])[k] if len(place) else np.zeros(0, np.int64)
+                    place = place[(bits[s >> 3] >> (s & 7) & 1).astype(bool)]
+                got += [{"h": a, "p": b} for a, b in zip(h[place].view(np.int64).tolist(), place.tolist())]
+            out.append(got)
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("boolean")
+    def verified(t: pd.Series, q: pd.Series, shifts: pd.Series) -> pd.Series:
+        memo, last, ts, out = WordHashes(), None, None, []
+        for x, item, at in zip(t, q, shifts):
+            if last is None or x is not last:
+                last, ts = x, tokens(x, memo)
+            out.append(any(agrees(ts, np.array(item, np.int64).view(np.uint64), int(s)) for s in at))
+        return pd.Series(out, dtype=bool)
+
+    seen = docs.select(text.alias("text")).withColumn("hits", hits("text")).where(F.size("hits") > 0)
+    kept = scratch.keep(seen.select(blob_id(F.col("text")).alias("blob"), "text", "hits"))
+    met = kept.select("blob", F.explode("hits").alias("x")).select("blob", "x.h", "x.p").join(seed, "h").select("blob", "item", (F.col("p") - F.col("at")).alias("shift")).distinct()
+    pairs = scratch.keep(met.groupBy("blob", "item").agg(F.collect_list("shift").alias("shifts")))
+    # A text that repeats is verified once: the first row of its blob.
+    once = kept.join(pairs.select("blob").distinct(), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+    both = once.join(pairs.join(items, "item"), "blob")
+    sure = both.where(verified("text", "tokens", "shifts")).groupBy("blob").agg(F.array_sort(F.collect_set("id")).alias("items"), F.count_if(F.col("id").isNull()).alias("unnamed"))
+    out = scratch.keep(sure.select("blob", F.when(F.col("unnamed") > 0, F.concat("items", F.array(F.lit(None).cast("long")))).otherwise(F.col("items")).alias("items")))
+    scratch.drop(kept, pairs, items, seed)
+    return out
 
-    return of
+
+def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, items (sorted ids of the items found) of every row."""
+    t = F.col(text).cast("string")
+    found = _found(spark, docs, benchmark, t, Scratch(spark), item_id, item_text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), blob_id(t).alias("blob"))
+    return rows.join(found, "blob", "left").select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark, all columns."""
-    out = docs
-    for block in _blocks(benchmark, "item_id", "text"):
-        out = out.where(F.size(_look(spark.sparkContext.broadcast(block))(F.col("text"))) == 0)
-    return out
+    t = F.col("text").cast("string")
+    found = _found(spark, docs, benchmark, t, Scratch(spark)).select(F.col("blob").alias("__gone"))
+    return docs.withColumn("__blob", blob_id(t)).join(found, F.col("__blob") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
