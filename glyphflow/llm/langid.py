@@ -1,16 +1,18 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Learned from labelled rows only: a bounded sample (SAMPLE rows with the smallest hash of their id) gives n-gram counts
-per language. An n-gram goes into the filter of every language in which it is at least SHARE as frequent as in the
-language where it is most frequent. The filters are bit-sliced: slot s holds a word whose bit l belongs to language l, so
-the AND of HASHES slots returns all languages that contain an n-gram. A text is read as a whole; hits are counted per
-language bit, corrected for the filter's false positive rate f: (hits - n f) / (1 - f); the largest corrected count wins,
-ties go to the language first in order. ``score`` is its share of the corrected counts.
+Learned from labelled rows only: of every language the SAMPLE rows with the smallest hash of their id (ids are chosen
+first, texts join them) give n-gram counts. An n-gram goes into the filter of every language in which it is at least SHARE
+as frequent as in the language where it is most frequent; no n-gram is left out for being rare. The filters are
+bit-sliced: slot s holds words of 64 bits, one bit for each language, so the AND of HASHES slots returns all languages that
+contain an n-gram. A text is read as a whole; hits are counted per language bit, corrected for the filter's false positive
+rate f: (hits - n f) / (1 - f); the largest corrected count wins, ties go to the language first in order. ``score`` is its
+share of the corrected counts.
 
-Bounds: SAMPLE rows, GRAMS n-grams, 2**BITS slots; they do not grow with the corpus. At most 63 languages.
+Bounds: SAMPLE rows of a language, 2**BITS slots of as many words as the languages ask for; they do not grow with the corpus.
 
 Defined cases: null text or one without a letter gives ``und`` and 0; a text none of whose n-grams is known gives the most
-frequent learned language and 0; no labelled rows: all ``und``; repeated rows each get theirs; further columns are not read.
+frequent learned language and 0; no labelled rows: all ``und``; repeated rows each get theirs; very long texts are read
+whole; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -21,19 +23,25 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import mix, table
+from ._common import Scratch, mix, table
 
-SAMPLE, GRAMS, BITS, HASHES, SHARE, SIZES, MEMO = 20_000, 400_000, 22, 3, 0.5, (2, 3, 4), 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+SAMPLE, BITS, HASHES, SHARE, SIZES, MEMO = 5_000, 22, 3, 0.05, (2, 3, 4), 200_000
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased. ``\\w`` also holds numerals that are no digits; they part words."""
+    found = _RUN.findall(text.lower())
+    return found if all(map(str.isalpha, found)) else [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def grams(text: str) -> Counter:
     """n-grams of the words of a whole text, words padded with a space on both sides."""
     out: Counter = Counter()
-    for word, n in Counter(_WORD.findall(text.lower())).items():
+    for word, n in Counter(words_of(text)).items():
         w = f" {word} "
         for k in SIZES:
             for i in range(len(w) - k + 1):
@@ -47,34 +55,42 @@ def _slots(keys: list[str]) -> np.ndarray:
 
 
 class Filters:
-    def __init__(self, counts: dict[str, Counter], rows: Counter):
-        self.langs = sorted(counts)
-        assert len(self.langs) < 64
+    """``rows``: training rows by language; ``slots``: 2**BITS x words, bit l % 64 of word l // 64 belongs to language l."""
+
+    def __init__(self, rows: dict[str, int], slots: np.ndarray):
+        self.langs, self.slots = sorted(rows), slots
         self.common = max(self.langs, key=lambda x: rows[x]) if self.langs else "und"
-        total = {x: max(1, sum(counts[x].values())) for x in self.langs}
-        self.slots = np.zeros(1 << BITS, np.uint64)
+        fill = np.array([np.count_nonzero(slots[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)) for b in range(len(self.langs))]) / (1 << BITS)
+        self.false = np.minimum(fill**HASHES, 0.999)
+
+    @classmethod
+    def of(cls, counts: dict[str, Counter], rows: dict[str, int]) -> "Filters":
+        """Filters of counts held here, for small tests."""
+        langs = sorted(counts)
+        total = {x: max(1, sum(counts[x].values())) for x in langs}
         best: dict[str, float] = {}
-        for x in self.langs:
+        for x in langs:
             for g, n in counts[x].items():
                 best[g] = max(best.get(g, 0.0), n / total[x])
-        for bit, x in enumerate(self.langs):
+        slots = np.zeros((1 << BITS, -(-max(1, len(langs)) // 64)), np.uint64)
+        for bit, x in enumerate(langs):
             keys = [g for g, n in counts[x].items() if n / total[x] >= SHARE * best[g]]
             if keys:
-                np.bitwise_or.at(self.slots, _slots(keys).ravel(), np.uint64(1 << bit))
-        fill = np.array([np.count_nonzero(self.slots >> np.uint64(b) & np.uint64(1)) for b in range(len(self.langs))]) / (1 << BITS)
-        self.false = fill**HASHES
+                np.bitwise_or.at(slots[:, bit // 64], _slots(keys).ravel(), np.uint64(1 << bit % 64))
+        return cls(rows, slots)
 
     def _hits(self, words: list[str]) -> np.ndarray:
         """For every word, how many of its n-grams each language's filter has; last, how many n-grams it has."""
         keys = [[w[i : i + k] for k in SIZES for i in range(len(w) - k + 1)] for w in (f" {x} " for x in words)]
         size = np.array([len(k) for k in keys])
         got = np.bitwise_and.reduce(self.slots[_slots([g for k in keys for g in k])], axis=0)
-        bits = (got[:, None] >> np.arange(len(self.langs), dtype=np.uint64)) & np.uint64(1)
+        bit = np.arange(len(self.langs))
+        bits = got[:, bit // 64] >> (bit % 64).astype(np.uint64) & np.uint64(1)
         return np.column_stack([np.add.reduceat(bits, np.append(0, np.cumsum(size)[:-1]), axis=0), size]).astype(np.float64)
 
     def predict(self, text: str | None, memo: dict[str, np.ndarray] | None = None) -> tuple[str, float]:
         """``memo``: hits of words met before, kept by the caller and emptied at MEMO words."""
-        words = Counter(_WORD.findall(text.lower())) if text else Counter()
+        words = Counter(words_of(text)) if text else Counter()
         if not words or not self.langs:
             return "und", 0.0
         memo = {} if memo is None else memo
@@ -91,27 +107,49 @@ class Filters:
 
 
 def train(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Filters:
-    """``labelled``: key, text, lang. Counting is distributed; only n-gram counts of the sample, the GRAMS most frequent, come back."""
-    rows = labelled.where("lang is not null and text is not null").orderBy(F.xxhash64(key), key, "lang").limit(sample).select("lang", "text")
+    """``labelled``: key, text, lang. Counting, choice of n-grams and setting of bits are distributed; slots come back."""
+    scratch = Scratch(labelled.sparkSession)
+    known = labelled.where("lang is not null and text is not null")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(key), key))
+    ids = known.select(F.col(key).alias("__key"), "lang").withColumn(key, F.col("__key")).select("lang", "__key", turn.alias("turn")).where(F.col("turn") <= sample)
+    chosen = scratch.keep(ids.select(F.col("lang").alias("__lang"), "__key").distinct())
+    rows = {r["__lang"]: r["n"] for r in chosen.groupBy("__lang").agg(F.count("*").alias("n")).collect()}
+    if not rows:
+        return Filters({}, np.zeros((1 << BITS, 1), np.uint64))
+    texts = known.join(F.broadcast(chosen), (F.col(key) == F.col("__key")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
 
     def count(frames):
         seen: dict[str, Counter] = {}
-        docs: Counter = Counter()
         for f in frames:
             for lang, text in zip(f["lang"], f["text"]):
                 seen.setdefault(lang, Counter()).update(grams(text))
-                docs[lang] += 1
-        yield pd.DataFrame([(x, g, n) for x, c in seen.items() for g, n in c.items()] + [(x, "", n) for x, n in docs.items()], columns=["lang", "gram", "n"])
-
-    got = rows.repartition(16, F.xxhash64("text")).mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, Counter] = {}
-    docs: Counter = Counter()
-    for r in got.orderBy(F.col("gram") != "", F.desc("n"), "lang", "gram").limit(GRAMS).collect():
-        if r["gram"]:
-            counts.setdefault(r["lang"], Counter())[r["gram"]] = r["n"]
-        else:
-            docs[r["lang"]] = r["n"]
-    return Filters(counts, docs)
+        for x, c in seen.items():
+            yield pd.DataFrame([(x, g, n) for g, n in c.items()], columns=["lang", "gram", "n"])
+
+    counts = scratch.keep(texts.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    place = {x: k for k, x in enumerate(sorted(rows))}
+
+    def bits(frames):
+        for f in frames:
+            share = [[n / total[x] for x, n in zip(ls, ns)] for ls, ns in zip(f["langs"], f["ns"])]
+            out = []
+            for g, ls, sh in zip(_slots(list(f["gram"])).T.tolist(), f["langs"], share):
+                word: dict[int, int] = {}
+                top = max(sh)
+                for x, v in zip(ls, sh):
+                    if v >= SHARE * top:
+                        k = place[x]
+                        word[k // 64] = word.get(k // 64, 0) | 1 << k % 64
+                out += [(s, w, b - (1 << 64) if b >> 63 else b) for s in g for w, b in word.items()]
+            yield pd.DataFrame(out, columns=["slot", "word", "bits"])
+
+    by_gram = counts.groupBy("gram").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"))
+    got = by_gram.mapInPandas(bits, "slot int, word int, bits long").groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slots = np.zeros((1 << BITS, -(-len(place) // 64)), np.uint64)
+    slots[got.column("slot").to_numpy(), got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    scratch.drop(counts, chosen)
+    return Filters(rows, slots)
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Filters, keep: list[str], text: str = "text") -> DataFrame:
