@@ -1,14 +1,16 @@
-"""Exact dedup by a tree merge of digest runs, in DataFrame functions only.
+"""Exact dedup by a tree merge of sorted digest runs, in DataFrame functions only.
 
-Every row gets the digest of its normalised text and falls into one of RUNS runs by a hash of its identity, so a group
-of copies, however large, is spread over all runs (the runs are its salt). Level 0 reduces every run to one entry per
-digest; partial aggregation does it before the shuffle. Each following round merges FAN_IN neighbouring runs into one
-(binomial tree: run r of a level goes to run r // FAN_IN of the next) and keeps the smallest identifier; after the last
-round one run holds every group. Entries of a run are spread over the cluster by (digest, run). A digest is believed only
-together with a second, independent hash and the length of the text, which are part of the key at every level.
+The rows of a partition, with digests of their normalised texts, are a run (RUNS of them; more partitions share runs), so a
+group of copies, however large, is spread over the runs that its rows lie in and is one entry in each. A run is cut into
+SLICES by the leading bits of the digest and sorted. Rounds follow as in a binomial tree: run r goes to run r // FAN_IN;
+each slice of the FAN_IN runs meets in one task (one exchange), which merges the sorted entries (a sort of runs and a
+streaming aggregate) and keeps the smallest identifier of each digest. After the last round one run is left. A digest is
+believed only together with a second, independent hash and the length of the text, which are part of the key at every
+level and of the joins that follow.
 
 Defined cases: null text is the empty text; null doc_id sorts after every other; of rows that repeat doc_id and text one
-stays; an empty table gives an empty table; further columns are not read by ``groups`` and pass through ``dedup``.
+stays; very long texts are read whole; an empty table gives an empty table; further columns are not read by ``groups`` and
+pass through ``dedup``.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ._common import SPACES, Scratch, table
 
-RUNS, FAN_IN = 64, 8
+RUNS, FAN_IN, SLICES = 64, 8, 4_096
+_KEY = ["sha", "check", "size"]
 
 
 def normalised(text: Column) -> Column:
@@ -33,13 +36,19 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def merged(digests: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
     """sha, check, size, keep (struct of null flag, doc_id, rid), n: one row for each group."""
-    key = ["sha", "check", "size"]
-    level = digests.select(*key, F.pmod(F.xxhash64("doc_id", "rid"), F.lit(runs)).alias("run"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("keep"), F.lit(1).cast("long").alias("n"))
-    level = level.groupBy(*key, "run").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
+    slice_ = (F.conv(F.hex(F.substring("sha", 1, 2)), 16, 10).cast("int") % SLICES).alias("slice")
+    entry = [F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("keep"), F.lit(1).cast("long").alias("n")]
+    level = digests.select(slice_, *_KEY, F.pmod(F.shiftright("rid", 33), F.lit(runs)).cast("int").alias("run"), *entry)
+
+    def reduced(d: DataFrame) -> DataFrame:
+        return d.groupBy("run", "slice", *_KEY).agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
+
+    level = reduced(level)
     while runs > 1:
         runs = -(-runs // fan_in)
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy(*key, "run").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
-    return level.drop("run")
+        level = level.withColumn("run", F.expr(f"run div {fan_in}").cast("int")).repartition("run", "slice").sortWithinPartitions("run", "slice", *_KEY)
+        level = reduced(level)
+    return level.drop("run", "slice")
 
 
 def groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,7 +56,7 @@ def groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
     scratch = Scratch(spark)
     d = scratch.keep(digests(docs, doc_id, text))
     multiple = scratch.keep(merged(d).where("n > 1"))
-    j = d.join(multiple, ["sha", "check", "size"], "left")
+    j = d.join(multiple, _KEY, "left")
     one = F.col("n").isNull()
     return j.select(
         "doc_id",
@@ -63,8 +72,8 @@ def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
     scratch = Scratch(spark)
     d = scratch.keep(digests(docs, doc_id, text))
     # Only what goes is named: (doc_id, digest) pairs other than their group's smallest; few rows against the table.
-    multiple = merged(d).where("n > 1").select("sha", F.col("keep.doc_id").alias("keep_id"))
-    gone = scratch.keep(d.join(multiple, "sha").where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("sha").alias("__gone")).distinct())
+    multiple = scratch.keep(merged(d).where("n > 1").select(*_KEY, F.col("keep.doc_id").alias("keep_id")))
+    gone = scratch.keep(d.join(multiple, _KEY).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("sha").alias("__gone")).distinct())
     own = scratch.keep(d.groupBy("doc_id", "sha").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha2")))
     names, here = docs.columns, F.unhex(F.sha2(normalised(F.col(text)), 256))
     kept = docs.withColumn("__sha", here).join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__gone")), "left_anti")
