@@ -32,9 +32,18 @@ class Rule:
     whole: bool = False
 
 
+def either(word: str) -> str:
+    """A word whose ASCII letters match in either case (a case flag would also fold letters beyond ASCII in some engines)."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+ASSIGN = f"""((?:{"|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))})["']?\\x20*[:=]\\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
+#: The query replays the table as so many commits of a history; each finds the ledger that those before it left.
+COMMITS = 2
+
 # The three base rules, in the order in which spans at one start are listed.
 RULES = (
-    Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 12),
+    Rule("assign", 1, ASSIGN, 12),
     Rule("access", 1, r"(AKIA)([A-Z0-9]+)", 18, whole=True),
     Rule("hex", 1, r"()([0-9a-f]+)", 16, whole=True),
 )
@@ -89,12 +98,24 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(k))])
     hits = ledger.where(F.size("spans") > 0).withColumn("no", order[F.concat_ws(":", "kind", "version")]).where("no is not null")
     hits = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("no").alias("no"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("spans"))
-    hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # Written before it joins the versions, so that the versions of a blob met very often can be dealt to several tasks.
+    hits = Scratch(hits.sparkSession).keep(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
     return versions.join(hits, "blob", "left").select("doc_id", F.coalesce("spans", F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")).alias("spans"))
 
 
+def history(spark: SparkSession, commits: list[DataFrame], rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(versions, ledger) after all ``commits`` in order; a blob that an earlier commit brought is not scanned again."""
+    versions, ledger = None, None
+    for c in commits:
+        new, ledger = scan(spark, c, ledger, rules, doc_id, text)
+        versions = new if versions is None else versions.unionByName(new)
+    return versions, ledger
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = findings(*scan(spark, table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    part = F.coalesce(F.pmod(F.col("doc_id"), F.lit(COMMITS)), F.lit(0))
+    found = findings(*history(spark, [docs.where(part == k) for k in range(COMMITS)]))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
@@ -104,7 +125,7 @@ SQL = r"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), chr(64976) || chr(64976) || chr(64976)) AS x FROM documents),
 r AS (
   SELECT doc_id, 'assign' AS kind, 0 AS no, 12 AS least, 0 AS whole,
-         regexp_replace(x, '((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g') AS m FROM t
+         regexp_replace(x, '@ASSIGN@', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g') AS m FROM t
   UNION ALL SELECT doc_id, 'access', 1, 18, 1, regexp_replace(x, '(AKIA)([A-Z0-9]+)', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g') FROM t
   UNION ALL SELECT doc_id, 'hex', 2, 16, 1, regexp_replace(x, '()([0-9a-f]+)', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g') FROM t),
 p AS (SELECT doc_id, kind, no, least, whole, unnest(list_transform(string_split_regex(m, '[\x01\x02\x03]'), lambda s: length(s))) AS n, generate_subscripts(string_split_regex(m, '[\x01\x02\x03]'), 1) AS k FROM r),
@@ -114,4 +135,4 @@ g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (ki
              string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, no) AS spans FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
-"""
+""".replace("@ASSIGN@", ASSIGN.replace("'", "''"))
