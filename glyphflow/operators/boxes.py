@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 
-MAX_DISTANCE, MAX_RATIO, MIN_OVERLAP, CELL = 10, 1.5, 0.8, 64
+MAX_DISTANCE, MAX_RATIO, MIN_OVERLAP, CELL = 10, 1.5, 0.8, 256
 
 
 def prefixed(df: DataFrame, p: str) -> DataFrame:

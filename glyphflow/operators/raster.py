@@ -25,13 +25,24 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return bilinear(image, x * w / width, y * h / height)
 
 
+def homographies(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The 3 x 3 matrices that take four points each of ``src`` (N x 4 x 2) to ``dst`` (4 x 2, or N of them)."""
+    src = np.asarray(src, float)
+    dst = np.broadcast_to(np.asarray(dst, float), src.shape)
+    x, y, u, v = src[..., 0], src[..., 1], dst[..., 0], dst[..., 1]
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    rows = np.stack([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], -1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], -1)], 2).reshape(-1, 8, 8)
+    want = dst.reshape(-1, 8)
+    try:
+        h = np.linalg.solve(rows, want[..., None])[..., 0]
+    except np.linalg.LinAlgError:  # some quad is degenerate: least squares for each
+        h = np.array([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(rows, want)])
+    return np.concatenate([h, np.ones((len(h), 1))], axis=1).reshape(-1, 3, 3)
+
+
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """The 3 x 3 matrix that takes four points of ``src`` to ``dst``."""
-    a, b = [], []
-    for (x, y), (u, v) in zip(np.asarray(src, float), np.asarray(dst, float)):
-        a += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-        b += [u, v]
-    return np.append(np.linalg.lstsq(np.array(a), np.array(b), rcond=None)[0], 1.0).reshape(3, 3)
+    return homographies(np.asarray(src, float)[None], dst)[0]
 
 
 def inverse(h: np.ndarray) -> np.ndarray:

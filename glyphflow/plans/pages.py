@@ -214,13 +214,10 @@ def _homography(spark, d):
 
     @F.pandas_udf("x double, y double")
     def of(quad: pd.Series) -> pd.DataFrame:
-        rows = []
-        for q in quad:
-            pts = np.array([(p["x"], p["y"]) for p in q], float)
-            h = R.homography(pts, np.array([(0, 0), (100, 0), (100, 50), (0, 50)], float))
-            u = h @ np.append(pts.mean(axis=0), 1)
-            rows.append((round(u[0] / u[2], 4), round(u[1] / u[2], 4)))
-        return pd.DataFrame(rows, columns=["x", "y"])
+        pts = np.array([[(p["x"], p["y"]) for p in q] for q in quad], float).reshape(-1, 4, 2)
+        h = R.homographies(pts, np.array([(0, 0), (100, 0), (100, 50), (0, 50)], float))
+        at = np.einsum("nij,nj->ni", h, np.column_stack([pts.mean(axis=1), np.ones(len(pts))]))
+        return pd.DataFrame({"x": np.round(at[:, 0] / at[:, 2], 4), "y": np.round(at[:, 1] / at[:, 2], 4)})
 
     q = _quads(spark, d).select("image_id", "box_id", of(g.ordered_corners(F.col("quad"))).alias("o"))
     return q.select("image_id", "box_id", "o.*")
