@@ -2,9 +2,11 @@
 
 import json
 import random
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from glyphflow.operators import colour, grid, raster
@@ -12,6 +14,8 @@ from glyphflow.plans import workflow as W
 from glyphflow.sources import charset, derived, images
 from glyphflow.streaming import sessions
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not import tests
+
 SF = "/root/testdata/sf0.001"
 KIND = "array<struct<start:bigint,end:bigint,r:bigint,g:bigint,b:bigint>>"
 
