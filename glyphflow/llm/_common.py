@@ -55,18 +55,22 @@ class Scratch:
         self.root = f"{work_dir(spark)}/glyphflow/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **conf: str) -> DataFrame:
+        """``conf``: settings for this write alone, dots as double underscores."""
         path = f"{self.root}/{len(self.paths)}"
         self.paths[len(self.paths)] = path
-        before = self.spark.conf.get(self.CLEANUP, None)
-        self.spark.conf.set(self.CLEANUP, "true")
+        wanted = {self.CLEANUP: "true", **{k.replace("__", "."): v for k, v in conf.items()}}
+        before = {k: self.spark.conf.get(k, None) for k in wanted}
         try:
+            for k, v in wanted.items():
+                self.spark.conf.set(k, v)
             df.write.parquet(path)
         finally:
-            if before is None:
-                self.spark.conf.unset(self.CLEANUP)
-            else:
-                self.spark.conf.set(self.CLEANUP, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -75,6 +79,10 @@ class Scratch:
         for df in frames:
             _drop(self.spark, df.scratch_path)
 
+    def clear(self) -> None:
+        """Deletes all tables."""
+        _drop(self.spark, self.root)
+
 
 def blob_id(text: Column) -> Column:
     """128 bits of content address (the first half of SHA-256); null counts as the empty text."""

@@ -4,8 +4,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from glyphflow.llm import nearcopies
+from glyphflow.llm import _common, nearcopies
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -80,3 +82,24 @@ def test_large_group(spark):
 
 def test_empty(spark):
     assert nearcopies.dedup(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sketches_never_part_similar_sets():
+    """Sets differ in as many shingles as cells of their sketches, or more."""
+    r = np.random.default_rng(3)
+    for size in (0, 1, 2, 9, 50, 400, 3_000):
+        a = np.unique(r.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+        for gone, new in ((0, 0), (1, 0), (0, 1), (5, 3), (size, 20)):
+            b = np.unique(np.append(a[gone:], r.integers(0, 1 << 63, new, np.uint64) * np.uint64(2) + np.uint64(1)))
+            cells = np.bitwise_count((nearcopies.sketch(a) ^ nearcopies.sketch(b)).view(np.uint64)).sum()
+            assert cells <= len(np.setxor1d(a, b)) and (gone + new or not cells)
+
+
+def test_tables_go_and_shares_change_nothing(spark, tmp_path, monkeypatch):
+    """Only what names the rows that go is left on disk, however many shares the pairs are verified in."""
+    monkeypatch.setattr(nearcopies, "SHARE", 7)
+    monkeypatch.setattr(_common, "work_dir", lambda spark: f"file://{tmp_path}")
+    rows = planted()
+    got = nearcopies.dedup(spark, spark.createDataFrame(rows, SCHEMA))
+    assert len(list(tmp_path.glob("glyphflow/*/*"))) <= 3
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == survivors(rows)[0]
