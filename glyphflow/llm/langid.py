@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, mix, table
 
-SAMPLE, BITS, HASHES, SHARE, SIZES, MEMO = 5_000, 22, 3, 0.05, (2, 3, 4), 200_000
+SAMPLE, BITS, HASHES, SHARE, SIZES, MEMO, GRAMS = 5_000, 22, 3, 0.05, (2, 3, 4), 200_000, 400_000
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -59,6 +59,7 @@ class Filters:
 
     def __init__(self, rows: dict[str, int], slots: np.ndarray):
         self.langs, self.slots = sorted(rows), slots
+        self.known, self.bits = {}, np.zeros((0, len(self.langs)), np.uint8)
         self.common = max(self.langs, key=lambda x: rows[x]) if self.langs else "und"
         fill = np.array([np.count_nonzero(slots[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)) for b in range(len(self.langs))]) / (1 << BITS)
         self.false = np.minimum(fill**HASHES, 0.999)
@@ -79,16 +80,36 @@ class Filters:
                 np.bitwise_or.at(slots[:, bit // 64], _slots(keys).ravel(), np.uint64(1 << bit % 64))
         return cls(rows, slots)
 
+    def _of_grams(self, grams: list[str]) -> np.ndarray:
+        """For every n-gram, which languages' filters have it. Far fewer n-grams than words are new, so they are remembered,
+        GRAMS at most and more only for the words of one call."""
+        new = [g for g in set(grams) if g not in self.known]
+        if len(self.known) + len(new) > GRAMS:
+            self.known.clear()
+            new = list(set(grams))
+        if new:
+            got = np.bitwise_and.reduce(self.slots[_slots(new)], axis=0)
+            bit, at = np.arange(len(self.langs)), len(self.known)
+            if at + len(new) > len(self.bits):
+                more = np.zeros((max(2 * len(self.bits), at + len(new)), len(bit)), np.uint8)
+                more[: len(self.bits)] = self.bits
+                self.bits = more
+            self.bits[at : at + len(new)] = got[:, bit // 64] >> (bit % 64).astype(np.uint64) & np.uint64(1)
+            self.known.update(zip(new, range(at, at + len(new))))
+        return self.bits[np.fromiter(map(self.known.__getitem__, grams), np.int64, len(grams))]
+
     def _hits(self, words: list[str]) -> np.ndarray:
         """For every word, how many of its n-grams each language's filter has; last, how many n-grams it has."""
-        keys = [[w[i : i + k] for k in SIZES for i in range(len(w) - k + 1)] for w in (f" {x} " for x in words)]
-        size = np.array([len(k) for k in keys])
-        got = np.bitwise_and.reduce(self.slots[_slots([g for k in keys for g in k])], axis=0)
-        bit = np.arange(len(self.langs))
-        bits = got[:, bit // 64] >> (bit % 64).astype(np.uint64) & np.uint64(1)
-        return np.column_stack([np.add.reduceat(bits, np.append(0, np.cumsum(size)[:-1]), axis=0), size]).astype(np.float64)
-
-    def predict(self, text: str | None, memo: dict[str, np.ndarray] | None = None) -> tuple[str, float]:
+        keys, size = [], []
+        for x in words:
+            w = f" {x} "
+            n = len(w)
+            for k in SIZES:
+                keys += [w[i : i + k] for i in range(n - k + 1)]
+            size.append(sum(max(0, n - k + 1) for k in SIZES))
+        return np.column_stack([np.add.reduceat(self._of_grams(keys), np.append(0, np.cumsum(size)[:-1]), axis=0, dtype=np.int64), size]).astype(np.float64)
+
+    def predict(self, text: str | None, memo: dict[str, bytes] | None = None) -> tuple[str, float]:
         """``memo``: hits of words met before, kept by the caller and emptied at MEMO words."""
         words = Counter(words_of(text)) if text else Counter()
         if not words or not self.langs:
@@ -98,8 +119,10 @@ class Filters:
             memo.clear()
         new = [w for w in words if w not in memo]
         if new:
-            memo.update(zip(new, self._hits(new)))
-        total = np.fromiter(words.values(), np.float64, len(words)) @ np.stack([memo[w] for w in words])
+            flat, wide = self._hits(new).tobytes(), 8 * (len(self.langs) + 1)
+            memo.update(zip(new, [flat[i : i + wide] for i in range(0, len(flat), wide)]))
+        hits = np.frombuffer(b"".join([memo[w] for w in words])).reshape(len(words), -1)
+        total = np.fromiter(words.values(), np.float64, len(words)) @ hits
         right = np.maximum((total[:-1] - total[-1] * self.false) / (1 - self.false), 0)
         if right.max() <= 0:
             return self.common, 0.0

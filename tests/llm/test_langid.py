@@ -39,3 +39,17 @@ def test_filters_in_spark_equal_filters_here(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     counts = {x: sum((langid.grams(t) for _, t, y in rows if y == x), Counter()) for x in ("de", "en")}
     assert (model.slots == langid.Filters.of(counts, {"de": 4, "en": 4}).slots).all()
+
+
+def test_remembered_grams_change_nothing(monkeypatch):
+    """Words all of whose n-grams were met before ask the filters for nothing; forgetting n-grams changes no prediction."""
+    learned = {"de": "der die und nicht straße", "en": "the and of with the"}
+    counts = {k: langid.grams(t) for k, t in learned.items()}
+    texts = ["the die the of", "qqq zzz", *learned.values(), "Ø" * 900, "ab", "abab", "ababab"]
+    want = [langid.Filters.of(counts, Counter(de=1, en=1)).predict(x) for x in texts]
+    model, asked, slots = langid.Filters.of(counts, Counter(de=1, en=1)), [], langid._slots
+    monkeypatch.setattr(langid, "_slots", lambda keys: asked.extend(keys) or slots(keys))
+    assert [model.predict(x) for x in texts * 2] == want * 2
+    assert len(asked) == len(set(asked))
+    monkeypatch.setattr(langid, "GRAMS", 5)
+    assert [model.predict(x) for x in texts] == want
