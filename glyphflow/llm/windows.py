@@ -45,11 +45,15 @@ class Sequence:
             self.size = len(self.raw)
         self.enough = self.size >= shape.width
         if self.enough and shape.unit == "word":
-            self.symbols, self.flat = memo.of(self.words), b" ".join(self.words)
+            self.memo, self.flat = memo, b" ".join(self.words)
             self.end = np.cumsum(np.fromiter(map(len, self.words), np.int64, self.size) + 1) - 1
             self.begin = np.append(0, self.end[:-1] + 1)
         elif self.enough:
-            self.symbols, self.flat = _BYTE[np.frombuffer(self.raw, np.uint8)], self.raw
+            self.flat = self.raw
+
+    @property
+    def symbols(self) -> np.ndarray:
+        return self.memo.of(self.words) if self.shape.unit == "word" else _BYTE[np.frombuffer(self.raw, np.uint8)]
 
     def paths(self):
         """start, number of windows, minimiser, its place after start, two halves of the digest of every path."""
@@ -80,24 +84,44 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 _PATH = ["mini", "h1", "h2", "count", "at"]
+#: Rows to an Arrow batch, about.
+ROWS = 20_000
+
+
+class Rows:
+    """Columns of longs from many texts, sent as few batches: each costs a fixed time on both sides."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.parts, self.held = names, [], 0
+
+    def add(self, columns: list[np.ndarray]):
+        self.parts.append(columns)
+        self.held += len(columns[0])
+        if self.held >= ROWS:
+            yield from self.rest()
+
+    def rest(self):
+        if self.parts:
+            yield pa.RecordBatch.from_arrays([_long(np.concatenate(c)) for c in zip(*self.parts)], self.names)
+            self.parts, self.held = [], 0
 
 
 def by_digest(again: DataFrame, shape: Shape, scratch: Scratch) -> DataFrame:
     """Paths with their repeated offsets, by the digests of all windows. ``again``: text, starts (array of its paths)."""
+    names = [*_PATH, "off", "w1", "w2", "n"]
 
     def windows(batches):
-        memo = WordHashes()
+        memo, rows = WordHashes(), Rows(names)
         for b in batches:
             for text, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                q = Sequence(text, shape, memo)
-                for x in starts:
-                    k = x["count"]
-                    off = np.arange(k)
-                    w = q.digests(x["start"] + off, x["start"] + off + shape.width)
-                    cols = [np.full(k, x[c], np.int64) for c in _PATH]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _long(off), _long(w[:, 0]), _long(w[:, 1]), pa.array(np.full(k, x["n"], np.int64))], [*_PATH, "off", "w1", "w2", "n"])
-
-    apart = scratch.keep(again.mapInArrow(windows, ", ".join(f"{c} long" for c in [*_PATH, "off", "w1", "w2", "n"])))
+                count = np.array([x["count"] for x in starts])
+                off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                of = {c: np.repeat(np.array([x[c] for x in starts], np.int64), count) for c in ["start", *_PATH, "n"]}
+                w = Sequence(text, shape, memo).digests(of["start"] + off, of["start"] + off + shape.width)
+                yield from rows.add([*[of[c] for c in _PATH], off, w[:, 0], w[:, 1], of["n"]])
+        yield from rows.rest()
+
+    apart = scratch.keep(again.mapInArrow(windows, ", ".join(f"{c} long" for c in names)))
     # A window common to many paths is counted before the shuffle and joined back: its paths never meet in one task.
     multiple = scratch.keep(apart.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").drop("t"))
     out = scratch.keep(apart.join(multiple, ["w1", "w2"]).groupBy(*_PATH).agg(F.collect_list("off").alias("offs")))
@@ -110,13 +134,14 @@ def repeated(spark: SparkSession, texts: DataFrame, shape: Shape, scratch: Scrat
     windows of paths that share their minimiser with other paths."""
 
     def paths(batches):
-        memo = WordHashes()
+        memo, rows = WordHashes(), Rows(["rid", "start", *_PATH])
         for b in batches:
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 q = Sequence(text, shape, memo)
                 if q.enough:
                     start, count, mini, at, h1, h2 = q.paths()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), rid, np.int64)), _long(start), _long(mini), _long(h1), _long(h2), _long(count), _long(at)], ["rid", "start", *_PATH])
+                    yield from rows.add([np.full(len(start), rid, np.int64), start, mini.view(np.int64), h1, h2, count, at])
+        yield from rows.rest()
 
     longs = ", ".join(f"{c} long" for c in ["rid", "start", *_PATH])
     found = scratch.keep(texts.mapInArrow(paths, longs))
@@ -138,11 +163,10 @@ def repeated(spark: SparkSession, texts: DataFrame, shape: Shape, scratch: Scrat
 
 def cover(size: int, hits: list[dict] | None, shape: Shape) -> np.ndarray:
     """Which of ``size`` symbols a repeated window covers."""
-    edge = np.zeros(size + 1, np.int64)
-    for h in hits or ():
-        at = h["start"] + (np.arange(h["count"]) if h["offs"] is None else np.asarray(h["offs"]))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + shape.width, -1)
+    if not hits:
+        return np.zeros(size, bool)
+    at = np.concatenate([h["start"] + (np.arange(h["count"]) if h["offs"] is None else np.asarray(h["offs"], np.int64)) for h in hits])
+    edge = np.bincount(at, minlength=size + 1) - np.bincount(at + shape.width, minlength=size + 1)
     return np.cumsum(edge[:-1]) > 0
 
 

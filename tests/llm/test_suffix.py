@@ -60,3 +60,19 @@ def test_removal(spark, monkeypatch, width, gram, most):
                 gone[k : k + width] = True
         kept = bytes(x for x, g in zip(s, gone) if not g)
         assert (r.n, r.n_removed, r.kept_sha256) == (len(s), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+
+
+def test_texts_share_batches(spark, monkeypatch):
+    """Paths and windows of many texts share Arrow batches, and batches of any size give the same result."""
+    from glyphflow.llm import windows
+
+    line = [f"l{k}" for k in range(12)]
+    d = spark.createDataFrame([(i, " ".join([*(f"w{i}x{k}" for k in range(i % 9)), *line[: 5 + i % 8], f"t{i}"])) for i in range(60)], "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, windows.cut(spark, d, windows.Shape("word", 5, 2)).collect()))
+    assert any(r[2] for r in want)
+    rows = windows.Rows(["a"])
+    assert not [b for k in range(50) for b in rows.add([np.full(3, k)])]
+    (one,) = rows.rest()
+    assert one.num_rows == 150 and not list(rows.rest())
+    monkeypatch.setattr(windows, "ROWS", 1)
+    assert sorted(map(tuple, windows.cut(spark, d, windows.Shape("word", 5, 2)).collect())) == want
