@@ -24,12 +24,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Scratch, row_digest, table
 
 SAMPLE, WORDS, Z, LAMBDA = 20_000, 256, 3.5, 0.5
+#: Texts that a worker holds as Python objects at a time.
+SLICE = 256
 _WORD = re.compile(r"[^\W\d_]+")
 _KINDS = ("letter", "upper", "digit", "symbol", "bar")
 _TABLE = 0x3000  # characters beyond are counted one by one
@@ -123,8 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Log
 
     def read(frames):
         for f in frames:
-            x = [features(t) for t in f["text"]]
-            yield pd.DataFrame({"id": f["__id"], "low": f["low"], "toxic": f["toxic"], "shape": [a for a, _ in x], "words": [sorted(b) for _, b in x]})
+            for at in range(0, len(f), SLICE):
+                part = f.iloc[at : at + SLICE]
+                x = [features(t) for t in part["text"]]
+                yield pd.DataFrame({"id": part["__id"], "low": part["low"], "toxic": part["toxic"], "shape": [a for a, _ in x], "words": [sorted(b) for _, b in x]})
 
     got = docs.select(id_, F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("__id", "low", "toxic", "text").mapInPandas(read, "id long, low long, toxic long, shape array<double>, words array<string>")
     rows = scratch.keep(got.dropDuplicates(["id"]))
@@ -149,15 +154,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Log
     return out[0], out[1]
 
 
+def judged(texts: pa.Array, models: tuple[Logit, Logit]) -> pa.Array:
+    """p_low and p_toxic of a column of texts; of one text at a time the words are held, and of SLICE the text."""
+    (low, toxic), out = models, np.empty((2, len(texts)))
+    for at in range(0, len(texts), SLICE):
+        for k, t in enumerate(texts.slice(at, SLICE).to_pylist(), at):
+            of, words = features(t)
+            out[:, k] = low(of, words), toxic(of, words)
+    return pa.StructArray.from_arrays([pa.array(x) for x in out], names=["p_low", "p_toxic"])
+
+
 def evidence(spark: SparkSession, docs: DataFrame, models: tuple[Logit, Logit], keep: list[str]) -> DataFrame:
     """``keep`` with p_low and p_toxic of every whole text."""
     shared = spark.sparkContext.broadcast(models)
 
-    @F.pandas_udf("p_low double, p_toxic double")
-    def of(t: pd.Series) -> pd.DataFrame:
-        low, toxic = shared.value
-        x = [features(v) for v in t]
-        return pd.DataFrame({"p_low": [low(*v) for v in x], "p_toxic": [toxic(*v) for v in x]})
+    @F.arrow_udf("p_low double, p_toxic double")
+    def of(t: pa.Array) -> pa.Array:
+        return judged(t, shared.value)
 
     return docs.select(*keep, of(F.col("text")).alias("__e")).select(*keep, "__e.*")
 
