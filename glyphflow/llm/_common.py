@@ -55,8 +55,8 @@ class Scratch:
         self.root = f"{work_dir(spark)}/glyphflow/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame, **conf: str) -> DataFrame:
-        """``conf``: settings for this write alone, dots as double underscores."""
+    def keep(self, df: DataFrame, by: str | None = None, **conf: str) -> DataFrame:
+        """``conf``: settings for this write alone, dots as double underscores. ``by``: a folder for each value of this column."""
         path = f"{self.root}/{len(self.paths)}"
         self.paths[len(self.paths)] = path
         wanted = {self.CLEANUP: "true", **{k.replace("__", "."): v for k, v in conf.items()}}
@@ -64,7 +64,7 @@ class Scratch:
         try:
             for k, v in wanted.items():
                 self.spark.conf.set(k, v)
-            df.write.parquet(path)
+            df.write.parquet(path, partitionBy=by)
         finally:
             for k, v in before.items():
                 if v is None:
@@ -79,6 +79,10 @@ class Scratch:
         for df in frames:
             _drop(self.spark, df.scratch_path)
 
+    def drop_part(self, df: DataFrame, by: str, value) -> None:
+        """Deletes the rows of one value of the column that the table was kept ``by``."""
+        _drop(self.spark, f"{df.scratch_path}/{by}={value}")
+
     def clear(self) -> None:
         """Deletes all tables."""
         _drop(self.spark, self.root)
