@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, html, langid, quality, secrets, sentencepiece, simhash, substring, suffix
+from . import align, decontam, exact_dedup, html, langid, quality, secrets, sentencepiece, simhash, substring, suffix
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_decontaminate": decontam.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_token_alignment": align.op11_token_alignment,
 }
 
 SQL = {
