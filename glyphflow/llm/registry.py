@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, decontam, exact_dedup, html, langid, quality, secrets, sentencepiece, simhash, substring, suffix
+from . import align, decontam, exact_dedup, html, langid, quality, search, secrets, sentencepiece, simhash, substring, suffix, urls
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_decontaminate": decontam.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_token_alignment": align.op11_token_alignment,
+    "op12_ranked_search": search.op12_ranked_search,
+    "op13_url_filter": urls.op13_url_filter,
 }
 
 SQL = {
     "op6_substring_dedup": substring.SQL,
     "op8_secret_scan": secrets.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op12_ranked_search": search.SQL,
+    "op13_url_filter": urls.SQL,
 }
