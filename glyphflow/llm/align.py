@@ -286,14 +286,19 @@ def _slices(*columns: pa.Array):
 def encode(spark: SparkSession, docs: DataFrame, keep: list[str], text: str = "text", files: tuple[str, str, str] = (A_RANKS, A_FILE, B_FILE), scratch: Scratch | None = None) -> DataFrame:
     """__keep0.. (the ``keep`` columns), __row, a, b, sizes (packed) of every row, as a table."""
 
-    @F.arrow_udf("a binary, b binary, sizes binary")
-    def of(texts: pa.Array) -> pa.Array:
-        out = [_aligner(*files).align(t.to_pylist()) for (t,) in _slices(texts)]
-        return pa.concat_arrays(out) if out else pa.array([], pa.struct([(c, pa.binary()) for c in ("a", "b", "sizes")]))
-
     names = [f"__keep{k}" for k in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.monotonically_increasing_id().alias("__row"), of(F.col(text).cast("string")).alias("__e"))
-    return (scratch or Scratch(spark)).keep(rows.select(*names, "__row", "__e.*"), **_ZSTD)
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.monotonically_increasing_id().alias("__row"), F.col(text).cast("string").alias("__text"))
+
+    def encoded(batches):
+        for batch in batches:
+            at = 0
+            for (texts,) in _slices(batch.column("__text")):
+                own = [c.slice(at, len(texts)) for c in batch.columns[:-1]]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*own, *_aligner(*files).align(texts.to_pylist()).flatten()], [*names, "__row", *_PACKED])
+
+    kind = T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T.BinaryType()) for c in _PACKED)])
+    return (scratch or Scratch(spark)).keep(rows.mapInArrow(encoded, kind), **_ZSTD)
 
 
 def links(encoded: DataFrame) -> DataFrame:
@@ -371,6 +376,7 @@ def align(spark: SparkSession, docs: DataFrame, keep: list[str], text: str = "te
     return encoded.join(sums, "__row").select(*shown, *_RESULTS)
 
 
+_PACKED = ("a", "b", "sizes")
 _SCORED = ["n_links", "n_best", "count_sum", "pair", "times"]
 
 
