@@ -41,16 +41,16 @@ A_RANKS, A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokeniz
 #: Fixed value: what splits a text before A's merges, as its vocabulary file says.
 A_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Most pairs that are broadcast; characters encoded at once; bytes or links that numpy holds at once.
-HOT, STRETCH, BLOCK = 1 << 20, 1 << 18, 1 << 21
+HOT, STRETCH, BLOCK = 1 << 20, 1 << 18, 1 << 19
 #: A group of more links than this is counted by its distinct ids.
 WIDE = 1 << 12
 #: Ids are under 2**20; a pair of ids is one long.
 _BITS = 20
-_RESULTS = ("a", "b", "sizes", "n_links", "n_best", "count_sum")
+_RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPAN, _BLANK, _BORDER = re.compile(rb"[^\x03]*\x03"), re.compile(f"[{_WHITE}]{{4096}}"), re.compile(f"(?<=[^{_WHITE}])(?= )")
 _GROUPS = T.ArrayType(T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in "ab"]))
-_ZSTD = {"spark__sql__parquet__compression__codec": "zstd"}
+_ZSTD = {"spark__sql__parquet__compression__codec": "zstd", "spark__sql__execution__arrow__maxRecordsPerBatch": "2000"}
 
 
 class _Sizes(dict):
@@ -340,10 +340,11 @@ def _hot(counts: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray, np.
     return cut, pair[order].astype(np.int64), n[order].astype(np.int64), best[order].astype(bool)
 
 
-def align(spark: SparkSession, docs: DataFrame, keep: list[str], text: str = "text", files: tuple[str, str, str] = (A_RANKS, A_FILE, B_FILE), hot: int = HOT) -> DataFrame:
-    """``keep`` and, of every row: a, b (packed ids, 32 bits each), sizes (packed numbers of A and B tokens of each group in
-    turn; ``groups`` unpacks all three), n_links, n_best (links whose count is the highest of their A id), count_sum (over links)."""
-    scratch = Scratch(spark)
+def align(spark: SparkSession, docs: DataFrame, keep: list[str], text: str = "text", files: tuple[str, str, str] = (A_RANKS, A_FILE, B_FILE), hot: int = HOT, derived: dict[str, Column] | None = None) -> DataFrame:
+    """``keep`` and, of every row: what is ``derived`` from a, b (ids) and sizes (numbers of A and B tokens of each group in turn),
+    all packed as 32-bit integers (by default ``groups``, the groups themselves); n_a, n_b, n_groups, n_links, n_best (links whose count is the
+    highest of their A id), count_sum (over links)."""
+    scratch, derived = Scratch(spark), {"groups": groups("a", "b", "sizes")} if derived is None else derived
     encoded = encode(spark, docs, keep, text, files, scratch)
     counts = scratch.keep(links(encoded), **_ZSTD)
     cut, *known = _hot(counts, hot)
@@ -367,13 +368,16 @@ def align(spark: SparkSession, docs: DataFrame, keep: list[str], text: str = "te
             out.append(pa.StructArray.from_arrays([pa.array(g.n_links()), *(pa.array(_sums(x, ends)) for x in own), *lists], _SCORED))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([(c, pa.int64() if k < 3 else pa.list_(pa.int64())) for k, c in enumerate(_SCORED)]))
 
-    own = scratch.keep(encoded.select("__row", scored("a", "b", "sizes").alias("s")).select("__row", "s.*"), **_ZSTD)
-    rare = own.where(F.size("pair") > 0).select("__row", F.explode(F.arrays_zip("pair", "times")).alias("x")).select("__row", "x.pair", "x.times")
-    rare = rare.join(counts.where(F.col("n") < cut), "pair").groupBy("__row").agg(F.sum(F.col("n") * F.col("times")).alias("more_sum"), F.sum(F.col("best").cast("long") * F.col("times")).alias("more_best"))
-    sums = own.select("__row", "n_links", "n_best", "count_sum").join(rare, "__row", "left")
-    sums = sums.select("__row", "n_links", *[(F.col(c) + F.coalesce(m, F.lit(0))).alias(c) for c, m in (("n_best", "more_best"), ("count_sum", "more_sum"))])
-    shown = [F.col(f"__keep{k}").alias(c) for k, c in enumerate(keep) if c not in _RESULTS]
-    return encoded.join(sums, "__row").select(*shown, *_RESULTS)
+    # Packed columns are large: all that is wanted of them is made here, and only small rows join the counts of rare pairs.
+    names, more = [f"__keep{k}" for k in range(len(keep))], [c.alias(f"__own{k}") for k, c in enumerate(derived.values())]
+    sizes = [(F.octet_length(c) / size).cast("long").alias(n) for n, c, size in zip(_RESULTS, _PACKED, (4, 4, 8))]
+    own = scratch.keep(encoded.select(*names, "__row", *sizes, *more, scored("a", "b", "sizes").alias("__s")), **_ZSTD)
+    scratch.drop(encoded)
+    rare = own.where(F.size("__s.pair") > 0).select("__row", F.explode(F.arrays_zip("__s.pair", "__s.times")).alias("x")).select("__row", "x.pair", "x.times")
+    rare = rare.join(counts.where(F.col("n") < cut), "pair").groupBy("__row").agg(F.sum(F.col("n") * F.col("times")).alias("__sum"), F.sum(F.col("best").cast("long") * F.col("times")).alias("__best"))
+    shown = [F.col(f"__keep{k}").alias(c) for k, c in enumerate(keep) if c not in (*derived, *_RESULTS)]
+    sums = [(F.col(f"__s.{c}") + F.coalesce(m, F.lit(0))).alias(c) for c, m in (("n_best", "__best"), ("count_sum", "__sum"))]
+    return own.join(rare, "__row", "left").select(*shown, *[F.col(f"__own{k}").alias(c) for k, c in enumerate(derived)], "n_a", "n_b", "n_groups", "__s.n_links", *sums)
 
 
 _PACKED = ("a", "b", "sizes")
@@ -399,10 +403,5 @@ def groups_digest(a: pa.Array, b: pa.Array, sizes: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def count(packed: Column, of: int = 1) -> Column:
-    return (F.octet_length(packed) / (4 * of)).cast("long")
-
-
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = align(spark, table(spark, sf_dir, "documents"), ["doc_id"])
-    return got.select("doc_id", count(F.col("a")).alias("n_a"), count(F.col("b")).alias("n_b"), count(F.col("sizes"), 2).alias("n_groups"), "n_links", "n_best", "count_sum", groups_digest("a", "b", "sizes").alias("groups_sha256"))
+    return align(spark, table(spark, sf_dir, "documents"), ["doc_id"], derived={"groups_sha256": groups_digest("a", "b", "sizes")})

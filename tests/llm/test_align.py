@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from glyphflow.llm import align
 
@@ -55,17 +54,16 @@ def expected(texts):
 
 @pytest.mark.parametrize("hot", [align.HOT, 40, 0])
 def test_against_brute_force(spark, hot):
-    d = spark.createDataFrame([(i, t, "kept", 7) for i, t in enumerate(TEXTS)], "doc_id long, text string, sizes string, __row long")
-    got = align.align(spark, d, ["doc_id", "sizes", "__row"], hot=hot)
-    assert got.columns == ["doc_id", "__row", *align._RESULTS]
-    cols = [align.count(F.col("a")), align.count(F.col("b")), align.count(F.col("sizes"), 2), "n_links", "n_best", "count_sum", align.groups_digest("a", "b", "sizes")]
-    assert [tuple(r)[1:] for r in got.select("doc_id", *cols).orderBy("doc_id").collect()] == expected(TEXTS)
+    d = spark.createDataFrame([(i, t, "kept", 7, 8) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_a string, __row long, __keep0 long")
+    got = align.align(spark, d, ["doc_id", "n_a", "__row", "__keep0"], hot=hot, derived={"digest": align.groups_digest("a", "b", "sizes")})
+    assert got.columns == ["doc_id", "__row", "__keep0", "digest", *align._RESULTS]
+    assert [(*r[4:], r.digest) for r in got.orderBy("doc_id").collect()] == expected(TEXTS)
 
 
 def test_groups_are_lists_of_ids(spark):
     d = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    got = align.align(spark, d, ["doc_id"]).select("doc_id", align.groups("a", "b", "sizes").alias("g")).orderBy("doc_id").collect()
-    assert [[(list(x.a), list(x.b)) for x in r.g] for r in got] == [[(list(a), list(b)) for a, b in g] for g in by_hand(TEXTS)]
+    got = align.align(spark, d, ["doc_id"]).orderBy("doc_id").collect()
+    assert [[(list(x.a), list(x.b)) for x in r.groups] for r in got] == [[(list(a), list(b)) for a, b in g] for g in by_hand(TEXTS)]
 
 
 def test_stretches_change_nothing():
