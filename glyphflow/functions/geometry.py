@@ -121,5 +121,63 @@ def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Colu
     return out
 
 
+def in_corners(x: Column, y: Column, polygon: Column, corners: int = 4) -> Column:
+    """The same for a polygon column of so many corners, each row its own."""
+    at = lambda k, c: F.element_at(polygon, k % corners + 1)[c].cast("double")
+    out = F.lit(False)
+    for k in range(corners):
+        xi, yi, xj, yj = at(k, "x"), at(k, "y"), at(k - 1, "x"), at(k - 1, "y")
+        out = out != (((yi > y) != (yj > y)) & F.coalesce(x < (xj - xi) * (y - yi) / F.nullif(yj - yi, F.lit(0.0)) + xi, F.lit(False)))
+    return out
+
+
+def neighbours(polygon: Column) -> tuple[Column, Column]:
+    """The corners before and behind those of a polygon, round the end."""
+    n = F.greatest(F.size(polygon), F.lit(1))
+    return F.concat(F.slice(polygon, n, F.lit(1)), F.slice(polygon, F.lit(1), n - 1)), F.concat(F.slice(polygon, F.lit(2), n - 1), F.slice(polygon, F.lit(1), F.lit(1)))
+
+
+def in_polygon_of(x: Column, y: Column, polygon: Column) -> Column:
+    """``in_polygon`` for a polygon column of any number of corners, each row its own."""
+    edges = F.zip_with(polygon, neighbours(polygon)[0], lambda p, q: F.struct(*[v[c].cast("double").alias(c + k) for k, v in (("i", p), ("j", q)) for c in "xy"]))
+    crosses = lambda e: ((e["yi"] > y) != (e["yj"] > y)) & F.coalesce(x < (e["xj"] - e["xi"]) * (y - e["yi"]) / F.nullif(e["yj"] - e["yi"], F.lit(0.0)) + e["xi"], F.lit(False))
+    return F.aggregate(edges, F.lit(False), lambda acc, e: acc != crosses(e))
+
+
+def signed_area(polygon: Column) -> Column:
+    edges = F.zip_with(polygon, neighbours(polygon)[1], lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + e) / 2
+
+
+def perimeter(polygon: Column) -> Column:
+    edges = F.zip_with(polygon, neighbours(polygon)[1], distance)
+    return F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + e)
+
+
+def unclipped(polygon: Column, ratio: float) -> Column:
+    """A polygon (x, y doubles) with its edges moved outward by area * ratio / perimeter. Its corners are where moved neighbours
+    meet, or midway between their ends where they are parallel; polygons of fewer than three corners or no length stay."""
+    signed, around = signed_area(polygon), perimeter(polygon)
+    far = F.abs(signed) * ratio / F.nullif(around, F.lit(0.0)) * F.when(signed >= 0, 1).otherwise(-1)
+
+    def moved(p, q):
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        size = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-12))
+        ox, oy = dy / size * far, -dx / size * far
+        return F.struct((p["x"] + ox).alias("ax"), (p["y"] + oy).alias("ay"), (q["x"] + ox).alias("bx"), (q["y"] + oy).alias("by"))
+
+    edges = F.zip_with(polygon, neighbours(polygon)[1], moved)
+
+    def meet(e, f):
+        ex, ey, fx, fy = e["bx"] - e["ax"], e["by"] - e["ay"], f["bx"] - f["ax"], f["by"] - f["ay"]
+        cross = ex * fy - ey * fx
+        t = ((f["ax"] - e["ax"]) * fy - (f["ay"] - e["ay"]) * fx) / F.nullif(cross, F.lit(0.0))
+        flat = F.abs(cross) < 1e-10
+        at = lambda a, b, c, d: F.when(flat, (b + c) / 2).otherwise(a + t * d)
+        return F.struct(at(e["ax"], e["bx"], f["ax"], ex).alias("x"), at(e["ay"], e["by"], f["ay"], ey).alias("y"))
+
+    return F.when((F.size(polygon) < 3) | (around < 1e-10), polygon).otherwise(F.zip_with(neighbours(edges)[0], edges, meet))
+
+
 def colour_distance(a: list[Column], b: list[Column]) -> Column:
     return sum(((p - q) * (p - q) for p, q in zip(a, b)), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -61,16 +61,19 @@ def text_colour(pixels: DataFrame, least: int = 4, least_outside: int = 20) -> D
     return s.where(F.col("na") >= least).withColumn("dark", dark).select("image_id", *pick, "dark")
 
 
-def char_spans(segments: Column, chars: int, axis: int) -> Column:
-    """Character spans (start, end) of pixel segments in order, out of ``chars`` over ``axis`` pixels. A span starts no earlier
-    than the one before it ends, has one character at least, and is left out where no character remains."""
-    scaled = lambda v: F.greatest(F.lit(0).cast("long"), F.least(F.lit(chars).cast("long"), F.floor(v * float(chars) / axis + 0.5)))
-    kind = "array<struct<start:bigint,end:bigint>>"
+def char_spans(segments: Column, chars: Column | int, axis: Column | int, more: tuple[str, ...] = ()) -> Column:
+    """Character spans (start, end, and the fields ``more`` of the segment) of pixel segments in order, out of ``chars`` over
+    ``axis`` pixels. A span starts no earlier than the one before it ends, has one character at least, and is left out where
+    no character remains."""
+    chars, axis = (v.cast("long") if isinstance(v, Column) else F.lit(v).cast("long") for v in (chars, axis))
+    scaled = lambda v: F.greatest(F.lit(0).cast("long"), F.least(chars, F.floor(v * chars.cast("double") / axis + 0.5)))
+    kind = "array<struct<" + ",".join(f"{c}:bigint" for c in ("start", "end", *more)) + ">>"
 
     def step(acc, s):
         start = F.greatest(scaled(s["start"]), F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0).cast("long")))
-        end = F.least(F.lit(chars).cast("long"), F.greatest(scaled(s["end"]), start + 1))
-        return F.when(start >= chars, acc).otherwise(F.concat(acc, F.array(F.struct(start.alias("start"), end.alias("end"))).cast(kind)))
+        end = F.least(chars, F.greatest(scaled(s["end"]), start + 1))
+        one = F.struct(start.alias("start"), end.alias("end"), *[s[c].alias(c) for c in more])
+        return F.when(start >= chars, acc).otherwise(F.concat(acc, F.array(one).cast(kind)))
 
     return F.aggregate(segments, F.array().cast(kind), step)
 
@@ -127,3 +130,88 @@ def merge_similar(spans: Column, most: int = 2000) -> Column:
         return F.when(near & (a + b == 0), acc).when(near, F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), one)).otherwise(F.concat(acc, own))
 
     return F.aggregate(spans, F.array().cast(_SPANS), step)
+
+
+#: Pixels around a box that may serve as background, how many are needed, and pixels of text below which a box has no colour.
+RING, LEAST_OUTSIDE, LEAST_INSIDE, CELL = 15, 20, 4, 64
+_BOX = ["image_id", "box_id"]
+
+
+def seen(pixels: DataFrame, boxes: DataFrame, ring: int = RING, cell: int = CELL) -> DataFrame:
+    """image_id, box_id, chars, tall, w, h, px, py (in the crop), r, g, b, place of every pixel that a box sees: 'in' its quad,
+    'out' of it but within its bounds, or in the 'ring' around these. ``boxes``: image_id, box_id, quad, text, width, height (of
+    the image). Boxes and pixels meet through grid cells: a pixel lies in one, a box covers a few.
+    """
+    b, zero, one = g.bounds(F.col("quad")), F.lit(0).cast("long"), F.lit(1).cast("long")
+    low = lambda v, full: g.clamp(b[v], zero, F.col(full) - 1).alias(v)
+    high = lambda v, full: g.clamp(b[v], one, F.col(full)).alias(v)
+    tall = (b["y1"] - b["y0"]) > (b["x1"] - b["x0"]) * 2
+    chars = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    boxes = boxes.select(*_BOX, "quad", chars.alias("chars"), tall.alias("tall"), low("x0", "width"), low("y0", "height"), high("x1", "width"), high("y1", "height"))
+    boxes = boxes.where((g.width() > 0) & (g.height() > 0)).withColumn("cx", F.explode(F.sequence(F.floor((F.col("x0") - ring) / cell), F.floor((F.col("x1") + ring - 1) / cell))))
+    boxes = boxes.withColumn("cy", F.explode(F.sequence(F.floor((F.col("y0") - ring) / cell), F.floor((F.col("y1") + ring - 1) / cell))))
+    at = pixels.select("image_id", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"), "x", "y", "r", "g", "b")
+    near = lambda v: (F.col(v) >= F.col(v + "0") - ring) & (F.col(v) < F.col(v + "1") + ring)
+    both = boxes.join(at, ["image_id", "cx", "cy"]).where(near("x") & near("y"))
+    px, py = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
+    local = F.transform("quad", lambda q: F.struct((q["x"] - F.col("x0")).alias("x"), (q["y"] - F.col("y0")).alias("y")))
+    within = (px >= 0) & (px < g.width()) & (py >= 0) & (py < g.height())
+    place = F.when(~within, "ring").when(g.in_corners(px, py, local), "in").otherwise("out")
+    return both.select(*_BOX, "chars", "tall", g.width().alias("w"), g.height().alias("h"), px.alias("px"), py.alias("py"), "r", "g", "b", place.alias("place"))
+
+
+def judged(seen_pixels: DataFrame, ring: int = LEAST_OUTSIDE, least: int = LEAST_INSIDE) -> DataFrame:
+    """The pixels in the quads of ``seen_pixels`` with text (whether it is of the text) and the colour of the text, cr, cg, cb.
+
+    Pixels of a quad are parted at Otsu's threshold. Text is the part whose median is farther from that of the pixels out of the
+    quad (ties: dark), to which the ring belongs only where they are fewer than ``ring``; where both together are too few, the
+    part of larger variance (ties: dark); all, where there is one part only. Quads of fewer than ``least`` pixels are dropped.
+    All is told by windows over one box, so the pixels are shuffled once.
+    """
+    box, upto = Window.partitionBy(*_BOX), Window.partitionBy(*_BOX).orderBy("gray").rangeBetween(Window.unboundedPreceding, 0)
+    inside = F.col("place") == "in"
+    p = seen_pixels.withColumn("gray", F.when(inside, g.gray()))
+    n, s = F.when(inside, 1).otherwise(0), F.coalesce("gray", F.lit(0))
+    p = p.select("*", *[f.over(w).alias(a + b) for a, w in (("b", upto), ("all", box)) for b, f in (("n", F.sum(n)), ("s", F.sum(s)))])
+    left = F.col("alln") - F.col("bn")
+    spread = F.when(inside & (left > 0), F.col("bn").cast("double") * left * F.pow(F.col("bs") / F.nullif("bn", F.lit(0)) - (F.col("alls") - F.col("bs")) / F.nullif(left, F.lit(0)), F.lit(2.0)))
+    p = p.withColumn("v", spread)
+    p = p.withColumn("threshold", F.coalesce(F.min_by("gray", F.when(F.col("v").isNotNull(), F.struct((-F.col("v")).alias("v"), "gray"))).over(box), F.lit(0)))
+    part = F.when(F.col("place") == "ring", 3).when(F.col("place") == "out", 0).when(F.col("gray") <= F.col("threshold"), 1).otherwise(2)
+    p = p.withColumn("part", part).withColumn("near", F.count_if(F.col("part") == 0).over(box) < ring)
+    kinds = {"o": (F.col("part") == 0) | ((F.col("part") == 3) & F.col("near")), "d": F.col("part") == 1, "l": F.col("part") == 2, "a": F.col("part").isin(1, 2)}
+    p = p.select("*", *[F.when(is_, F.col(c)).alias(c + k) for k, is_ in kinds.items() for c in "rgb"])
+    median = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)").over(box).cast("long").alias("m" + c)
+    p = p.select(
+        *_BOX, "chars", "tall", "w", "h", "px", "py", "r", "g", "b", "part", *[median(c + k) for k in kinds for c in "rgb"], *[F.count("r" + k).over(box).alias("n" + k) for k in kinds],
+        *[sum((F.var_pop(c + k).over(box) for c in "rgb"), F.lit(0.0)).alias("v" + k) for k in "dl"],
+    )
+    far = lambda k: g.colour_distance([F.col(f"m{c}{k}") for c in "rgb"], [F.col(f"m{c}o") for c in "rgb"])
+    dark = F.when((F.col("nd") == 0) | (F.col("nl") == 0), F.lit(None)).when(F.col("no") >= ring, far("d") >= far("l")).otherwise(F.round("vl", 6) <= F.round("vd", 6))
+    p = p.where(F.col("part").isin(1, 2) & (F.col("na") >= least)).withColumn("dark", dark)
+    pick = [F.when(F.col("dark").isNull(), F.col(f"m{c}a")).when(F.col("dark"), F.col(f"m{c}d")).otherwise(F.col(f"m{c}l")).alias("c" + c) for c in "rgb"]
+    text = F.coalesce(F.when(F.col("dark"), F.col("part") == 1).otherwise(F.col("part") == 2) | F.col("dark").isNull(), F.lit(True))
+    return p.select(*_BOX, "chars", "tall", "w", "h", "px", "py", "r", "g", "b", text.alias("text"), *pick)
+
+
+def text_colours(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """image_id, box_id, r, g, b: the text colour of every box with pixels enough (see ``judged``)."""
+    return judged(seen(pixels, boxes)).groupBy(*_BOX).agg(*[F.first("c" + c).alias(c) for c in "rgb"])
+
+
+def word_colours(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """image_id, box_id, spans (start, end, r, g, b) of the boxes whose words differ in colour.
+
+    Text pixels are projected on the axis of the text (down where a box is over twice as high as wide); each run of occupied
+    places is a word with its median colour and the characters it covers in proportion. Outlying colours go to a neighbour,
+    like neighbours are joined. A box without text, or with one run or one span, has none.
+    """
+    place, axis = F.when(F.col("tall"), F.col("py")).otherwise(F.col("px")), F.when(F.col("tall"), F.col("h")).otherwise(F.col("w"))
+    p = judged(seen(pixels, boxes)).where(F.col("text") & (F.col("chars") > 0)).select(*_BOX, "chars", axis.alias("axis"), place.alias("at"), "r", "g", "b")
+    p = p.withColumn("isle", F.col("at") - F.dense_rank().over(Window.partitionBy(*_BOX).orderBy("at")))
+    median = [F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)").cast("long").alias(c) for c in "rgb"]
+    runs_ = p.groupBy(*_BOX, "isle").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end"), *median, F.first("chars").alias("chars"), F.first("axis").alias("axis"))
+    words = runs_.groupBy(*_BOX).agg(F.array_sort(F.collect_list(F.struct("start", "end", "r", "g", "b"))).alias("runs"), F.first("chars").alias("chars"), F.first("axis").alias("axis"))
+    spans = words.where(F.size("runs") > 1).select(*_BOX, char_spans(F.col("runs"), F.col("chars"), F.col("axis"), ("r", "g", "b")).alias("spans"))
+    spans = suppress_outliers(spans.where(F.size("spans") > 1), "spans")
+    return spans.select(*_BOX, merge_similar(F.col("spans")).alias("spans")).where(F.size("spans") > 1)

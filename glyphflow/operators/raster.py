@@ -64,6 +64,36 @@ def warp(image: np.ndarray, quad: np.ndarray, width: int, height: int) -> np.nda
     return np.where(out[..., None], bilinear(image, np.where(out, sx, 0), np.where(out, sy, 0)), 255).astype(np.uint8)
 
 
+def ordered(quad) -> np.ndarray:
+    """The points of least and largest sums and differences: top left, top right, bottom right, bottom left; first on ties."""
+    q = np.array(quad, float)
+    total, side = q.sum(axis=1), q[:, 0] - q[:, 1]
+    return q[[total.argmin(), side.argmax(), total.argmax(), side.argmin()]]
+
+
+def sides(quad: np.ndarray) -> tuple[float, float]:
+    """Longer width and longer height of an ordered quad."""
+    size = lambda a, b: float(np.hypot(*(quad[a] - quad[b])))
+    return max(size(0, 1), size(3, 2)), max(size(0, 3), size(1, 2))
+
+
+def line_crop(image: np.ndarray, quad, height: int = 48) -> np.ndarray:
+    """A quad as a line of ``height``: straight, its width in proportion; one that stands upright is read down, turned to the left."""
+    q = ordered(quad)
+    w, h = sides(q)
+    h = max(h, 1.0)
+    length = lambda v: max(1, int(np.floor(v + 0.5)))
+    if h > w:
+        return rotate_ccw(warp(image, q, height, length(height * h / w) if w else 1))
+    return warp(image, q, length(height * w / h), height)
+
+
+def region_crop(image: np.ndarray, quad) -> np.ndarray:
+    """A quad laid straight in its own size, fractions cut off, without turning it."""
+    q = ordered(quad)
+    return warp(image, q, *(max(1, int(v)) for v in sides(q)))
+
+
 def rotate_ccw(image: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.rot90(image))
 
@@ -86,11 +116,10 @@ def detector_input(image: np.ndarray, longest: int = 1280, multiple: int = 32) -
     return nchw(full), rw, rh
 
 
-def layout_input(image: np.ndarray, size: int = 800) -> dict[str, np.ndarray]:
+def layout_input(image: np.ndarray, size: int = 800, mean=MEAN, std=STD) -> dict[str, np.ndarray]:
     """The three input tensors of a layout model."""
     h, w = image.shape[:2]
-    x = (resize(image, size, size).astype(np.float32) / 255).transpose(2, 0, 1)[None]
-    return {"im_shape": np.array([[size, size]], np.float32), "image": x, "scale_factor": np.array([[size / h, size / w]], np.float32)}
+    return {"im_shape": np.array([[size, size]], np.float32), "image": nchw(resize(image, size, size), mean, std), "scale_factor": np.array([[size / h, size / w]], np.float32)}
 
 
 def crop(image: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
@@ -101,14 +130,17 @@ def crop(image: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
 
 
 def cropped_quad(image: np.ndarray, quad: list[tuple[int, int]], pad: int = 10) -> np.ndarray:
-    """The inside of a quad on white, with a white border of ``pad``."""
+    """The inside of a quad, clamped to the image, on white, with a white border of ``pad``; one black pixel where nothing is left."""
     from .grid import inside
 
+    h, w = image.shape[:2]
     xs, ys = [x for x, _ in quad], [y for _, y in quad]
-    x0, y0, x1, y1 = min(xs), min(ys), max(xs), max(ys)
+    bound = lambda v, lo, hi: lo if v < lo else min(v, hi)
+    x0, y0, x1, y1 = bound(min(xs), 0, w - 1), bound(min(ys), 0, h - 1), bound(max(xs), 1, w), bound(max(ys), 1, h)
+    if x1 <= x0 or y1 <= y0:
+        return np.zeros((1, 1, 3), np.uint8)
     out = np.full((y1 - y0 + 2 * pad, x1 - x0 + 2 * pad, 3), 255, np.uint8)
-    part = crop(image, x0, y0, x1, y1)
-    y, x = np.mgrid[0 : part.shape[0], 0 : part.shape[1]]
-    keep = inside(x + max(0, x0), y + max(0, y0), quad)
-    out[pad + max(0, -y0) :, pad + max(0, -x0) :][: part.shape[0], : part.shape[1]][keep] = part[keep]
+    y, x = np.mgrid[0 : y1 - y0, 0 : x1 - x0]
+    keep = inside(x, y, [(px - x0, py - y0) for px, py in quad])
+    out[pad : pad + y1 - y0, pad : pad + x1 - x0][keep] = image[y0:y1, x0:x1][keep]
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,24 @@ def steps(df: DataFrame, logits: Column, classes: int) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(0), (F.size(logits) / classes).cast("int") - 1), lambda t: F.slice(logits, t * classes + 1, classes))
     best = F.transform(parts, lambda a: F.struct((F.array_position(a, F.array_max(a)) - 1).alias("c"), F.array_max(a).cast("double").alias("p")))
     return df.select(*df.columns, F.posexplode(best).alias("__t", "__s")).select(*df.columns, F.col("__t").cast("long").alias("t"), "__s.*")
+
+
+#: Entries of a dictionary up to which it is broadcast.
+SMALL = 1 << 16
+
+
+def ctc_by_table(df: DataFrame, key: list[str], logits: Column, classes: int, dictionary: DataFrame, small: int = SMALL) -> DataFrame:
+    """key, text, score of a flat T x C array by a dictionary table (class, entry), which may be of any size: it is broadcast up to
+    ``small`` rows and joined by class beyond. Repeats and class 0 collapse; a class that the table lacks ends a repeat but gives
+    nothing, and nothing to the score."""
+    s = steps(df.select(*key, logits.alias("__l")), F.col("__l"), classes).select(*key, "t", F.col("c").cast("long").alias("class"), "p")
+    s = s.withColumn("before", F.lag("class").over(Window.partitionBy(*key).orderBy("t")))
+    s = s.where((F.col("class") != 0) & (F.col("before").isNull() | (F.col("before") != F.col("class"))))
+    known = dictionary.select(F.col("class").cast("long").alias("class"), "entry")
+    if known.limit(small + 1).count() <= small:
+        known = F.broadcast(known)
+    got = s.join(known, "class").groupBy(*key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "entry"))), lambda x: x["entry"]), "").alias("text"),
+        F.exp(F.sum(F.when(F.col("p") > 0, F.ln("p")).otherwise(0.0)) / F.count("*")).alias("score"),
+    )
+    return df.select(*key).join(got, key, "left").select(*key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))

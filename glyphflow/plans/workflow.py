@@ -21,6 +21,7 @@ from ..operators import raster
 from ..sources import images
 
 LINE = "parent long, x0 long, y0 long, x1 long, y1 long, x2 long, y2 long, x3 long, y3 long, text string, score double, class_id long, read_order long"
+CHILDREN = "array<struct<box:array<array<bigint>>,text:string,score:double>>"
 Quad = list[tuple[int, int]]
 
 
@@ -149,15 +150,15 @@ class TextDetector(Onnx):
 class LayoutDetector(Onnx):
     """Regions of a page: rows of label, score, x0, y0, x1, y1, place in reading order."""
 
-    def __init__(self, model: str = "layout.onnx", session: Any = None, least: float = 0.3):
+    def __init__(self, model: str = "layout.onnx", session: Any = None, least: float = 0.3, size: int = 800, mean=raster.MEAN, std=raster.STD):
         super().__init__(model, session)
-        self.least = least
+        self.least, self.input = least, (size, mean, std)
 
     def detect(self, image: np.ndarray) -> list[Box]:
         h, w = image.shape[:2]
         if not h or not w:
             return []
-        t = raster.layout_input(image)
+        t = raster.layout_input(image, *self.input)
         rows = np.asarray(self.run(t["im_shape"], t["image"], t["scale_factor"])[0], np.float32).reshape(-1, 7)
         out = []
         for k in np.argsort(rows[:, 6], kind="stable"):
@@ -173,35 +174,51 @@ class LayoutDetector(Onnx):
 class Turned(Onnx):
     """Whether a line stands on its head."""
 
-    def __init__(self, model: str = "cls.onnx", session: Any = None, height: int = 48, width: int = 192):
+    def __init__(self, model: str = "cls.onnx", session: Any = None, height: int = 80, width: int = 160, threshold: float = 0.9):
         super().__init__(model, session)
-        self.size = width, height
+        self.size, self.least = (width, height), threshold
 
     def classify(self, image: np.ndarray, quad: Quad) -> bool:
         logits = np.asarray(self.run(raster.nchw(raster.warp(image, np.array(quad), *self.size)))[0]).ravel()
-        return len(logits) > 1 and bool(logits[1] > logits[0] and logits[1] > 0.9)
+        return len(logits) > 1 and bool(logits[1] > logits[0] and logits[1] > self.least)
 
 
 @stage("ctc")
 class Ctc(Onnx):
     """Text of a line from class scores by time step."""
 
-    def __init__(self, model: str = "rec.onnx", session: Any = None, charset: list[str] | None = None, height: int = 48):
+    lines_only = True
+
+    def __init__(self, model: str = "rec.onnx", session: Any = None, charset: list[str] | None = None, height: int = 48, mean=(0.5, 0.5, 0.5), std=(0.5, 0.5, 0.5)):
         super().__init__(model, session)
-        self.charset, self.height = charset or [""], height
+        self.charset, self.height, self.scale = charset or [""], height, (mean, std)
 
-    def crop(self, image: np.ndarray, quad: Quad) -> np.ndarray:
-        q = np.array(quad, float)
-        side = lambda a, b: float(np.hypot(*(q[a] - q[b])))
-        w, h = max(side(0, 1), side(3, 2)), max(side(0, 3), side(1, 2), 1.0)
-        if h > w:
-            return raster.rotate_ccw(raster.warp(image, q, self.height, max(1, round(self.height * h / max(w, 1e-9)))))
-        return raster.warp(image, q, max(1, int(self.height * w / h + 0.5)), self.height)
+    def tensor(self, image: np.ndarray, quad: Quad) -> np.ndarray:
+        return raster.nchw(raster.line_crop(image, quad, self.height), *self.scale)
 
     def recognise(self, image: np.ndarray, quad: Quad) -> tuple[str, float]:
-        p = np.asarray(self.run(raster.nchw(self.crop(image, quad)))[0], float)
+        p = np.asarray(self.run(self.tensor(image, quad))[0], float)
         return decoded(p.reshape(-1, p.shape[-1]), self.charset)
 
+    def recognise_all(self, image: np.ndarray, quads: list[Quad], pad: int = 1) -> list[tuple[str, float]]:
+        """The same for many lines, one call for those of one width, rounded up to ``pad``. The padding is grey, and what the model says
+        beyond a line's own share of the time steps is cut off; without padding (the default) nothing differs from single calls."""
+        tensors = [self.tensor(image, q) for q in quads]
+        by: dict[int, list[int]] = {}
+        for k, t in enumerate(tensors):
+            by.setdefault(-(-t.shape[3] // pad) * pad, []).append(k)
+        out: list[tuple[str, float]] = [("", 0.0)] * len(quads)
+        for width, ks in by.items():
+            batch = np.zeros((len(ks), 3, self.height, width), np.float32)
+            for row, k in zip(batch, ks):
+                row[:, :, : tensors[k].shape[3]] = tensors[k][0]
+            p = np.asarray(self.run(batch)[0], float)
+            if len(p) != len(ks):
+                raise ValueError("the model takes single lines only")
+            for scores, k in zip(p, ks):
+                out[k] = decoded(scores[: max(1, -(-len(scores) * tensors[k].shape[3] // width))], self.charset)
+        return out
+
 
 def decoded(p: np.ndarray, charset: list[str]) -> tuple[str, float]:
     """Text and mean score (geometric) of T x C scores: repeats and class 0 collapse, classes without a character are skipped."""
@@ -218,24 +235,25 @@ def decoded(p: np.ndarray, charset: list[str]) -> tuple[str, float]:
 class Remote:
     """Recogniser behind a chat service: the crop goes as a data URL, ``send`` (request body to response status and body) is given."""
 
-    def __init__(self, send: Callable[[dict], tuple[int, dict]], model: str = "", prompt: str = "Read the text."):
-        self.send, self.model, self.prompt = send, model, prompt
+    lines_only = False  # it reads regions of many lines
+
+    def __init__(self, send: Callable[[dict], tuple[int, dict]], model: str = "", system: str = "", prompt: str = "Text Recognition:"):
+        self.send, self.model, self.system, self.prompt = send, model, system, prompt
 
     def recognise(self, image: np.ndarray, quad: Quad) -> tuple[str, float]:
-        part = Ctc().crop(image, quad)
-        url = images.data_url(images.encode_png(part))
-        body = {"model": self.model, "messages": [{"role": "user", "content": [{"type": "image_url", "image_url": {"url": url}}, {"type": "text", "text": self.prompt}]}]}
-        status, got = self.send(body)
+        url = images.data_url(images.encode_png(raster.region_crop(image, quad)))
+        asked = [{"type": "image_url", "image_url": {"url": url}}, {"type": "text", "text": self.prompt}]
+        status, got = self.send({"model": self.model, "messages": [{"role": "system", "content": self.system}, {"role": "user", "content": asked}]})
         if status != 200:
             raise ValueError(f"status {status}")
         if not got.get("choices"):
             raise ValueError("no choices")
-        return got["choices"][0]["message"]["content"].strip(), 1.0
+        return got["choices"][0]["message"]["content"], 1.0
 
 
 @stage("proximity")
 class Proximity:
-    """Lines from boxes near each other; the boxes become their children in reading order."""
+    """Lines from boxes near each other: the bounds of every cluster, even of one box, which become its children in reading order."""
 
     def __init__(self, max_distance: float = 10, max_size_ratio: float = 1.5, **_: Any):
         self.far, self.ratio = max_distance, max_size_ratio
@@ -253,9 +271,6 @@ class Proximity:
             x0, y0, x1, y1 = ends[ks[0]]
             order = sorted(ks, key=lambda k: _order(ends[k], y1 - y0 > x1 - x0))
             kids = [boxes[k] for k in order]
-            if len(kids) == 1:
-                out.append(kids[0])
-                continue
             x0, y0, x1, y1 = (f(ends[k][i] for k in ks) for i, f in enumerate((min, min, max, max)))
             out.append(Box([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], kids[0].score, children=tuple(kids)))
         return sorted(out, key=lambda b: _order(_ends(b.quad), False))
@@ -317,77 +332,106 @@ class Engine:
         if config.workflow not in WORKFLOWS:
             raise ValueError(f"unknown workflow {config.workflow}; there are {', '.join(sorted(WORKFLOWS))}")
         self.config, self._built = config, None
+        names = dict(WORKFLOWS[config.workflow])
+        if "merge" in names:
+            names["merge"] = config.merge.get("strategy", names["merge"])
+        # Factories and settings by kind go along, so stages that are registered here only are known to workers.
+        own = lambda kind, name: {k: v for k, v in (config.merge if kind == "merge" else {}).items() if k != "strategy"} | config.models.get(name, {})
+        self._stages = {kind: (STAGES[name], own(kind, name)) for kind, name in names.items()}
 
     def __getstate__(self):  # stages are built anew where the engine arrives
-        return {"config": self.config, "_built": None}
+        return {**self.__dict__, "_built": None}
 
     @property
     def parts(self) -> dict[str, Any]:
         if self._built is None:
-            names = dict(WORKFLOWS[self.config.workflow])
-            if "merge" in names:
-                names["merge"] = self.config.merge.get("strategy", names["merge"])
-            self._built = {kind: STAGES[name](**(self.config.merge if kind == "merge" else {}) | self.config.models.get(name, {})) if kind != "merge" else STAGES[name](**{k: v for k, v in (self.config.merge | self.config.models.get(name, {})).items() if k != "strategy"}) for kind, name in names.items()}
+            self._built = {kind: factory(**settings) for kind, (factory, settings) in self._stages.items()}
         return self._built
 
     def close(self) -> None:
         self._built = None
 
     def detect(self, image: np.ndarray) -> list[Box]:
+        """What the detector finds, merged."""
         p = self.parts
         boxes = p["detect"].detect(image)
         if not boxes or "merge" not in p:
             return boxes
         return p["merge"].merge(boxes, image) if isinstance(p["merge"], Hierarchical) else p["merge"].merge(boxes)
 
-    def _line(self, image: np.ndarray, box: Box) -> tuple[Box, str, float] | None:
-        """A recognised box; nothing where recognition fails or gives no text. A classifier that fails leaves the box as it is."""
-        quad, p = box.quad, self.parts
-        if "classify" in p:
+    def _read(self, image: np.ndarray, boxes: list[Box]) -> list[tuple[Box, str, float] | None]:
+        """The boxes recognised, each with the quad that was read; nothing where recognition fails or gives no text. A classifier that
+        fails leaves a box as it is. A recogniser that reads many lines at once is asked once, and line by line only if that fails."""
+        p, turned = self.parts, []
+        for box in boxes:
             try:
-                if p["classify"].classify(image, quad):
-                    quad = quad[2:] + quad[:2]
+                flip = "classify" in p and p["classify"].classify(image, box.quad)
             except Exception:  # noqa: BLE001
-                quad = box.quad
+                flip = False
+            turned.append(replace(box, quad=box.quad[2:] + box.quad[:2]) if flip else box)
+        try:
+            got = p["recognise"].recognise_all(image, [b.quad for b in turned])
+        except Exception:  # noqa: BLE001
+            got = [self._one(image, b.quad) for b in turned]
+        return [(b, *x) if x and x[0] else None for b, x in zip(turned, got)]
+
+    def _one(self, image: np.ndarray, quad: Quad) -> tuple[str, float] | None:
         try:
-            text, score = p["recognise"].recognise(image, quad)
+            return self.parts["recognise"].recognise(image, quad)
         except Exception:  # noqa: BLE001
             return None
-        return (box, text, score) if text else None
 
     def run(self, image: np.ndarray) -> list[tuple[Box, str, float, list[tuple[Box, str, float]]]]:
-        """Lines of an image: box, text, score, and its recognised children."""
+        """Lines of an image: box, text, score, and its recognised children. A box with children is read child by child, unless the
+        recogniser reads regions of many lines."""
+        boxes = self.detect(image)
+        if "recognise" not in self.parts:
+            return [(b, "", b.score, []) for b in boxes]
+        parted = getattr(self.parts["recognise"], "lines_only", True)
+        asked = [list(b.children) if parted and b.children else [b] for b in boxes]
+        read = iter(self._read(image, [b for bs in asked for b in bs]))
         out = []
-        for box in self.detect(image):
-            if "recognise" not in self.parts:
-                out.append((box, "", box.score, []))
-                continue
-            kids = [x for x in (self._line(image, c) for c in box.children or (box,)) if x]
-            if kids:
-                out.append((box, " ".join(t for _, t, _ in kids), sum(s for *_, s in kids) / len(kids), kids if box.children else []))
+        for box, bs in zip(boxes, asked):
+            kids = [x for x in (next(read) for _ in bs) if x]
+            if kids and bs[0] is box:
+                out.append((*kids[0], []))
+            elif kids:
+                out.append((box, " ".join(t for _, t, _ in kids), sum(s for *_, s in kids) / len(kids), kids))
         return out
 
-    def transform(self, frames: DataFrame, key: str, content: str = "content") -> DataFrame:
-        """key, error and the lines of every image (bytes in ``content``); one row without a line for an image that has none."""
-        schema = f"key string, error string, {LINE}"
+    def _over(self, frames: DataFrame, key: str, content: str, lines: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
+        schema = f"key string, status long, error string, {LINE}, children {CHILDREN}"
+        names = [x.split()[0] for x in schema.split(f", children {CHILDREN}")[0].split(", ")] + ["children"]
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names = [x.split()[0] for x in schema.split(", ")]
+            none = (None,) * (len(names) - 3)
             for b in batches:
                 out = []
                 for k, raw in zip(b["key"], b["content"]):
-                    none = (None,) * (len(names) - 2)
                     try:
                         image = images.decode(raw)
                     except ValueError as e:
-                        out.append((k, str(e), *none))
+                        out.append((k, 400, str(e), *none))
+                        continue
+                    try:
+                        got = lines(image)
+                    except Exception as e:  # noqa: BLE001
+                        out.append((k, 500, f"detection: {e}", *none))
                         continue
-                    lines = self.run(image)
-                    out += [(k, None, n, *(v for p in box.quad for v in p), text, score, box.class_id, box.read_order) for n, (box, text, score, _) in enumerate(lines)] or [(k, None, *none)]
+                    out += [(k, 200, None, n, *(v for p in box.quad for v in p), text, score, box.class_id, box.read_order, [{"box": [list(p) for p in c.quad], "text": t, "score": s} for c, t, s in kids] or None) for n, (box, text, score, kids) in enumerate(got)] or [(k, 200, None, *none)]
                 yield pd.DataFrame(out, columns=names).astype({n: "Int64" for n in names if f"{n} long" in schema})
 
         return frames.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content")).mapInPandas(rows, schema)
 
+    def transform(self, frames: DataFrame, key: str, content: str = "content") -> DataFrame:
+        """key, status, error and the lines of every image (bytes in ``content``), with their children; one row without a line for an
+        image that has none (200), cannot be read (400) or at which a stage fails (500)."""
+        return self._over(frames, key, content, self.run)
+
+    def detect_frames(self, frames: DataFrame, key: str, content: str = "content") -> DataFrame:
+        """The same of what the detector finds: boxes without text, neither merged nor read."""
+        return self._over(frames, key, content, lambda image: [(b, None, b.score, []) for b in self.parts["detect"].detect(image)])
+
 
 def responses(lines: DataFrame) -> DataFrame:
     """image_id, body: the JSON result of every image. Lines in order with text, score and box; null colours, word colours and

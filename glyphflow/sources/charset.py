@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 KEYS = ("character", "dictionary", "charset")
 
 
@@ -18,6 +21,14 @@ def load(path: str) -> list[str]:
         return entries([x.rstrip("\r\n") for x in f])
 
 
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """class, entry of a dictionary file, from any store that Spark reads: class 0 is the blank, then every line, then the space."""
+    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
+    read = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("value"))
+    text = read.select(F.concat(F.array(F.lit("")), F.when(F.col("value") != "", lines).otherwise(F.array().cast("array<string>")), F.array(F.lit(" "))).alias("entries"))
+    return text.select(F.posexplode("entries").alias("class", "entry")).select(F.col("class").cast("long").alias("class"), "entry")
+
+
 def varint(data: bytes, at: int) -> tuple[int, int]:
     """Value and the place behind it; ValueError where it is cut off or over 64 bits."""
     value = shift = 0

@@ -46,6 +46,24 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The boxes that every image of D5 gets (box_id, corners, text): as wide as the page, slanted, upright, without text.
+COLOUR_BOXES = (
+    (1, ((0, 0), (16, 0), (16, 2), (0, 2)), "the quick brown fox"),
+    (2, ((2, 0), (13, 1), (12, 4), (1, 3)), "slanted words"),
+    (3, ((3, 0), (6, 0), (6, 7), (3, 7)), "縦書き"),
+    (4, ((4, 1), (20, 1), (20, 3), (4, 3)), ""),
+    (5, ((5, 2), (16, 2), (16, 4), (5, 4)), "ab"),
+)
+
+
+def colour_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D10: image_id, box_id, quad, text, width, height: COLOUR_BOXES on every image of D5, which is 16 wide."""
+    rows = [(b, [{"x": x, "y": y} for x, y in q], t) for b, q, t in COLOUR_BOXES]
+    kinds = F.explode(F.array(*[F.struct(F.lit(b).cast("long").alias("box_id"), F.array(*[F.struct(F.lit(p["x"]).cast("long").alias("x"), F.lit(p["y"]).cast("long").alias("y")) for p in q]).alias("quad"), F.lit(t).alias("text")) for b, q, t in rows]))
+    sizes = pixels(spark, sf_dir).groupBy("image_id").agg((F.max("y") + 1).alias("height"))
+    return sizes.select("image_id", "height", kinds.alias("k")).select("image_id", "k.*", F.lit(16).cast("long").alias("width"), "height")
+
+
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D4: vec_id, cells (64 doubles: 8 rows of 8)."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda e: e.cast("double") + 0.5).alias("cells"))
@@ -63,3 +81,38 @@ def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D9: session_id, ts, event_id, op (create, delete, get), payload."""
     op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("get")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id", op.alias("op"), F.col("event_id").cast("string").alias("payload"))
+
+
+def session_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D11: request_id, ts, body of the events that only read: a JSON body of the session and none to two slanted regions; one in 17
+    is broken off, one in 19 names no session."""
+    e = table(spark, sf_dir, "events").where("event_type not in ('signup', 'error')")
+    x, y = (lambda k: (F.col("event_id") * 3 + k * 40) % 150 - 5), (lambda k: (F.col("event_id") * 5 + k * 30) % 90 - 5)
+    corners = ((0, 0), (70, 3), (68, 40), (-1, 38))
+    box = lambda k: F.struct(*[(f(k) + dx).alias(f"{c}{n + 1}") for n, (dx_, dy) in enumerate(corners) for c, f, dx in (("x", x, dx_), ("y", y, dy))])
+    boxes = F.slice(F.array(box(0), box(1)), 1, (F.col("event_id") % 3).cast("int"))
+    body = F.when(F.col("event_id") % 17 == 0, F.lit('{"session_id": ')).when(F.col("event_id") % 19 == 0, F.lit('{"session_id": ""}')).otherwise(F.to_json(F.struct(F.col("user_id").cast("string").alias("session_id"), boxes.alias("bounding_boxes"))))
+    return e.select(F.col("event_id").alias("request_id"), "ts", body.alias("body"))
+
+
+def box_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D12: trees of three levels, image to region (D2) to box (D1): tree_id, node_id, parent_id, ord, x0, y0, x1, y1, text. Boxes of no region are children of
+    the image; regions without boxes are left out. Every seventh region has text of its own."""
+    from ..operators import boxes as B
+
+    box = ["x0", "y0", "x1", "y1"]
+    parents = layout_rows(spark, sf_dir).select("image_id", F.col("k").alias("parent_id"), F.col("xmin").alias("x0"), F.col("ymin").alias("y0"), F.col("xmax").alias("x1"), F.col("ymax").alias("y1"))
+    children = boxes(spark, sf_dir)
+    given = B.assign_children(children, parents)
+    leaves = children.join(given, ["image_id", "box_id"], "left").where("x1 > x0 and y1 > y0")
+    leaf = leaves.select("image_id", F.col("box_id").alias("node_id"), F.coalesce(F.col("parent_id") + 900, F.lit(999)).alias("parent_id"), (F.col("box_id") + 10).alias("ord"), *box, F.when(F.col("box_id") % 6 != 5, F.col("text")).otherwise("").alias("text"))
+    used = parents.join(given.select("image_id", "parent_id").distinct(), ["image_id", "parent_id"])
+    region = used.select("image_id", (F.col("parent_id") + 900).alias("node_id"), F.lit(999).cast("long").alias("parent_id"), F.col("parent_id").alias("ord"), *box, F.when((F.col("image_id") + F.col("parent_id")) % 7 == 0, F.concat(F.lit("r"), F.col("parent_id").cast("string"))).otherwise("").alias("text"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    root = leaves.select("image_id").distinct().select("image_id", F.lit(999).cast("long").alias("node_id"), none.alias("parent_id"), zero.alias("ord"), *[zero.alias(c) for c in box], F.lit("").alias("text"))
+    return root.unionByName(region).unionByName(leaf).withColumnRenamed("image_id", "tree_id")
+
+
+def small_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D13: class, entry: the first letters of four nations as classes 1 to 4; classes 5 to 7 of D3 are not in it."""
+    return table(spark, sf_dir, "nation").where("n_nationkey < 4").select((F.col("n_nationkey") + 1).cast("long").alias("class"), F.lower(F.substring("n_name", 1, 1)).alias("entry"))

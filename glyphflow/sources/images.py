@@ -1,6 +1,7 @@
 """Images as bytes: PNG and raw bitmaps in numpy, base64 and multipart requests, folders of files.
 
-PNG (8 bits, without interlace) is read and written here; other formats go through Pillow where it is installed.
+PNG is read here (all depths, interlaced or not; 16 bits are cut to their high byte, transparency is left out) and written
+(8 bits); other formats go through Pillow where it is installed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,67 +28,144 @@ def encode_png(image: np.ndarray) -> bytes:
     return _PNG + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
-def _unfiltered(raw: bytes, h: int, stride: int, step: int) -> np.ndarray:
-    out = np.zeros((h, stride), np.uint8)
-    for y in range(h):
-        kind, line = raw[y * (stride + 1)], np.frombuffer(raw, np.uint8, stride, y * (stride + 1) + 1).astype(int)
-        up = out[y - 1].astype(int) if y else np.zeros(stride, int)
-        if kind == 0:
-            got = line
-        elif kind == 2:
-            got = line + up
+#: Samples that the wavefront of one block of rows holds.
+_BLOCK = 1 << 22
+
+
+def _wavefront(kinds: np.ndarray, raw: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows of mean or Paeth filters below a finished row. A pixel needs those to its left, above and above left, so all pixels of
+    an anti-diagonal are done at once. ``raw``: rows x pixels x bytes; rows are skewed, row j by j places."""
+    m, w, step = raw.shape
+    at, skewed = np.zeros((w + m + 1, m + 1, step), np.int16), np.zeros((w + m + 1, m + 1, step), np.int16)
+    j, x = np.mgrid[1 : m + 1, 0:w]
+    skewed[x + j, j] = raw
+    at[np.arange(w), 0] = above
+    paeth, mixed = bool((kinds == 4).any()), len(np.unique(kinds)) > 1
+    is_paeth = (kinds == 4)[:, None]
+    for d in range(1, w + m):
+        lo, hi = max(1, d - w + 1), min(m, d) + 1
+        left, up = at[d - 1, lo:hi], at[d - 1, lo - 1 : hi - 1]
+        if paeth:
+            corner = at[d - 2, lo - 1 : hi - 1] if d > 1 else np.zeros_like(up)
+            by_left, by_up = up - corner, left - corner
+            by_corner = np.abs(by_left + by_up)
+            by_left, by_up = np.abs(by_left), np.abs(by_up)
+            more = np.where((by_left <= by_up) & (by_left <= by_corner), left, np.where(by_up <= by_corner, up, corner))
+            if mixed:
+                more = np.where(is_paeth[lo - 1 : hi - 1], more, (left + up) >> 1)
         else:
-            got = line.copy()
-            for x in range(stride):
-                a, c = (got[x - step], up[x - step]) if x >= step else (0, 0)
-                if kind == 1:
-                    more = a
-                elif kind == 3:
-                    more = (a + up[x]) // 2
-                else:
-                    p = a + up[x] - c
-                    pa, pb, pc = abs(p - a), abs(p - up[x]), abs(p - c)
-                    more = a if pa <= pb and pa <= pc else up[x] if pb <= pc else c
-                got[x] = (got[x] + more) & 255
-        out[y] = got & 255
-    return out
-
-
-def decode(content: bytes | None) -> np.ndarray:
-    """H x W x 3 of an image; ValueError where it is none."""
+            more = (left + up) >> 1
+        at[d, lo:hi] = (skewed[d, lo:hi] + more) & 255
+    return at[x + j, j].astype(np.uint8)
+
+
+def _unfiltered(raw: bytes, h: int, stride: int, step: int) -> np.ndarray:
+    """Bytes of the rows of an image, each behind a byte that names its filter."""
+    rows = np.frombuffer(raw, np.uint8, h * (stride + 1)).reshape(h, stride + 1)
+    kinds, data = rows[:, 0], rows[:, 1:]
+    if (kinds > 4).any():
+        raise ValueError("unknown filter")
+    pad = -stride % step  # rows under one byte a pixel have none to spare, others are whole pixels
+    out, y, most = np.zeros((h, stride + pad), np.uint8), 0, max(16, _BLOCK // max(1, stride))
+    while y < h:
+        above = out[y - 1] if y else np.zeros(stride + pad, np.uint8)
+        if kinds[y] < 3:
+            line = np.pad(data[y], (0, pad))
+            out[y] = line if kinds[y] == 0 else np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel() if kinds[y] == 1 else line + above
+            y += 1
+            continue
+        end = y + 1
+        while end < h and end - y < most and kinds[end] > 2:
+            end += 1
+        block = np.pad(data[y:end], ((0, 0), (0, pad))).reshape(end - y, -1, step)
+        out[y:end] = _wavefront(kinds[y:end], block, above.reshape(-1, step)).reshape(end - y, -1)
+        y = end
+    return out[:, :stride]
+
+
+def _samples(raw: bytes, w: int, h: int, bits: int, channels: int) -> tuple[np.ndarray, int]:
+    """h x w x channels of one pass (8 bits; fewer as they are), and how many bytes it took."""
+    stride = -(-w * channels * bits // 8)
+    rows = _unfiltered(raw, h, stride, max(1, channels * bits // 8))
+    if bits == 16:
+        rows = rows[:, ::2]
+    elif bits < 8:
+        rows = np.unpackbits(rows, axis=1).reshape(h, -1, bits) @ (1 << np.arange(bits)[::-1]).astype(np.uint8)
+    return rows[:, : w * channels].reshape(h, w, channels), h * (stride + 1)
+
+
+# First column and row, and steps, of the seven passes of an interlaced PNG.
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+_DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+
+
+def _png(content: bytes, most: int) -> np.ndarray:
+    at, body, palette, head, kind = 8, [], None, None, b""
+    while kind != b"IEND":
+        n, kind = struct.unpack_from(">I4s", content, at)
+        data = content[at + 8 : at + 8 + n]
+        if struct.unpack_from(">I", content, at + 8 + n)[0] != zlib.crc32(kind + data):
+            raise ValueError("checksum")
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", data)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(data, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            body.append(data)
+        at += n + 12
+    if head is None:
+        raise ValueError("no header")
+    w, h, bits, colour, _, _, lace = head
+    if not w or not h or bits not in _DEPTHS.get(colour, ()) or lace > 1:
+        raise ValueError("no such size or kind")
+    if w * h > most:
+        raise ValueError(f"more than {most} pixels")
+    channels = _CHANNELS[colour]
+    room = sum(-(-(h - y0) // dy) * (1 + -(-(-(-(w - x0) // dx)) * channels * bits // 8)) for x0, y0, dx, dy in (_PASSES if lace else ((0, 0, 1, 1),)) if w > x0 and h > y0)
+    raw = zlib.decompressobj().decompress(b"".join(body), room)
+    if len(raw) < room:
+        raise ValueError("cut off")
+    out, at = np.zeros((h, w, channels), np.uint8), 0
+    for x0, y0, dx, dy in _PASSES if lace else ((0, 0, 1, 1),):
+        pw, ph = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if pw > 0 and ph > 0:
+            out[y0::dy, x0::dx], size = _samples(raw[at:], pw, ph, bits, channels)
+            at += size
+    if colour == 3:
+        if palette is None or out.max() >= len(palette):
+            raise ValueError("colour beyond the palette")
+        return palette[out[..., 0]]
+    if bits < 8:
+        out = (out.astype(np.uint16) * 255 // ((1 << bits) - 1)).astype(np.uint8)
+    return np.repeat(out[..., :1], 3, axis=2) if channels < 3 else np.ascontiguousarray(out[..., :3])
+
+
+#: Pixels of the largest image that is decoded.
+LARGEST = 1 << 28
+
+
+def decode(content: bytes | None, most: int = LARGEST) -> np.ndarray:
+    """H x W x 3 of an image; ValueError where it is none, is damaged, or has more than ``most`` pixels."""
     if not content:
         raise ValueError("no image")
     content = bytes(content)
-    if not content.startswith(_PNG):
+    if content.startswith(_PNG):
         try:
-            from PIL import Image
-        except ImportError:
-            raise ValueError("unknown image format") from None
-        try:
-            return np.asarray(Image.open(io.BytesIO(content)).convert("RGB"))
-        except Exception as e:
+            return _png(content, most)
+        except (struct.error, zlib.error, ValueError, IndexError) as e:
             raise ValueError(f"bad image: {e}") from None
     try:
-        at, body, palette = 8, b"", None
-        while at < len(content):
-            n, kind = struct.unpack_from(">I4s", content, at)
-            data = content[at + 8 : at + 8 + n]
-            if kind == b"IHDR":
-                w, h, bits, colour, _, _, lace = struct.unpack(">IIBBBBB", data)
-            elif kind == b"PLTE":
-                palette = np.frombuffer(data, np.uint8).reshape(-1, 3)
-            elif kind == b"IDAT":
-                body += data
-            at += n + 12
-        if bits != 8 or lace or not w or not h:
-            raise ValueError("only 8-bit PNG without interlace")
-        channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-        x = _unfiltered(zlib.decompress(body), h, w * channels, channels).reshape(h, w, channels)
-    except (struct.error, zlib.error, KeyError, IndexError, UnboundLocalError) as e:
+        from PIL import Image
+    except ImportError:
+        raise ValueError("unknown image format") from None
+    try:
+        image = Image.open(io.BytesIO(content))
+        if image.width * image.height > most:
+            raise ValueError(f"more than {most} pixels")
+        return np.asarray(image.convert("RGB"))
+    except Exception as e:
         raise ValueError(f"bad image: {e}") from None
-    if colour == 3:
-        return palette[x[..., 0]]
-    return np.repeat(x[..., :1], 3, axis=2) if channels < 3 else np.ascontiguousarray(x[..., :3])
 
 
 def data_url(content: bytes, kind: str = "image/png") -> str:
@@ -107,13 +186,13 @@ def requests(frames: DataFrame) -> DataFrame:
     """``frames`` (content_type, body as bytes) with content and error: JSON bodies hold {"image": base64}, multipart bodies a
     part of the name image."""
 
-    @F.udf("struct<content:binary,error:string>")
-    def of(kind, body):
-        return part_of(kind, bytes(body or b""))
+    @F.arrow_udf("binary")
+    def of(kinds: pa.Array, bodies: pa.Array) -> pa.Array:
+        return pa.array([part_of(k, b or b"")[0] for k, b in zip(kinds.to_pylist(), bodies.to_pylist())], pa.binary())
 
     sent = F.get_json_object(F.decode("body", "UTF-8"), "$.image")
     got = F.when(F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("multipart/form-data")), of("content_type", "body"))
-    content = F.when(F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("application/json")), from_base64(sent)).otherwise(got["content"])
+    content = F.when(F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("application/json")), from_base64(sent)).otherwise(got)
     d = frames.withColumn("content", content)
     return d.withColumn("error", F.when(F.col("content").isNull(), F.lit("invalid image")))
 

@@ -6,11 +6,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from glyphflow.plans import catalogue, pages
+from glyphflow.plans import catalogue, composed, pages
 
 SF = "/root/testdata/sf0.001"
 TABLES = "lineitem orders events embeddings documents conversations".split()
-QUERIES, SQL = {**catalogue.QUERIES, **pages.QUERIES}, {**catalogue.SQL, **pages.SQL}
+QUERIES, SQL = {**catalogue.QUERIES, **pages.QUERIES, **composed.QUERIES}, {**catalogue.SQL, **pages.SQL, **composed.SQL}
 
 
 @pytest.fixture(scope="module")

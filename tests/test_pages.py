@@ -216,9 +216,9 @@ def test_failures_of_stages():
     W.STAGES["broken"] = Broken
     W.workflow("broken", detect="whole", classify="broken", recognise="broken")
     assert W.Engine(W.with_workflow("broken")).run(np.zeros((3, 3, 3), np.uint8))[0][1] == "kept"
-    send = lambda body: (200, {"choices": [{"message": {"content": " hi "}}]}) if body["messages"][0]["content"][0]["image_url"]["url"].startswith("data:image/png;base64,") else (400, {})
+    send = lambda body: (200, {"choices": [{"message": {"content": " hi "}}]}) if body["messages"][1]["content"][0]["image_url"]["url"].startswith("data:image/png;base64,") else (400, {})
     quad, page = [(0, 0), (9, 0), (9, 4), (0, 4)], np.zeros((5, 10, 3), np.uint8)
-    assert W.Remote(send).recognise(page, quad) == ("hi", 1.0)
+    assert W.Remote(send).recognise(page, quad) == (" hi ", 1.0)
     for bad in ((500, {}), (200, {"choices": []})):
         with pytest.raises(ValueError):
             W.Remote(lambda body, bad=bad: bad).recognise(page, quad)
@@ -227,7 +227,7 @@ def test_failures_of_stages():
 def test_merges():
     box = lambda x, y, w, h, s=1.0: W.Box([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], s)
     out = W.Proximity().merge([box(0, 0, 100, 10, 0.7), box(0, 12, 100, 10), box(0, 90, 100, 10)])
-    assert [len(b.children) for b in out] == [2, 0] and out[0].quad[2] == (100, 22) and out[0].score == 0.7
+    assert [len(b.children) for b in out] == [2, 1] and out[0].quad[2] == (100, 22) and out[0].score == 0.7
     h = W.Hierarchical(lambda image: [box(0, 0, 100, 100), box(300, 0, 100, 100)])
     got = h.merge([box(15, 0, 100, 100), box(50, 0, 100, 100), box(5, 5, 0, 9)])
     assert [(b.quad[0], len(b.children)) for b in got] == [((0, 0), 1), ((50, 0), 1)]
