@@ -25,6 +25,7 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     """class, entry of a dictionary file, from any store that Spark reads: class 0 is the blank, then every line, then the space."""
     lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
     read = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("value"))
+    read = read.agg(F.coalesce(F.first("value"), F.lit("")).alias("value"))  # one row even of an empty file
     text = read.select(F.concat(F.array(F.lit("")), F.when(F.col("value") != "", lines).otherwise(F.array().cast("array<string>")), F.array(F.lit(" "))).alias("entries"))
     return text.select(F.posexplode("entries").alias("class", "entry")).select(F.col("class").cast("long").alias("class"), "entry")
 
