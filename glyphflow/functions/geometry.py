@@ -179,5 +179,32 @@ def unclipped(polygon: Column, ratio: float) -> Column:
     return F.when((F.size(polygon) < 3) | (around < 1e-10), polygon).otherwise(F.zip_with(neighbours(edges)[0], edges, meet))
 
 
+def from_square(quad: list[tuple[Column, Column]]) -> dict[str, Column]:
+    """Coefficients a to h of the map from the unit square to a quad (x, y of its corners, in the order of ``corners``): x is
+    (a u + b v + c) / (g u + h v + 1), y is (d u + e v + f) / (g u + h v + 1)."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = quad
+    ax, bx, sx, ay, by, sy = x1 - x2, x3 - x2, x0 - x1 + x2 - x3, y1 - y2, y3 - y2, y0 - y1 + y2 - y3
+    den = F.nullif(ax * by - bx * ay, F.lit(0.0))
+    g, h = (sx * by - bx * sy) / den, (ax * sy - sx * ay) / den
+    return {"a": x1 - x0 + g * x1, "b": x3 - x0 + h * x3, "c": x0, "d": y1 - y0 + g * y1, "e": y3 - y0 + h * y3, "f": y0, "g": g, "h": h}
+
+
+def to_square(m: dict[str, Column], x: Column, y: Column) -> tuple[Column, Column]:
+    """Where a point of the quad of ``from_square`` lies in the unit square (null where the quad has no area)."""
+    a, b, c, d, e, f, g, h = (m[k] for k in "abcdefgh")
+    w = F.nullif((d * h - e * g) * x + (b * g - a * h) * y + (a * e - b * d), F.lit(0.0))
+    return ((e - f * h) * x + (c * h - b) * y + (b * f - c * e)) / w, ((f * g - d) * x + (a - c * g) * y + (c * d - a * f)) / w
+
+
+def bilinear(cells: Column, width: int, height: int, x: Column, y: Column) -> Column:
+    """A grey picture (flat array of bytes) at a real place: neighbours clamped to it, blended on 16 bits and cut to 8."""
+    x0, y0 = F.floor(x), F.floor(y)
+    fx, fy = x - x0, y - y0
+    clip = lambda v, top: F.least(F.greatest(v, F.lit(0)), F.lit(top - 1))
+    at = lambda row, col: F.get(cells, (clip(row, height) * width + clip(col, width)).cast("int")).cast("double") * 257
+    top, low = (at(y0 + k, x0) * (1 - fx) + at(y0 + k, x0 + 1) * fx for k in (0, 1))
+    return F.least(F.greatest(F.floor((top * (1 - fy) + low * fy) / 257 + 1e-9), F.lit(0)), F.lit(255)).cast("long")
+
+
 def colour_distance(a: list[Column], b: list[Column]) -> Column:
     return sum(((p - q) * (p - q) for p, q in zip(a, b)), F.lit(0))

@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .components import components
 
 MAX_DISTANCE, MAX_RATIO, MIN_OVERLAP, CELL = 10, 1.5, 0.8, 256
+#: Boxes of an image up to which one task unites them.
+MOST = 1 << 16
 
 
 def prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -77,8 +80,22 @@ def _labels(x0, y0, x1, y1, ids, distance: float, ratio: float, cell: int = CELL
     return [ids[find(i)] for i in range(n)]
 
 
-def box_clusters(boxes: DataFrame, max_distance: float = MAX_DISTANCE, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """``boxes`` with cluster (smallest box_id reachable by proximity): one row for each image, all images of a batch at once."""
+def box_clusters(boxes: DataFrame, max_distance: float = MAX_DISTANCE, max_ratio: float = MAX_RATIO, most: int = MOST) -> DataFrame:
+    """``boxes`` with cluster (smallest box_id reachable by proximity). An image of at most ``most`` boxes is one row of one task; the
+    boxes of larger images never meet in one: their edges are contracted by joins. Which way is taken changes no result."""
+    sizes = boxes.groupBy("image_id").agg(F.count("*").alias("boxes"))
+    large = sizes.where(F.col("boxes") > most).select("image_id")
+    if large.isEmpty():
+        return _clusters_by_image(boxes, max_distance, max_ratio)
+    near = boxes.join(large, "image_id", "left_semi")
+    label = components(proximity_edges(near, max_distance, max_ratio), "image_id").select("image_id", F.col("v").alias("box_id"), F.col("label").alias("cluster"))
+    joined = near.join(label, ["image_id", "box_id"], "left").select(*boxes.columns, F.coalesce("cluster", "box_id").alias("cluster"))
+    small = _clusters_by_image(boxes.join(large, "image_id", "left_anti"), max_distance, max_ratio)
+    return small.select(*boxes.columns, "cluster").unionByName(joined)
+
+
+def _clusters_by_image(boxes: DataFrame, max_distance: float, max_ratio: float) -> DataFrame:
+    """One row for each image, all images of a batch at once."""
 
     @F.pandas_udf("array<long>")
     def of(kids: pd.Series) -> pd.Series:

@@ -92,6 +92,35 @@ def session_requests(requests: DataFrame, log: DataFrame) -> DataFrame:
     return p.drop("ts").join(at, "request_id", "left")
 
 
+ROUTES = ("health", "ocr", "detect", "session_create", "session_delete", "session_detect", "session_ocr")
+
+
+def session_ids(given: Column) -> Column:
+    """The session id of a request: the one given, else a new random one."""
+    return F.coalesce(F.nullif(given, F.lit("")), F.uuid())
+
+
+def routed(requests: DataFrame, log: DataFrame, ready: bool = True) -> DataFrame:
+    """request_id, status, detail, reason (of a 400), n_bytes (of its image) of every request (request_id, ts, route, content_type, body as
+    bytes): what a server would answer before any model runs. Unknown routes are 404; no row ends the job."""
+    from ..sources import images
+
+    names = ["request_id", "status", "detail", "reason", "n_bytes"]
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("long")
+    r, known = requests.withColumn("route", F.coalesce("route", F.lit(""))), F.col("route")
+    uploads = images.requests(r.where(known.isin("ocr", "detect", "session_create")))
+    bad = F.col("error").isNotNull()
+    uploads = uploads.select("request_id", F.when(bad, 400).otherwise(200).cast("long").alias("status"), F.when(bad, "invalid or missing image").alias("detail"), "reason", F.octet_length("content").cast("long").alias("n_bytes"))
+    asked = session_requests(r.where(known.isin("session_detect", "session_ocr")).select("request_id", "ts", F.decode("body", "UTF-8").alias("body")), log)
+    lost = F.concat(F.lit("session "), F.col("session_id"), F.lit(" not found"))
+    asked = asked.select("request_id", F.when(F.col("error").isNotNull(), 400).when(F.col("alive"), 200).otherwise(404).cast("long").alias("status"), F.coalesce("error", F.when(~F.col("alive"), lost)).alias("detail"), F.col("error").alias("reason"), nothing.alias("n_bytes"))
+    down = (known == "health") & F.lit(not ready)
+    rest = r.where(~known.isin("ocr", "detect", "session_create", "session_detect", "session_ocr"))
+    code = F.when(down, 503).when(known.isin("health", "session_delete"), 200).otherwise(404).cast("long")
+    rest = rest.select("request_id", code.alias("status"), F.when(down, "ocr engine not ready").when(~known.isin(*ROUTES), "not found").alias("detail"), none.alias("reason"), nothing.alias("n_bytes"))
+    return uploads.select(*names).unionByName(asked.select(*names)).unionByName(rest.select(*names))
+
+
 def recognised(engine, regions: DataFrame) -> DataFrame:
     """request_id, seq, line, text, score, box (in the image) of what ``engine`` reads in every region. ``regions``: request_id, seq,
     quad, content (bytes of the image). A region whose image or stages fail has no lines, as one without text."""

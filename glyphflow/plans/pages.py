@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -186,41 +184,49 @@ def _json(spark, d):
     return workflow.responses(_lines(spark, d))
 
 
-def _resized(spark, d):
-    """Grids as grey images resized to 12 x 5; the sum and a checksum of the result."""
-    return _kernel(spark, d, lambda a: R.resize(a, 12, 5))
+WARPED = ((1, 1), (6, 0), (7, 7), (0, 6))
 
 
-def _warped(spark, d):
-    return _kernel(spark, d, lambda a: R.warp(a, np.array([(1, 1), (6, 0), (7, 7), (0, 6)]), 10, 6))
+def _pictures(spark, d):
+    """The maps of D4 as grey pictures of 8 x 8."""
+    grey = F.transform("cells", lambda c: F.least(F.greatest(c * 255, F.lit(0.0)), F.lit(255.0)).cast("long"))
+    return D.grids(spark, d).select("vec_id", grey.alias("cells"))
 
 
-def _kernel(spark, d, f):
-    import zlib
+def _sampled(pictures, width: int, height: int, at):
+    """Pictures of width x height, row by row, each place sampled ``at`` (x, y) of its source: size, sum, and a sum that knows places."""
+    places = F.sequence(F.lit(0), F.lit(width * height - 1))
+    out = pictures.withColumn("out", F.transform(places, lambda k: at(k % width, F.floor(k / width))))
+    total = lambda f: F.aggregate(F.transform("out", f), F.lit(0).cast("long"), lambda a, v: a + v)
+    return out.select("vec_id", F.lit(height).cast("long").alias("height"), F.lit(width).cast("long").alias("width"), total(lambda v, k: v).alias("total"), total(lambda v, k: v * (k + 1)).alias("placed"))
 
-    @F.pandas_udf("height long, width long, total long, crc long")
-    def of(cells: pd.Series) -> pd.DataFrame:
-        rows = []
-        for c in cells:
-            a = f(np.repeat(np.clip(np.asarray(c) * 255, 0, 255).astype(np.uint8).reshape(8, 8, 1), 3, axis=2))
-            rows.append((a.shape[0], a.shape[1], int(a.astype(np.int64).sum()), zlib.crc32(a.tobytes())))
-        return pd.DataFrame(rows, columns=["height", "width", "total", "crc"])
 
-    return D.grids(spark, d).select("vec_id", of("cells").alias("o")).select("vec_id", "o.*")
+def _resized(spark, d):
+    """Maps as grey pictures resized to 12 x 5."""
+    return _sampled(_pictures(spark, d), 12, 5, lambda x, y: g.bilinear(F.col("cells"), 8, 8, x * F.lit(8.0) / 12, y * F.lit(8.0) / 5))
 
 
-def _homography(spark, d):
-    """Where the centre of each skewed quad lies when it is laid straight."""
+def _warped(spark, d):
+    """The quad WARPED of every picture laid straight on 10 x 6, white where it leaves the picture."""
+    m = g.from_square([(F.lit(float(x)), F.lit(float(y))) for x, y in WARPED])
+
+    def at(x, y):
+        u, v = x / F.lit(9.0), y / F.lit(5.0)
+        w = m["g"] * u + m["h"] * v + 1
+        sx, sy = F.round((m["a"] * u + m["b"] * v + m["c"]) / w, 9), F.round((m["d"] * u + m["e"] * v + m["f"]) / w, 9)
+        within = (sx >= 0) & (sy >= 0) & (sx <= 7) & (sy <= 7)
+        return F.when(within, g.bilinear(F.col("cells"), 8, 8, sx, sy)).otherwise(F.lit(255).cast("long"))
 
-    @F.pandas_udf("x double, y double")
-    def of(quad: pd.Series) -> pd.DataFrame:
-        pts = np.array([[(p["x"], p["y"]) for p in q] for q in quad], float).reshape(-1, 4, 2)
-        h = R.homographies(pts, np.array([(0, 0), (100, 0), (100, 50), (0, 50)], float))
-        at = np.einsum("nij,nj->ni", h, np.column_stack([pts.mean(axis=1), np.ones(len(pts))]))
-        return pd.DataFrame({"x": np.round(at[:, 0] / at[:, 2], 4), "y": np.round(at[:, 1] / at[:, 2], 4)})
+    return _sampled(_pictures(spark, d), 10, 6, at)
 
-    q = _quads(spark, d).select("image_id", "box_id", of(g.ordered_corners(F.col("quad"))).alias("o"))
-    return q.select("image_id", "box_id", "o.*")
+
+def _homography(spark, d):
+    """Where the centre of each skewed quad lies when it is laid straight on 100 x 50."""
+    q = _quads(spark, d).select("image_id", "box_id", *_points(g.ordered_corners(F.col("quad"))))
+    p = [(F.col(f"x{k}").cast("double"), F.col(f"y{k}").cast("double")) for k in range(4)]
+    mean = [sum((c[k] for c in p[1:]), p[0][k]) / 4 for k in (0, 1)]
+    u, v = g.to_square(g.from_square(p), *mean)
+    return q.select("image_id", "box_id", F.round(u * 100, 4).alias("x"), F.round(v * 50, 4).alias("y"))
 
 
 def _session_state(spark, d):

@@ -116,3 +116,20 @@ def box_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D13: class, entry: the first letters of four nations as classes 1 to 4; classes 5 to 7 of D3 are not in it."""
     return table(spark, sf_dir, "nation").where("n_nationkey < 4").select((F.col("n_nationkey") + 1).cast("long").alias("class"), F.lower(F.substring("n_name", 1, 1)).alias("entry"))
+
+
+def routed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D14: request_id, ts, route, content_type, body: an upload of the text of every document, in one of seven forms of which four are
+    wrong, the session requests of D11, and a request of another route for every nation."""
+    form, text = F.col("doc_id") % 7, F.coalesce("text", F.lit(""))
+    plain = F.base64(F.encode(text, "UTF-8"))
+    json = lambda v: F.concat(F.lit('{"image": "'), v, F.lit('"}'))
+    part = lambda name: F.concat(F.lit(f'--q7f3zz\r\nContent-Disposition: form-data; name="{name}"; filename="a.png"\r\n\r\n'), text, F.lit("\r\n--q7f3zz--\r\n"))
+    body = F.when(form == 0, json(plain)).when(form == 1, json(F.translate(plain, "+/", "-_"))).when(form == 2, F.lit('{"image": ')).when(form == 3, json(F.concat(F.lit("?"), plain))).when(form == 4, text).when(form == 5, part("image")).otherwise(part("other"))
+    kind = F.when(form < 4, "application/json").when(form == 4, "text/plain").otherwise("multipart/form-data; boundary=q7f3zz")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    uploads = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("request_id"), now.alias("ts"), F.when(form == 1, "session_create").otherwise("ocr").alias("route"), kind.alias("content_type"), F.encode(body, "UTF-8").alias("body"))
+    asked = session_requests(spark, sf_dir).select(F.concat(F.lit("s"), F.col("request_id").cast("string")).alias("request_id"), "ts", F.lit("session_ocr").alias("route"), F.lit("application/json").alias("content_type"), F.encode("body", "UTF-8").alias("body"))
+    n = F.col("n_nationkey") % 3
+    others = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("request_id"), now.alias("ts"), F.when(n == 0, "health").when(n == 1, "session_delete").otherwise("elsewhere").alias("route"), F.lit("").alias("content_type"), F.lit(b"").alias("body"))
+    return uploads.unionByName(asked).unionByName(others)

@@ -183,17 +183,24 @@ def from_base64(text: Column) -> Column:
 
 
 def requests(frames: DataFrame) -> DataFrame:
-    """``frames`` (content_type, body as bytes) with content and error: JSON bodies hold {"image": base64}, multipart bodies a
-    part of the name image."""
+    """``frames`` (content_type, body as bytes) with content, error (the same for all that is wrong with an image) and reason: JSON
+    bodies hold {"image": base64}, multipart bodies a part of the name image."""
 
     @F.arrow_udf("binary")
     def of(kinds: pa.Array, bodies: pa.Array) -> pa.Array:
         return pa.array([part_of(k, b or b"")[0] for k, b in zip(kinds.to_pylist(), bodies.to_pylist())], pa.binary())
 
-    sent = F.get_json_object(F.decode("body", "UTF-8"), "$.image")
-    got = F.when(F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("multipart/form-data")), of("content_type", "body"))
-    content = F.when(F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("application/json")), from_base64(sent)).otherwise(got)
-    d = frames.withColumn("content", content)
+    is_ = lambda kind: F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit(kind))
+    multipart, plain = is_("multipart/form-data"), is_("application/json")
+    text = F.decode("body", "UTF-8")
+    read = F.from_json(text, "image string, whole string", {"columnNameOfCorruptRecord": "whole"})
+    broken = read.isNull() | read["whole"].isNotNull()
+    part = of(F.when(multipart, F.col("content_type")), F.when(multipart, F.col("body")))  # other rows are not read there
+    content = F.when(multipart, part).when(plain & ~broken, from_base64(read["image"]))
+    reason = F.when(multipart, F.when(part.isNull(), "no image part").when(F.octet_length(part) == 0, "empty image")).when(
+        plain, F.when(broken, "bad json").when(F.coalesce(read["image"], F.lit("")) == "", "empty image").when(content.isNull(), "bad base64").when(F.octet_length(content) == 0, "empty image")
+    ).otherwise("unsupported content type")
+    d = frames.withColumn("content", F.when(reason.isNull(), content)).withColumn("reason", reason)
     return d.withColumn("error", F.when(F.col("content").isNull(), F.lit("invalid image")))
 
 

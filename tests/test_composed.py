@@ -203,3 +203,38 @@ def test_dictionary_table(spark, tmp_path):
     for small in (recognise.SMALL, 2):
         got = {r.id: (r.text, r.score) for r in recognise.ctc_by_table(d.where("size(l) > 0"), ["id"], F.col("l"), 8, words, small).collect()}
         assert {k: t for k, (t, _) in got.items()} == {k: want[k][0] for k in got} and all(got[k][1] == pytest.approx(want[k][1]) for k in got)
+
+
+@pytest.mark.parametrize("most", [0, 3, 40])
+def test_clusters_by_joins_equal_those_of_one_task(spark, most):
+    from glyphflow.operators import boxes as B
+    from glyphflow.sources import derived
+
+    d = derived.boxes(spark, "/root/testdata/sf0.001").where("image_id < 300")
+    r = random.Random(9)
+    chain = [(10_000 + k % 3, k // 3, 40 * (k // 3), r.choice([0, 4]), 40 * (k // 3) + 35, 12, 0.5, "t") for k in range(150)]  # long chains
+    d = d.unionByName(spark.createDataFrame(chain, d.schema))
+    row = lambda x: (x.image_id, x.box_id, x.x0, x.text, x.cluster)
+    want = sorted(row(x) for x in B.box_clusters(d).collect())
+    got = B.box_clusters(d, most=most)
+    assert got.columns == [*d.columns, "cluster"] and sorted(row(x) for x in got.collect()) == want
+    assert max(sum(1 for x in want if x[0] == 10_000 and x[4] == c) for c in {x[4] for x in want}) > 10
+
+
+def test_routes(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    log = spark.createDataFrame([("a", at(0), 1, "create", "x")], "session_id string, ts timestamp, event_id long, op string, payload string")
+    rows = [
+        (1, "health", None, None), (2, "ocr", "application/json", b'{"image": "aGk="}'), (3, "detect", "application/json", b'{"image": ""}'), (4, "ocr", None, None), (5, "session_create", "multipart/form-data; boundary=q", b"--q--"),
+        (6, "session_detect", "application/json", b'{"session_id": "a"}'), (7, "session_ocr", None, None), (8, "session_delete", None, None), (9, "nowhere", None, None), (10, None, None, None), (11, "ocr", "application/json", b"[]"), (12, "session_ocr", None, b'{"session_id": "b"}'),
+        (13, "detect", "Application/JSON; charset=utf-8", b'{"image": "data:image/png;base64,aGk="}'),
+    ]
+    d = spark.createDataFrame([(i, at(5), r, c, b) for i, r, c, b in rows], "request_id long, ts timestamp, route string, content_type string, body binary")
+    got = {r.request_id: (r.status, r.reason, r.n_bytes) for r in requests.routed(d, log).collect()}
+    assert got == {
+        1: (200, None, None), 2: (200, None, 2), 3: (400, "empty image", None), 4: (400, "unsupported content type", None), 5: (400, "no image part", None), 6: (200, None, None), 7: (400, "missing session_id", None),
+        8: (200, None, None), 9: (404, None, None), 10: (404, None, None), 11: (400, "bad json", None), 12: (404, None, None), 13: (200, None, 2),
+    }
+    assert {r.status for r in requests.routed(d.where("route = 'health'"), log, ready=False).collect()} == {503}
+    ids = [r.s for r in spark.createDataFrame([("x",), ("",), (None,)], "g string").select(requests.session_ids(F.col("g")).alias("s")).collect()]
+    assert ids[0] == "x" and all(len(i) == 36 for i in ids[1:]) and ids[1] != ids[2]
