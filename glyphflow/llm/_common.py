@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +56,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{work_dir(spark)}/glyphflow/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        # Frames that are returned read their tables as long as the session lives; with its driver the folder goes.
+        p = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(p)
+        store.deleteOnExit(p)
 
     def keep(self, df: DataFrame, by: str | None = None, **conf: str) -> DataFrame:
         """``conf``: settings for this write alone, dots as double underscores. ``by``: a folder for each value of this column."""
@@ -88,6 +95,27 @@ class Scratch:
         _drop(self.spark, self.root)
 
 
+def any_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return rows of their second argument with all columns: those whose names begin with two underscores, as
+    the operator's own do, go by other names meanwhile."""
+
+    @functools.wraps(operator)
+    def sheltered(spark: SparkSession, docs: DataFrame, *args, **named) -> DataFrame:
+        names = docs.columns
+        if not any(n.startswith("__") for n in names):
+            return operator(spark, docs, *args, **named)
+        taken, inside = {n.lower() for n in names}, []
+        for k, n in enumerate(names):
+            if n.startswith("__"):
+                n = f"input{k}"
+                while n in taken:
+                    n += "_"
+            inside.append(n)
+        return operator(spark, docs.toDF(*inside), *args, **named).toDF(*names)
+
+    return sheltered
+
+
 def blob_id(text: Column) -> Column:
     """128 bits of content address (the first half of SHA-256); null counts as the empty text."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
@@ -203,4 +231,4 @@ def batches(column):
     return [b"" if x is None else x.encode() for x in column.to_pylist()]
 
 
-__all__ = ["SPACES", "Rolling", "Scratch", "WordHashes", "blob_id", "drop_rows", "mix", "rolling_min", "row_digest", "table", "work_dir"]
+__all__ = ["SPACES", "Rolling", "Scratch", "WordHashes", "any_columns", "blob_id", "drop_rows", "mix", "rolling_min", "row_digest", "table", "work_dir"]

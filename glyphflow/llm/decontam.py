@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, WordHashes, blob_id, mix, table
+from ._common import Scratch, WordHashes, any_columns, blob_id, mix, table
 
 # The masks; 1 reads a token, 0 ignores it. The first four are for stretches of five tokens or more.
 MASKS = ("1111", "11011", "10111", "11101", "1", "11", "111")
@@ -168,6 +168,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_id:
     return rows.join(found, "blob", "left").select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
+@any_columns
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark, all columns."""
     t = F.col("text").cast("string")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACES, Scratch, table
+from ._common import SPACES, Scratch, any_columns, table
 
 RUNS, FAN_IN, SLICES = 64, 8, 4_096
 _KEY = ["sha", "check", "size"]
@@ -67,6 +67,7 @@ def groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
     )
 
 
+@any_columns
 def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns."""
     scratch = Scratch(spark)

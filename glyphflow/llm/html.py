@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,41 +30,66 @@ SILENT = {"script", "style", "noscript", "template", "title", "svg", "select", "
 INLINE = set("a abbr b bdi bdo cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 OUTSIDE = set("nav header footer aside form button menu dialog label fieldset".split())
+# Tags that end where one of these begins, and the tags beyond which that does not reach.
+ENDED = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
+FENCES = set("ul ol dl table div section article body".split())
 MARKS = set("ad ads advert advertisement sponsor sponsored promo banner sidebar comment comments reply replies menu nav navigation navbar breadcrumb breadcrumbs header footer notice cookie cookies consent related share social newsletter subscribe popup modal login search widget".split())
 _SPLIT, _SPACE = re.compile(r"[^a-z0-9]+"), re.compile(r"\s+")
 
 
 class Blocks(HTMLParser):
+    """Blocks of a page with their paths. The path is kept as counts of the hashed words of all open tags, so that a block costs the
+    same however deep it lies."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack, self.text, self.out, self.mute = [], [], [], 0
+        self.stack: list[tuple[str, list[int], bool]] = []
+        self.open: Counter[str] = Counter()
+        self.path, self.outside, self.text, self.out, self.mute = np.zeros(PATHS, np.int32), 0, [], [], 0
 
     def _end_block(self):
         t = _SPACE.sub(" ", "".join(self.text)).strip()
         if t:
-            self.out.append((t, [w for _, ws in self.stack for w in ws]))
+            self.out.append((t, self.path > 0, not self.outside))
         self.text = []
 
+    def _pop(self):
+        tag, cells, marked = self.stack.pop()
+        self.open[tag] -= 1
+        for c in cells:
+            self.path[c] -= 1
+        self.outside -= marked
+        self.mute -= tag in SILENT
+
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
             self._end_block()
         if tag in VOID:
             return
-        if tag == "p":  # an open paragraph ends at the next
-            self._close("p", {"p"})
+        for other in ENDED.get(tag, ()):
+            if self.open[other]:
+                self._close(other, within={tag, *ENDED[tag]})
         named = [w for k, v in attrs if k in ("class", "id", "role") and v for w in _SPLIT.split(v.lower()) if w]
-        self.stack.append((tag, ["<" + tag, *("." + w for w in named)]))
+        cells = [zlib.crc32(w.encode()) % PATHS for w in ("<" + tag, *("." + w for w in named))]
+        marked = tag in OUTSIDE or not MARKS.isdisjoint(named)
+        self.stack.append((tag, cells, marked))
+        self.open[tag] += 1
+        for c in cells:
+            self.path[c] += 1
+        self.outside += marked
         self.mute += tag in SILENT
 
     def _close(self, tag, within=None):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                for t, _ in self.stack[i:]:
-                    self.mute -= t in SILENT
-                del self.stack[i:]
-                return
-            if within and self.stack[i][0] not in INLINE | within:
+        """Ends the innermost ``tag`` and what is open in it; with ``within``, only if nothing but these and inline tags lies between."""
+        if not self.open[tag]:
+            return
+        at = len(self.stack) - 1
+        while self.stack[at][0] != tag:
+            if within and self.stack[at][0] not in INLINE | within and (tag == "p" or self.stack[at][0] in FENCES):
                 return
+            at -= 1
+        while len(self.stack) > at:
+            self._pop()
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
@@ -75,8 +101,9 @@ class Blocks(HTMLParser):
             self.text.append(data)
 
 
-def blocks(page: str | None) -> list[tuple[str, list[str]]]:
-    """(text, path words) of every block, in page order."""
+def blocks(page: str | None) -> list[tuple[str, np.ndarray, bool]]:
+    """Text, path (which cells its hashed words take) and training label (whether no open tag marks it as boilerplate) of every
+    block, in page order."""
     p = Blocks()
     p.feed(page or "")
     p.close()
@@ -84,15 +111,10 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     return p.out
 
 
-def taught(path: list[str]) -> float:
-    return 0.0 if any((w[0] == "<" and w[1:] in OUTSIDE) or (w[0] == "." and w[1:] in MARKS) for w in path) else 1.0
-
-
-def vectors(page: list[tuple[str, list[str]]]) -> np.ndarray:
+def vectors(page: list[tuple[str, np.ndarray, bool]]) -> np.ndarray:
     out = np.zeros((len(page), PATHS + WORDS))
-    for row, (text, path) in zip(out, page):
-        for w in path:
-            row[zlib.crc32(w.encode()) % PATHS] = 1
+    for row, (text, path, _) in zip(out, page):
+        row[:PATHS] = path
         words = text.split()
         for w in words:
             row[PATHS + zlib.crc32(w.lower().encode()) % WORDS] += 1 / len(words)
@@ -159,10 +181,23 @@ class Labeller:
         return self
 
 
+def sample(pages: DataFrame, key: str = "page_id", html: str = "html", most: int = SAMPLE) -> list[str]:
+    """The html of the ``most`` pages whose ids have the smallest hashes (ties: by id, then by digest of the html), each different
+    page once. Ids are chosen first, then digests; only what is chosen comes to the driver, whatever the number of tasks."""
+    given = pages.where(F.col(html).isNotNull()).select(F.col(key).alias("key"), F.col(html).alias("html"))
+    order = [F.xxhash64("key").alias("hash"), F.col("key")]
+    ids = [r["key"] for r in given.select(*order).distinct().orderBy("hash", "key").limit(most).collect()]
+    named = given.where(F.col("key").isin([i for i in ids if i is not None]) | (F.col("key").isNull() if None in ids else F.lit(False)))
+    dated = named.select(*order, F.sha2("html", 256).alias("sha"))
+    chosen = [r["sha"] for r in dated.distinct().orderBy("hash", "key", "sha").limit(most).collect()]
+    found = named.withColumn("sha", F.sha2("html", 256)).where(F.col("sha").isin(chosen)).groupBy("sha").agg(F.min("html").alias("html"))
+    by = {r["sha"]: r["html"] for r in found.collect()}
+    return [by[c] for c in dict.fromkeys(chosen)]
+
+
 def train(pages: DataFrame, key: str = "page_id", html: str = "html") -> Labeller:
-    rows = pages.where(F.col(html).isNotNull()).orderBy(F.xxhash64(key), key, F.sha2(html, 256)).limit(SAMPLE).select(html).collect()
-    got = [blocks(r[0]) for r in rows]
-    return Labeller().fit([(vectors(b), np.array([taught(p) for _, p in b])) for b in got if b])
+    got = [blocks(x) for x in sample(pages, key, html)]
+    return Labeller().fit([(vectors(b), np.array([float(own) for *_, own in b])) for b in got if b])
 
 
 def extract(spark: SparkSession, pages: DataFrame, model: Labeller, keep: list[str], html: str = "html") -> DataFrame:
@@ -173,7 +208,7 @@ def extract(spark: SparkSession, pages: DataFrame, model: Labeller, keep: list[s
         out = []
         for x in page:
             b = blocks(x)
-            out.append(" ".join(t for (t, _), p in zip(b, shared.value.probabilities(vectors(b))) if p > 0.5))
+            out.append(" ".join(t for (t, *_), p in zip(b, shared.value.probabilities(vectors(b))) if p > 0.5))
         return pd.Series(out, dtype=object)
 
     return pages.select(*keep, of(F.col(html)).alias("text"))

@@ -129,13 +129,24 @@ class Filters:
         return self.langs[int(right.argmax())], float(min(1.0, right.max() / right.sum()))
 
 
+def _chosen(known: DataFrame, key: str, sample: int) -> DataFrame:
+    """__lang, __key of the ``sample`` rows of every language with the least hashes of their keys (ties: by key). No language is one
+    task: rows are counted by the leading bits of the hash, and only those of the buckets that are wanted are ranked, each
+    bucket apart."""
+    ids = known.select(F.col("lang").alias("__lang"), F.col(key).alias("__key")).withColumn("__hash", F.xxhash64("__key")).withColumn("__bucket", F.shiftright("__hash", 48))
+    sizes = ids.groupBy("__lang", "__bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__lang").orderBy("__bucket")) - F.col("n")
+    wanted = sizes.select("__lang", "__bucket", before.alias("__before")).where(F.col("__before") < sample)
+    turn = F.row_number().over(Window.partitionBy("__lang", "__bucket").orderBy("__hash", "__key"))
+    ranked = ids.join(wanted, ["__lang", "__bucket"]).withColumn("__turn", turn).where(F.col("__turn") <= F.lit(sample) - F.col("__before"))
+    return ranked.select("__lang", "__key").distinct()
+
+
 def train(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Filters:
     """``labelled``: key, text, lang. Counting, choice of n-grams and setting of bits are distributed; slots come back."""
     scratch = Scratch(labelled.sparkSession)
     known = labelled.where("lang is not null and text is not null")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(key), key))
-    ids = known.select(F.col(key).alias("__key"), "lang").withColumn(key, F.col("__key")).select("lang", "__key", turn.alias("turn")).where(F.col("turn") <= sample)
-    chosen = scratch.keep(ids.select(F.col("lang").alias("__lang"), "__key").distinct())
+    chosen = scratch.keep(_chosen(known, key, sample))
     rows = {r["__lang"]: r["n"] for r in chosen.groupBy("__lang").agg(F.count("*").alias("n")).collect()}
     if not rows:
         return Filters({}, np.zeros((1 << BITS, 1), np.uint64))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Rolling, Scratch, WordHashes, drop_rows, mix, row_digest
+from ._common import Rolling, Scratch, WordHashes, any_columns, drop_rows, mix, row_digest
 from .components import components
 from .simhash import fingerprint
 from .simhash import links as fingerprint_links
@@ -200,6 +200,7 @@ def clusters(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     return _clusters(Scratch(spark), docs, doc_id, text)
 
 
+@any_columns
 def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The first row of every component, all columns."""
     scratch = Scratch(spark)

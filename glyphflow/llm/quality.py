@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, row_digest, table
+from ._common import Scratch, any_columns, row_digest, table
 
 SAMPLE, WORDS, Z, LAMBDA = 20_000, 256, 3.5, 0.5
 #: Texts that a worker holds as Python objects at a time.
@@ -228,6 +228,7 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, further: Seq
     return out.withColumn("score", (1 - low) * (1 - F.col("p_toxic"))).withColumn("keep", (low < 0.5) & (F.col("p_toxic") < 0.5))
 
 
+@any_columns
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, all columns.
 

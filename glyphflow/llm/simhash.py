@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, drop_rows, row_digest, table
+from ._common import Scratch, any_columns, drop_rows, row_digest, table
 from .components import components
 
 TAU, WORDS, SEED = 4, 4, 42
@@ -176,6 +176,7 @@ def clusters(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     return _labelled(Scratch(spark), docs, doc_id, text).select("doc_id", "fp", "component_id")
 
 
+@any_columns
 def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", verified: bool = False) -> DataFrame:
     """The first row of every component, all columns. ``verified``: components of texts alike in their shingles
     (``nearcopies``), for which fingerprints give the candidates that they can; else links of fingerprints alone."""

@@ -15,3 +15,31 @@ def test_pages(spark):
         assert got[r.page_id] == " ".join(H.unescape(body).split())
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "<script>x</script>")], "page_id long, html string")
     assert {r.text for r in html.extract(spark, odd, model, ["page_id"]).collect()} == {""}
+
+
+def test_sample_is_by_id_then_digest(spark):
+    rows = [(i % 40 if i % 9 else None, f"<p>page {i % 55}</p>") for i in range(300)] + [(3, None)]
+    d = spark.createDataFrame(rows, "page_id long, html string")
+    got = html.sample(d.repartition(7), most=16)
+    ids = [r.page_id for r in d.selectExpr("page_id", "xxhash64(page_id) h").distinct().orderBy("h", "page_id").limit(16).collect()]
+    assert 10 < len(got) == len(set(got)) <= 16 and set(got) <= {h for i, h in rows if i in ids}
+    assert html.sample(d.where("page_id = 1"), most=16) and html.sample(d.limit(0)) == []
+
+
+def test_implied_ends():
+    texts = lambda page: [(t, int(p.sum())) for t, p, _ in html.blocks(page)]
+    flat = texts("<ul><li>a<li>b<li>c</ul><table><tr><td>d<td>e<tr><td>f</table><dl><dt>g<dd>h<dt>i</dl><p>j<p>k")
+    assert flat == texts("<ul><li>a</li><li>b</li><li>c</li></ul><table><tr><td>d</td><td>e</td></tr><tr><td>f</td></tr></table><dl><dt>g</dt><dd>h</dd><dt>i</dt></dl><p>j</p><p>k</p>")
+    inner = texts("<ul><li>a<ul><li>b</ul><li>c</ul>")
+    assert [t for t, _ in inner] == ["a", "b", "c"] and inner[0] == ("a", inner[2][1])
+
+
+def test_hostile_page_is_linear():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        start = time.process_time()
+        assert len(html.blocks("<div>x</span></b>" * n)) == n and len(html.blocks("<li>y" * n)) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 0.5

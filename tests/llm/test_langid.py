@@ -53,3 +53,15 @@ def test_remembered_grams_change_nothing(monkeypatch):
     assert len(asked) == len(set(asked))
     monkeypatch.setattr(langid, "GRAMS", 5)
     assert [model.predict(x) for x in texts] == want
+
+
+def test_sample_is_the_least_hashes(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    d = spark.range(4000).selectExpr("case when id % 50 = 0 then null when id % 50 = 1 then 7 else id end as k", "case when id % 3 = 0 then 'a' else 'b' end as lang").repartition(6)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))
+    for n in (1, 70, 900, 5000):
+        want = {tuple(r) for r in d.select("lang", "k", turn.alias("t")).where(F.col("t") <= n).select("lang", "k").collect()}
+        got = [tuple(r) for r in langid._chosen(d, "k", n).collect()]
+        assert set(got) == want and len(got) == len(want)
