@@ -48,7 +48,7 @@ def _unclip(spark, d):
     """Hulls of the components of D4 with their edges moved outward: each corner and where it goes."""
     o = P._outlines(spark, d).where("size(hull) > 2").withColumn("to", g.unclipped(F.col("hull"), G.UNCLIP))
     both = o.select("vec_id", "component", F.explode(F.arrays_zip("hull", "to")).alias("e"))
-    return both.select("vec_id", "component", F.col("e.hull.x").alias("px"), F.col("e.hull.y").alias("py"), *[F.round(f"e.to.{c}", 6).alias(c) for c in "xy"])
+    return both.select("vec_id", "component", F.col("e.hull.x").alias("px"), F.col("e.hull.y").alias("py"), *[(F.round(f"e.to.{c}", 6) + F.lit(0.0)).alias(c) for c in "xy"])  # no minus zero
 
 
 def _polygon_score(spark, d):
@@ -207,7 +207,7 @@ _UNCLIP = f"""{_OUTER},
 far AS (SELECT vec_id, component, sum(px * qy - qx * py) / 2 AS signed, sum(len) AS around FROM side GROUP BY ALL),
 m AS (SELECT e.vec_id, e.component, px, py, qx, qy, (qy - py) / len * d AS ox, -(qx - px) / len * d AS oy, qx - px AS dx, qy - py AS dy FROM side e JOIN (SELECT vec_id, component, abs(signed) * {G.UNCLIP} / around * sign(signed) AS d FROM far) f ON f.vec_id = e.vec_id AND f.component = e.component),
 met AS (SELECT b.vec_id, b.component, b.px, b.py, a.px + a.ox AS ax, a.py + a.oy AS ay, a.dx AS ex, a.dy AS ey, b.px + b.ox AS vx, b.py + b.oy AS vy, b.dx AS fx, b.dy AS fy FROM m a JOIN m b ON a.vec_id = b.vec_id AND a.component = b.component AND a.qx = b.px AND a.qy = b.py)
-SELECT vec_id, component, px, py, round(ax + ((vx - ax) * fy - (vy - ay) * fx) / (ex * fy - ey * fx) * ex, 6) AS x, round(ay + ((vx - ax) * fy - (vy - ay) * fx) / (ex * fy - ey * fx) * ey, 6) AS y FROM met"""
+SELECT vec_id, component, px, py, round(ax + ((vx - ax) * fy - (vy - ay) * fx) / (ex * fy - ey * fx) * ex, 6) + 0.0::DOUBLE AS x, round(ay + ((vx - ax) * fy - (vy - ay) * fx) / (ex * fy - ey * fx) * ey, 6) + 0.0::DOUBLE AS y FROM met"""
 _POLYGON_SCORE = f"""{_OUTER},
 hit AS (SELECT e.vec_id, e.component, g.i, any_value(g.p) AS p FROM side e JOIN g ON g.vec_id = e.vec_id GROUP BY e.vec_id, e.component, g.i
  HAVING count(*) FILTER ((qy > y) <> (py > y) AND x < (px - qx) * (y - qy) / nullif(py - qy, 0) + qx) % 2 = 1)

@@ -122,7 +122,7 @@ def routed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D14: request_id, ts, route, content_type, body: an upload of the text of every document, in one of seven forms of which four are
     wrong, the session requests of D11, and a request of another route for every nation."""
     form, text = F.col("doc_id") % 7, F.coalesce("text", F.lit(""))
-    plain = F.base64(F.encode(text, "UTF-8"))
+    plain = F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", "")  # Spark breaks lines
     json = lambda v: F.concat(F.lit('{"image": "'), v, F.lit('"}'))
     part = lambda name: F.concat(F.lit(f'--q7f3zz\r\nContent-Disposition: form-data; name="{name}"; filename="a.png"\r\n\r\n'), text, F.lit("\r\n--q7f3zz--\r\n"))
     body = F.when(form == 0, json(plain)).when(form == 1, json(F.translate(plain, "+/", "-_"))).when(form == 2, F.lit('{"image": ')).when(form == 3, json(F.concat(F.lit("?"), plain))).when(form == 4, text).when(form == 5, part("image")).otherwise(part("other"))

@@ -173,7 +173,7 @@ def data_url(content: bytes, kind: str = "image/png") -> str:
 
 
 def data_urls(content: Column, kind: str = "image/png") -> Column:
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
+    return F.concat(F.lit(f"data:{kind};base64,"), F.translate(F.base64(content), "\r\n", ""))  # Spark breaks lines
 
 
 def from_base64(text: Column) -> Column:
