@@ -8,6 +8,7 @@ pass over them without a shuffle.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -17,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import raster
+from ..functions import geometry as g
+from ..operators import colour, raster
 from ..sources import images
 
 LINE = "parent long, x0 long, y0 long, x1 long, y1 long, x2 long, y2 long, x3 long, y3 long, text string, score double, class_id long, read_order long"
@@ -400,32 +402,37 @@ class Engine:
         return out
 
     def _over(self, frames: DataFrame, key: str, content: str, lines: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
-        schema = f"key string, status long, error string, {LINE}, children {CHILDREN}"
-        names = [x.split()[0] for x in schema.split(f", children {CHILDREN}")[0].split(", ")] + ["children"]
+        schema = f"key string, status long, error string, {LINE}, children {CHILDREN}, elapsed_ms double"
+        names = [x.split()[0] for x in schema.split(f", children {CHILDREN}")[0].split(", ")] + ["children", "elapsed_ms"]
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            none = (None,) * (len(names) - 3)
+            none = (None,) * (len(names) - 4)
             for b in batches:
                 out = []
                 for k, raw in zip(b["key"], b["content"]):
+                    start = time.perf_counter()
+                    took = lambda start=start: round((time.perf_counter() - start) * 1000, 3)
                     try:
                         image = images.decode(raw)
                     except ValueError as e:
-                        out.append((k, 400, str(e), *none))
+                        out.append((k, 400, str(e), *none, took()))
                         continue
                     try:
                         got = lines(image)
                     except Exception as e:  # noqa: BLE001
-                        out.append((k, 500, f"detection: {e}", *none))
+                        out.append((k, 500, f"detection: {e}", *none, took()))
                         continue
-                    out += [(k, 200, None, n, *(v for p in box.quad for v in p), text, score, box.class_id, box.read_order, [{"box": [list(p) for p in c.quad], "text": t, "score": s} for c, t, s in kids] or None) for n, (box, text, score, kids) in enumerate(got)] or [(k, 200, None, *none)]
+                    spent = took()
+                    kids_of = lambda kids: [{"box": [list(p) for p in c.quad], "text": t, "score": s} for c, t, s in kids] or None
+                    found = [(k, 200, None, n, *(v for p in box.quad for v in p), text, score, box.class_id, box.read_order, kids_of(kids), spent) for n, (box, text, score, kids) in enumerate(got)]
+                    out += found or [(k, 200, None, *none, spent)]
                 yield pd.DataFrame(out, columns=names).astype({n: "Int64" for n in names if f"{n} long" in schema})
 
         return frames.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content")).mapInPandas(rows, schema)
 
     def transform(self, frames: DataFrame, key: str, content: str = "content") -> DataFrame:
-        """key, status, error and the lines of every image (bytes in ``content``), with their children; one row without a line for an
-        image that has none (200), cannot be read (400) or at which a stage fails (500)."""
+        """key, status, error, the lines of every image (bytes in ``content``) with their children, and elapsed_ms of the image; one row
+        without a line for an image that has none (200), cannot be read (400) or at which a stage fails (500)."""
         return self._over(frames, key, content, self.run)
 
     def detect_frames(self, frames: DataFrame, key: str, content: str = "content") -> DataFrame:
@@ -433,6 +440,24 @@ class Engine:
         return self._over(frames, key, content, lambda image: [(b, None, b.score, []) for b in self.parts["detect"].detect(image)])
 
 
+def coloured(lines: DataFrame, frames: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """``lines`` (of ``Engine.transform``) with text_color ([r, g, b]) and word_colors (start, end, color; null where the words do not differ).
+    Pixels leave their images only near lines, and the colours are told by joins and windows over them. ``lines`` is read several
+    times, so it should be a written table, or the engine runs as often."""
+    quad = F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(4)])
+    boxes = lines.where("parent is not null").select(F.col("key").alias("image_id"), F.col("parent").alias("box_id"), quad.alias("quad"), "text")
+    b = g.bounds(F.col("quad"))
+    near = boxes.groupBy("image_id").agg(F.collect_list(F.struct(*[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")])).alias("boxes"))
+    pages = frames.select(F.col(key).cast("string").alias("image_id"), F.col(content).alias("content")).join(near, "image_id")
+    sized = boxes.join(pages.select("image_id", images.sizes("content").alias("s")).where("s.width is not null").select("image_id", "s.*"), "image_id")
+    pixels = images.pixels(pages, colour.RING)
+    rgb = lambda c: F.array(*[c(x) for x in "rgb"])
+    text = colour.text_colours(pixels, sized).select(F.col("image_id").alias("key"), F.col("box_id").alias("parent"), rgb(F.col).alias("text_color"))
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), rgb(lambda c: s[c]).alias("color")))
+    words = colour.word_colours(pixels, sized).select(F.col("image_id").alias("key"), F.col("box_id").alias("parent"), spans.alias("word_colors"))
+    return lines.join(text, ["key", "parent"], "left").join(words, ["key", "parent"], "left")
+
+
 def responses(lines: DataFrame) -> DataFrame:
     """image_id, body: the JSON result of every image. Lines in order with text, score and box; null colours, word colours and
     children are left out. ``lines``: image_id, line, text, score, x0, y0, x1, y1."""

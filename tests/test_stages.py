@@ -139,3 +139,33 @@ def test_batched_lines_equal_single_ones():
     assert len(one.asked) == 6 and len(many.asked) == len({x[0].shape[3] for x in one.asked}) == 4
     got = W.Ctc(session=padded, charset=["", "a", "b"]).recognise_all(RAMP, quads, pad=256)
     assert len(padded.asked) == 1 and padded.asked[0][0].shape == (6, 3, 48, 256) and [t for t, _ in got] == [t for t, _ in want]
+
+
+def test_colours_in_the_answer(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from glyphflow.sources import images
+
+    class Words:
+        def detect(self, image):
+            return [W.Box(box(5, 5, 45, 15)), W.Box(box(5, 25, 45, 35)), W.Box(box(90, 90, 95, 95))]
+
+    class Read:
+        def recognise(self, image, quad):
+            return ("ab cd" if quad[0][1] < 20 else "plain"), 0.5
+
+    page = np.full((40, 60, 3), 255, np.uint8)
+    page[7:13, 7:15], page[7:13, 25:35], page[27:33, 8:40] = (250, 0, 0), (0, 0, 250), (0, 0, 0)
+    W.STAGES.update(words=Words, read=Read)
+    W.workflow("words", detect="words", recognise="read")
+    frames = spark.createDataFrame([("p", bytearray(images.encode_png(page))), ("q", bytearray(b"junk"))], "name string, content binary")
+    lines = W.Engine(W.with_workflow("words")).transform(frames, "name")
+    assert all(r.elapsed_ms >= 0 for r in lines.collect())
+    got = {(r.key, r.parent): r for r in W.coloured(lines, frames, "name").collect()}
+    assert got["p", 0].text_color == [0, 0, 250] and [tuple(w) for w in got["p", 0].word_colors] == [(0, 1, [250, 0, 0]), (3, 4, [0, 0, 250])]
+    assert got["p", 1].text_color == [0, 0, 0] and got["p", 1].word_colors is None and got["p", 2].text_color is None and got["q", None].status == 400
+    shown = W.coloured(lines, frames, "name").where("parent is not null").select(F.col("key").alias("image_id"), F.col("parent").alias("line"), "text", "score", "x0", "y0", F.col("x2").alias("x1"), F.col("y2").alias("y1"), "text_color", "word_colors")
+    body = json.loads(W.responses(shown).first().body)["lines"]
+    assert body[0]["word_colors"][1] == {"start": 3, "end": 4, "color": [0, 0, 250]} and "word_colors" not in body[1] and "text_color" not in body[2]
