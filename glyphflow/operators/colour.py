@@ -85,36 +85,47 @@ def _apart(x: Column, y: Column) -> Column:
     return g.colour_distance([x[c] for c in "rgb"], [y[c] for c in "rgb"])
 
 
-def _channel(spans: str, c: str) -> Column:
-    return F.transform(spans, lambda s: s[c])
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it (a plan may copy a column into every use)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def suppress_outliers(df: DataFrame, spans: str, least: int = 6000, ratio: int = 3, alike: int = 4000) -> DataFrame:
-    """``df`` with outlying colours of ``spans`` (start, end, r, g, b, in order) given to a neighbour.
+def suppressed(spans: Column, least: int = 6000, ratio: int = 3, alike: int = 4000) -> Column:
+    """``spans`` (start, end, r, g, b, in order) with outlying colours given to a neighbour.
 
     A span of three or more is outlying if its distance from the median colour is over ``least`` and over ``ratio`` times the
     median distance. It goes to the neighbour closer in colour (ties: left), unless its neighbours differ by over ``alike``.
     """
-    middle = lambda a: F.element_at(F.array_sort(a), (F.expr(f"size({spans}) div 2") + 1).cast("int"))
-    df = df.withColumn("__m", F.struct(*[middle(_channel(spans, c)).alias(c) for c in "rgb"]))
-    df = df.withColumn("__d", F.transform(spans, lambda s: _apart(s, F.col("__m"))))
-    df = df.withColumn("__t", F.greatest(F.lit(least).cast("long"), middle("__d") * ratio))
-    n = F.size(spans)
-    zero = F.struct(F.array().cast(_SPANS).alias("out"), F.lit(None).cast("bigint").alias("carry"))
-
-    def step(acc, i):
-        e, right = F.get(spans, i), F.get(spans, i + 1)
-        left, start = F.get(acc["out"], F.size(acc["out"]) - 1), F.coalesce(acc["carry"], F.get(spans, i)["start"])
-        own = F.array(F.struct(start.alias("start"), e["end"].alias("end"), *[e[c].alias(c) for c in "rgb"])).cast(_SPANS)
-        longer = F.concat(F.slice(acc["out"], 1, F.greatest(F.lit(0), F.size(acc["out"]) - 1)), F.array(F.struct(left["start"].alias("start"), e["end"].alias("end"), *[left[c].alias(c) for c in "rgb"])).cast(_SPANS))
-        has_left, has_right = F.size(acc["out"]) > 0, i + 1 < n
-        stays = (F.get("__d", i) <= F.col("__t")) | (~has_left & ~has_right) | (has_left & has_right & (_apart(left, right) > alike))
-        to_left = has_left & (~has_right | (_apart(e, left) <= _apart(e, right)))
-        none = F.lit(None).cast("bigint")
-        return F.when(stays, F.struct(F.concat(acc["out"], own).alias("out"), none.alias("carry"))).when(to_left, F.struct(longer.alias("out"), none.alias("carry"))).otherwise(F.struct(acc["out"].alias("out"), start.alias("carry")))
-
-    folded = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda a: a["out"])
-    return df.withColumn(spans, F.when(n < 3, F.col(spans).cast(_SPANS)).otherwise(folded)).drop("__m", "__d", "__t")
+    middle = lambda a: F.element_at(F.array_sort(a), (F.floor(F.size(a) / 2) + 1).cast("int"))
+    none, zero = F.lit(None).cast("bigint"), F.struct(F.array().cast(_SPANS).alias("out"), F.lit(None).cast("bigint").alias("carry"))
+
+    def folded(all_, m, t):
+        n = F.size(all_)
+
+        def step(acc, i):
+            e, right = F.get(all_, i), F.get(all_, i + 1)
+            left, start = F.get(acc["out"], F.size(acc["out"]) - 1), F.coalesce(acc["carry"], e["start"])
+            own = F.array(F.struct(start.alias("start"), e["end"].alias("end"), *[e[c].alias(c) for c in "rgb"])).cast(_SPANS)
+            longer = F.concat(F.slice(acc["out"], 1, F.greatest(F.lit(0), F.size(acc["out"]) - 1)), F.array(F.struct(left["start"].alias("start"), e["end"].alias("end"), *[left[c].alias(c) for c in "rgb"])).cast(_SPANS))
+            has_left, has_right = F.size(acc["out"]) > 0, i + 1 < n
+            stays = (_apart(e, m) <= t) | (~has_left & ~has_right) | (has_left & has_right & (_apart(left, right) > alike))
+            to_left = has_left & (~has_right | (_apart(e, left) <= _apart(e, right)))
+            return F.when(stays, F.struct(F.concat(acc["out"], own).alias("out"), none.alias("carry"))).when(to_left, F.struct(longer.alias("out"), none.alias("carry"))).otherwise(F.struct(acc["out"].alias("out"), start.alias("carry")))
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda a: a["out"])
+
+    def whole(all_):
+        channel = lambda c: (lambda s: s[c])
+        median = F.struct(*[middle(F.transform(all_, channel(c))).alias(c) for c in "rgb"])
+        far = lambda m: F.greatest(F.lit(least).cast("long"), middle(F.transform(all_, lambda s: _apart(s, m))) * ratio)
+        return F.when(F.size(all_) < 3, all_.cast(_SPANS)).otherwise(_bound(median, lambda m: _bound(far(m), lambda t: folded(all_, m, t))))
+
+    return _bound(spans, whole)
+
+
+def suppress_outliers(df: DataFrame, spans: str, least: int = 6000, ratio: int = 3, alike: int = 4000) -> DataFrame:
+    """``df`` with the column ``spans`` ``suppressed``."""
+    return df.withColumn(spans, suppressed(F.col(spans), least, ratio, alike))
 
 
 def merge_similar(spans: Column, most: int = 2000) -> Column:
@@ -213,5 +224,5 @@ def word_colours(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     runs_ = p.groupBy(*_BOX, "isle").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end"), *median, F.first("chars").alias("chars"), F.first("axis").alias("axis"))
     words = runs_.groupBy(*_BOX).agg(F.array_sort(F.collect_list(F.struct("start", "end", "r", "g", "b"))).alias("runs"), F.first("chars").alias("chars"), F.first("axis").alias("axis"))
     spans = words.where(F.size("runs") > 1).select(*_BOX, char_spans(F.col("runs"), F.col("chars"), F.col("axis"), ("r", "g", "b")).alias("spans"))
-    spans = suppress_outliers(spans.where(F.size("spans") > 1), "spans")
-    return spans.select(*_BOX, merge_similar(F.col("spans")).alias("spans")).where(F.size("spans") > 1)
+    calm = spans.where(F.size("spans") > 1).select(*_BOX, merge_similar(suppressed(F.col("spans"))).alias("spans"))
+    return calm.where(F.size("spans") > 1)

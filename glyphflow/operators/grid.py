@@ -43,10 +43,16 @@ def components(mask: np.ndarray) -> np.ndarray:
 
 
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Strict corners of the convex hull, from the leftmost lowest point on (monotone chain)."""
-    pts = sorted(set(points))
-    if len(pts) < 3:
-        return pts
+    """Strict corners of the convex hull, from the leftmost lowest point on (monotone chain). Of points that share a tenth of a cell
+    on both axes, the first counts."""
+    if len(points) < 3:
+        return list(points)
+    first: dict[tuple[int, int], tuple[float, float]] = {}
+    for p in points:
+        first.setdefault((int(p[0] * 10), int(p[1] * 10)), p)
+    if len(first) < 3:
+        return list(first.values())
+    pts = sorted(first.values())
 
     def half(order):
         out: list[tuple[float, float]] = []

@@ -26,17 +26,16 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def homographies(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """The 3 x 3 matrices that take four points each of ``src`` (N x 4 x 2) to ``dst`` (4 x 2, or N of them)."""
+    """The 3 x 3 matrices that take four points each of ``src`` (N x 4 x 2) to ``dst`` (4 x 2, or N of them); not numbers where there
+    is none, as three of the points lie on a line."""
     src = np.asarray(src, float)
     dst = np.broadcast_to(np.asarray(dst, float), src.shape)
     x, y, u, v = src[..., 0], src[..., 1], dst[..., 0], dst[..., 1]
     one, zero = np.ones_like(x), np.zeros_like(x)
     rows = np.stack([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], -1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], -1)], 2).reshape(-1, 8, 8)
     want = dst.reshape(-1, 8)
-    try:
-        h = np.linalg.solve(rows, want[..., None])[..., 0]
-    except np.linalg.LinAlgError:  # some quad is degenerate: least squares for each
-        h = np.array([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(rows, want)])
+    h, sound = np.full((len(rows), 8), np.nan), np.linalg.matrix_rank(rows) == 8
+    h[sound] = np.linalg.solve(rows[sound], want[sound][..., None])[..., 0]
     return np.concatenate([h, np.ones((len(h), 1))], axis=1).reshape(-1, 3, 3)
 
 
@@ -50,10 +49,14 @@ def inverse(h: np.ndarray) -> np.ndarray:
 
 
 def warp(image: np.ndarray, quad: np.ndarray, width: int, height: int) -> np.ndarray:
-    """The quad (top left, top right, bottom right, bottom left) of an image as a straight picture; white where it leaves it."""
+    """The quad (top left, top right, bottom right, bottom left) of an image as a straight picture; white where it leaves it. ValueError
+    where no map does that: the quad has no area, or the picture no second row or column."""
     width, height = max(1, width), max(1, height)
     to = [(0, 0), (width - 1, 0), (width - 1, height - 1), (0, height - 1)]
-    back = inverse(homography(np.asarray(quad, float), np.array(to, float)))
+    there = homography(np.asarray(quad, float), np.array(to, float))
+    if np.isnan(there).any():
+        raise ValueError("a quad without area")
+    back = inverse(there)
     y, x = np.mgrid[0:height, 0:width].astype(float)
     u, v, w = np.tensordot(back, np.stack([x, y, np.ones_like(x)]), 1)
     flat = abs(w) < 1e-10

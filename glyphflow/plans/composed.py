@@ -137,7 +137,7 @@ segs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, box_
 {_MERGED}
 SELECT image_id, box_id, grp - 1 AS k, s AS start, e AS "end", r, g, b FROM (SELECT *, count(*) OVER (PARTITION BY image_id, box_id) AS many FROM done) WHERE many > 1"""
 _SPANS = f"""{Q.D5},
-marked AS (SELECT image_id, 0::BIGINT AS box_id, s + 1 AS k, count(*) OVER (PARTITION BY image_id) AS n, 3 * s AS s, 3 * s + 3 AS e, r // 64 * 64 AS r, g // 64 * 64 AS g, b // 64 * 64 AS b FROM pixels WHERE s < 8)"""
+marked AS (SELECT image_id, 0::BIGINT AS box_id, s + 1 AS k, count(*) OVER (PARTITION BY image_id) AS n, 3 * s AS s, 3 * s + 3 AS e, r // 64 * 64 AS r, g // 64 * 64 AS g, b // 64 * 64 AS b FROM pixels)"""
 _SHOWN = 'SELECT image_id, {k} - 1 AS k, s AS start, e AS "end", r, g, b'
 _RUNS = Q.SQL["foreground_runs"]
 _CHAR_SPANS = f"""WITH RECURSIVE runs AS ({_RUNS}),

@@ -70,8 +70,8 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D6: image_id, spans (start, end, r, g, b by place) of the first eight pixels of every image."""
-    p = pixels(spark, sf_dir).where("s < 8")
+    """D6: image_id, spans (start, end, r, g, b by place) of the pixels of every image, three places each."""
+    p = pixels(spark, sf_dir)
     dim = lambda c: F.expr(f"{c} div 64 * 64").alias(c)
     kids = F.array_sort(F.collect_list(F.struct("s", (F.col("s") * 3).alias("start"), (F.col("s") * 3 + 3).alias("end"), dim("r"), dim("g"), dim("b"))))
     return p.groupBy("image_id").agg(F.transform(kids, lambda k: F.struct(*[k[c].alias(c) for c in ("start", "end", "r", "g", "b")])).alias("spans"))

@@ -116,6 +116,7 @@ def test_detection():
     rect, area = grid.min_area_rect([(0, 0), (2, 2), (4, 0), (2, -2), (2, 0)])
     assert area == pytest.approx(8) and len(rect) == 4
     assert grid.hull([(0, 0), (1, 0), (2, 0), (2, 2), (0, 2), (1, 1)]) == [(0, 0), (2, 0), (2, 2), (0, 2)]
+    assert grid.hull([(0.01, 0.01), (0.0, 0.0), (2, 0), (2, 2), (2.05, 2.05)]) == [(0.01, 0.01), (2, 0), (2, 2)]  # the first of a tenth counts
 
 
 def test_rasters():

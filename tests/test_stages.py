@@ -47,7 +47,22 @@ def test_line_recogniser_input():
     assert s.asked[2][0].shape == (1, 3, 48, 187) and s.asked[2][0][0, 0, -1, 0] == pytest.approx(-1, abs=0.03)
     stage.recognise(RAMP, box(0, 0, 32, 33))  # 48 * 33 / 32 = 49.5, halves go up
     assert s.asked[3][0].shape == (1, 3, 48, 50)
-    assert raster.line_crop(RAMP, [(5, 0), (5, 0), (5, 9), (5, 9)]).shape == (48, 1, 3)
+    for flat in ([(5, 0), (5, 0), (5, 9), (5, 9)], [(0, 0), (4, 4), (8, 8), (0, 8)], [(3, 3)] * 4):
+        with pytest.raises(ValueError):
+            raster.line_crop(RAMP, flat)
+
+
+def test_a_quad_without_area_costs_its_own_line_only():
+    class Mixed:
+        def detect(self, image):
+            return [W.Box(box(0, 0, 40, 10)), W.Box([(5, 0), (5, 0), (5, 9), (5, 9)]), W.Box(box(0, 20, 40, 30))]
+
+    scores = np.full((1, 4, 3), 0.1)
+    scores[0, :, 1] = 0.9
+    W.STAGES["mixed"] = Mixed
+    W.workflow("mixed", detect="mixed", classify="turned", recognise="ctc")
+    lines = W.Engine(W.with_workflow("mixed"), W.with_model("turned", session=Kept(np.array([[0.9, 0.05]]))), W.with_model("ctc", session=Kept(scores), charset=["", "a", "b"])).run(RAMP)
+    assert [(b.quad[0], t) for b, t, *_ in lines] == [((0, 0), "a"), ((0, 20), "a")]
 
 
 def test_classifier_input_and_threshold():
