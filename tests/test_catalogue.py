@@ -9,7 +9,7 @@ import pytest
 from glyphflow.plans import catalogue, composed, pages
 
 SF = "/root/testdata/sf0.001"
-TABLES = "lineitem orders events embeddings documents conversations".split()
+TABLES = "lineitem orders events embeddings documents conversations nation".split()
 QUERIES, SQL = {**catalogue.QUERIES, **pages.QUERIES, **composed.QUERIES}, {**catalogue.SQL, **pages.SQL, **composed.SQL}
 
 
