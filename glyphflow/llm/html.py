@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -37,27 +37,43 @@ MARKS = set("ad ads advert advertisement sponsor sponsored promo banner sidebar
 _SPLIT, _SPACE = re.compile(r"[^a-z0-9]+"), re.compile(r"\s+")
 
 
+@lru_cache(1 << 12)
+def _cell(word: str) -> int:
+    return zlib.crc32(word.encode()) % PATHS
+
+
+@lru_cache(1 << 15)
+def _word_cell(word: str) -> int:
+    return PATHS + zlib.crc32(word.lower().encode()) % WORDS
+
+
 class Blocks(HTMLParser):
-    """Blocks of a page with their paths. The path is kept as counts of the hashed words of all open tags, so that a block costs the
-    same however deep it lies."""
+    """Blocks of a page with their paths. The path is kept as counts of the cells that the words of all open tags take, so that a block
+    costs the same however deep it lies."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, list[int], bool]] = []
-        self.open: Counter[str] = Counter()
-        self.path, self.outside, self.text, self.out, self.mute = np.zeros(PATHS, np.int32), 0, [], [], 0
+        self.open: dict[str, int] = {}
+        self.path: dict[int, int] = {}
+        self.outside, self.text, self.out, self.mute = 0, [], [], 0
 
     def _end_block(self):
+        if not self.text:
+            return
         t = _SPACE.sub(" ", "".join(self.text)).strip()
         if t:
-            self.out.append((t, self.path > 0, not self.outside))
+            self.out.append((t, tuple(self.path), not self.outside))
         self.text = []
 
     def _pop(self):
         tag, cells, marked = self.stack.pop()
         self.open[tag] -= 1
         for c in cells:
-            self.path[c] -= 1
+            if self.path[c] == 1:
+                del self.path[c]
+            else:
+                self.path[c] -= 1
         self.outside -= marked
         self.mute -= tag in SILENT
 
@@ -67,21 +83,21 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         for other in ENDED.get(tag, ()):
-            if self.open[other]:
+            if self.open.get(other):
                 self._close(other, within={tag, *ENDED[tag]})
         named = [w for k, v in attrs if k in ("class", "id", "role") and v for w in _SPLIT.split(v.lower()) if w]
-        cells = [zlib.crc32(w.encode()) % PATHS for w in ("<" + tag, *("." + w for w in named))]
+        cells = [_cell("<" + tag), *(_cell("." + w) for w in named)]
         marked = tag in OUTSIDE or not MARKS.isdisjoint(named)
         self.stack.append((tag, cells, marked))
-        self.open[tag] += 1
+        self.open[tag] = self.open.get(tag, 0) + 1
         for c in cells:
-            self.path[c] += 1
+            self.path[c] = self.path.get(c, 0) + 1
         self.outside += marked
         self.mute += tag in SILENT
 
     def _close(self, tag, within=None):
         """Ends the innermost ``tag`` and what is open in it; with ``within``, only if nothing but these and inline tags lies between."""
-        if not self.open[tag]:
+        if not self.open.get(tag):
             return
         at = len(self.stack) - 1
         while self.stack[at][0] != tag:
@@ -101,7 +117,7 @@ class Blocks(HTMLParser):
             self.text.append(data)
 
 
-def blocks(page: str | None) -> list[tuple[str, np.ndarray, bool]]:
+def blocks(page: str | None) -> list[tuple[str, tuple[int, ...], bool]]:
     """Text, path (which cells its hashed words take) and training label (whether no open tag marks it as boilerplate) of every
     block, in page order."""
     p = Blocks()
@@ -111,13 +127,14 @@ def blocks(page: str | None) -> list[tuple[str, np.ndarray, bool]]:
     return p.out
 
 
-def vectors(page: list[tuple[str, np.ndarray, bool]]) -> np.ndarray:
+def vectors(page: list[tuple[str, tuple[int, ...], bool]]) -> np.ndarray:
     out = np.zeros((len(page), PATHS + WORDS))
     for row, (text, path, _) in zip(out, page):
-        row[:PATHS] = path
+        for c in path:
+            row[c] = 1
         words = text.split()
         for w in words:
-            row[PATHS + zlib.crc32(w.lower().encode()) % WORDS] += 1 / len(words)
+            row[_word_cell(w)] += 1 / len(words)
     return out
 
 
