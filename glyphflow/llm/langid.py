@@ -133,12 +133,13 @@ def _chosen(known: DataFrame, key: str, sample: int) -> DataFrame:
     """__lang, __key of the ``sample`` rows of every language with the least hashes of their keys (ties: by key). No language is one
     task: rows are counted by the leading bits of the hash, and only those of the buckets that are wanted are ranked, each
     bucket apart."""
-    ids = known.select(F.col("lang").alias("__lang"), F.col(key).alias("__key")).withColumn("__hash", F.xxhash64("__key")).withColumn("__bucket", F.shiftright("__hash", 48))
+    ids = known.select(F.col("lang").alias("__lang"), F.col(key).alias("__key")).withColumn("__hash", F.xxhash64("__key")).withColumn("__bucket", F.shiftright("__hash", 52))
     sizes = ids.groupBy("__lang", "__bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("__lang").orderBy("__bucket")) - F.col("n")
     wanted = sizes.select("__lang", "__bucket", before.alias("__before")).where(F.col("__before") < sample)
     turn = F.row_number().over(Window.partitionBy("__lang", "__bucket").orderBy("__hash", "__key"))
-    ranked = ids.join(wanted, ["__lang", "__bucket"]).withColumn("__turn", turn).where(F.col("__turn") <= F.lit(sample) - F.col("__before"))
+    ranked = ids.join(wanted, ["__lang", "__bucket"]).withColumn("__turn", turn).where(F.col("__turn") <= sample)  # cut before the shuffle too
+    ranked = ranked.where(F.col("__turn") <= F.lit(sample) - F.col("__before"))
     return ranked.select("__lang", "__key").distinct()
 
 
