@@ -28,11 +28,12 @@ def _cells(d: DataFrame, p: str, margin: int, cell: int) -> DataFrame:
 
 def meeting(a: DataFrame, b: DataFrame, on: Column, margin: int = 0, cell: int = CELL) -> DataFrame:
     """Pairs of boxes of ``a`` (a_ columns) and ``b`` (b_ columns) of one image whose gap on each axis is at most ``margin``
-    and for which ``on`` holds. A pair is taken in one cell only: that of the first corner that both reach."""
+    and for which ``on`` holds. A pair is taken in one cell only: that of the first corner that both reach. Both sides are
+    shuffled: a plan takes boxes exploded from a few columns for far smaller than they are, and would send them all to the driver."""
     left, right = _cells(a, "a_", margin, cell), _cells(b, "b_", 0, cell)
     here = lambda v: F.floor(F.greatest(F.col(f"a_{v}0") - margin, F.col(f"b_{v}0")) / cell)
     near = (F.col("a_image_id") == F.col("b_image_id")) & (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy"))
-    return left.join(right, near & (F.col("a_cx") == here("x")) & (F.col("a_cy") == here("y")) & on).drop("a_cx", "a_cy", "b_cx", "b_cy")
+    return left.join(right.hint("merge"), near & (F.col("a_cx") == here("x")) & (F.col("a_cy") == here("y")) & on).drop("a_cx", "a_cy", "b_cx", "b_cy")
 
 
 def near_pairs(boxes: DataFrame, distance: float) -> DataFrame:
@@ -136,13 +137,13 @@ def assign_children(children: DataFrame, parents: DataFrame, min_overlap: float
 
 
 def orphans(children: DataFrame, assigned: DataFrame) -> DataFrame:
-    return children.where(g.area() > 0).join(assigned, ["image_id", "box_id"], "left_anti")
+    return children.where(g.area() > 0).join(assigned.hint("merge"), ["image_id", "box_id"], "left_anti")
 
 
 def with_children(parents: DataFrame, assigned: DataFrame) -> DataFrame:
     """Parents that have children, with their number and ids in order."""
     kids = assigned.groupBy("image_id", "parent_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("box_id")).alias("kids"))
-    return parents.join(kids, ["image_id", "parent_id"])
+    return parents.hint("merge").join(kids, ["image_id", "parent_id"])
 
 
 def hierarchical(children: DataFrame, parents: DataFrame) -> DataFrame:

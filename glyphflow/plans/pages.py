@@ -173,7 +173,7 @@ def _crop_size(spark, d):
 def _translate(spark, d):
     """Boxes found in the padded crop of a parent, back in the image and clamped to the parent."""
     p = Q._parents(spark, d)
-    j = D.boxes(spark, d).join(B.prefixed(p, "p_"), F.col("image_id") == F.col("p_image_id"))
+    j = D.boxes(spark, d).join(B.prefixed(p, "p_").hint("merge"), F.col("image_id") == F.col("p_image_id"))
     back = lambda v, a: g.clamp(F.col(v) - 10 + F.col(f"p_{a}0"), F.col(f"p_{a}0"), F.col(f"p_{a}1")).cast("long").alias(v)
     return j.select("image_id", "box_id", F.col("p_parent_id").alias("parent_id"), back("x0", "x"), back("y0", "y"), back("x1", "x"), back("y1", "y"))
 

@@ -104,9 +104,9 @@ def box_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = layout_rows(spark, sf_dir).select("image_id", F.col("k").alias("parent_id"), F.col("xmin").alias("x0"), F.col("ymin").alias("y0"), F.col("xmax").alias("x1"), F.col("ymax").alias("y1"))
     children = boxes(spark, sf_dir)
     given = B.assign_children(children, parents)
-    leaves = children.join(given, ["image_id", "box_id"], "left").where("x1 > x0 and y1 > y0")
+    leaves = children.join(given.hint("merge"), ["image_id", "box_id"], "left").where("x1 > x0 and y1 > y0")
     leaf = leaves.select("image_id", F.col("box_id").alias("node_id"), F.coalesce(F.col("parent_id") + 900, F.lit(999)).alias("parent_id"), (F.col("box_id") + 10).alias("ord"), *box, F.when(F.col("box_id") % 6 != 5, F.col("text")).otherwise("").alias("text"))
-    used = parents.join(given.select("image_id", "parent_id").distinct(), ["image_id", "parent_id"])
+    used = parents.hint("merge").join(given.select("image_id", "parent_id").distinct(), ["image_id", "parent_id"])
     region = used.select("image_id", (F.col("parent_id") + 900).alias("node_id"), F.lit(999).cast("long").alias("parent_id"), F.col("parent_id").alias("ord"), *box, F.when((F.col("image_id") + F.col("parent_id")) % 7 == 0, F.concat(F.lit("r"), F.col("parent_id").cast("string"))).otherwise("").alias("text"))
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     root = leaves.select("image_id").distinct().select("image_id", F.lit(999).cast("long").alias("node_id"), none.alias("parent_id"), zero.alias("ord"), *[zero.alias(c) for c in box], F.lit("").alias("text"))

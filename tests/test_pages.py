@@ -265,3 +265,14 @@ def test_sessions(spark, tmp_path):
     got = {(x.session_id, x.event_id): (x.found, x.value) for x in spark.table("seen").collect()}
     assert got == seen
     assert spark.readStream and sessions.arriving(spark, str(tmp_path)).isStreaming
+
+
+def test_boxes_of_many_images_are_not_broadcast(spark):
+    """A plan takes three boxes exploded from a literal for the size of one row; the larger the table, the more the driver held."""
+    from glyphflow.operators import boxes as B
+
+    one = spark.range(400).select(F.col("id").alias("image_id"), F.lit(0).cast("long").alias("x0"), F.lit(0).cast("long").alias("y0"))
+    box = lambda k, w, h: one.select("image_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias(k), "x0", "y0", F.lit(w).cast("long").alias("x1"), F.lit(h).cast("long").alias("y1"))
+    out = B.hierarchical(box("box_id", 30, 10), box("parent_id", 90, 60))
+    assert "Broadcast" not in out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["image_id"], r["parent_id"], r["box_id"], r["n"], r["seq"]) for r in out.collect()) == [(i, 1, None, 2, 1) for i in range(400)]
