@@ -238,3 +238,20 @@ def test_routes(spark):
     assert {r.status for r in requests.routed(d.where("route = 'health'"), log, ready=False).collect()} == {503}
     ids = [r.s for r in spark.createDataFrame([("x",), ("",), (None,)], "g string").select(requests.session_ids(F.col("g")).alias("s")).collect()]
     assert ids[0] == "x" and all(len(i) == 36 for i in ids[1:]) and ids[1] != ids[2]
+
+
+@pytest.mark.parametrize("most", [0, 12, 4096])
+def test_trees_of_one_task_equal_those_by_levels(spark, most):
+    """Equal places, repeated and missing ids, null coordinates, texts at any level; small and large trees at once."""
+    r, rows = random.Random(11), []
+    for k in range(80):
+        rows.append((k, 0, None, 0, 0, 0, 9, 9, r.choice(["", "top", None])))
+        for n in range(1, r.randrange(1, 30)):
+            x, y = r.randrange(-9, 9), r.randrange(-9, 9)
+            box = [v if r.random() < 0.95 else None for v in (x, y, x + r.randrange(1, 9), y + r.randrange(1, 9))]
+            rows.append((k, n if r.random() < 0.97 else None, None if r.random() < 0.05 else r.randrange(max(0, n - 5), n), n, *box, r.choice(["", None, "a", "b", "é"])))
+    d = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, ord long, x0 long, y0 long, x1 long, y1 long, text string")
+    key = lambda x: (x.tree_id, x.root_id is None, x.root_id or 0)
+    want, got = (sorted(f.collect(), key=key) for f in (trees._by_levels(d), trees.nested(d, most)))
+    assert [(*key(x), x.text, x.leaves) for x in got] == [(*key(x), x.text, x.leaves) for x in want] and len(got) > 80
+    assert all(g_.size == pytest.approx(w.size) if w.size is not None else g_.size is None for g_, w in zip(got, want))
