@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from .components import components
 MAX_DISTANCE, MAX_RATIO, MIN_OVERLAP, CELL = 10, 1.5, 0.8, 256
 #: Boxes of an image up to which one task unites them.
 MOST = 1 << 16
+#: Boxes of an image up to which all its pairs are compared, as vectors; more meet through grid cells.
+PAIRED = 32
 
 
 def prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -81,6 +85,38 @@ def _labels(x0, y0, x1, y1, ids, distance: float, ratio: float, cell: int = CELL
     return [ids[find(i)] for i in range(n)]
 
 
+def _labels_of(of: np.ndarray, box: dict[str, np.ndarray], distance: float, ratio: float, most: int = PAIRED) -> np.ndarray:
+    """``_labels`` of the boxes of many images at once, which lie in a row. ``of``: the image of each box."""
+    x0, y0, x1, y1, ids = (box[c] for c in ("x0", "y0", "x1", "y1", "box_id"))
+    start = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    many = np.diff(np.append(start, len(of)))
+    odd = np.add.reduceat((x1 < x0) | (y1 < y0), start) > 0 if len(of) else np.zeros(0, bool)
+    alone = (many > most) | odd
+    # Every box with those after it in its image.
+    end = np.repeat(np.where(alone, 0, start + many), many)
+    after = np.maximum(end - np.arange(len(of)) - 1, 0)
+    a = np.repeat(np.arange(len(of)), after)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after) + a + 1
+    w, h = x1 - x0, y1 - y0
+    tall, size = h > w, np.minimum(w, h)
+    gap = lambda low, high: np.maximum(0, np.maximum(low[a], low[b]) - np.minimum(high[a], high[b]))
+    dx, dy = gap(x0, x1), gap(y0, y1)
+    near = (tall[a] == tall[b]) & (np.maximum(size[a], size[b]) <= ratio * np.minimum(size[a], size[b])) & (dx * dx + dy * dy <= distance * distance)
+    a, b = a[near], b[near]
+    root, before = np.arange(len(of)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        root = root[root]
+    out = ids[root]
+    for k in np.flatnonzero(alone):
+        at = slice(start[k], start[k] + many[k])
+        out[at] = _labels(*(v[at].tolist() for v in (x0, y0, x1, y1, ids)), distance, ratio)
+    return out
+
+
 def box_clusters(boxes: DataFrame, max_distance: float = MAX_DISTANCE, max_ratio: float = MAX_RATIO, most: int = MOST) -> DataFrame:
     """``boxes`` with cluster (smallest box_id reachable by proximity). An image of at most ``most`` boxes is one row of one task; the
     boxes of larger images never meet in one: their edges are contracted by joins. Which way is taken changes no result."""
@@ -98,9 +134,12 @@ def box_clusters(boxes: DataFrame, max_distance: float = MAX_DISTANCE, max_ratio
 def _clusters_by_image(boxes: DataFrame, max_distance: float, max_ratio: float) -> DataFrame:
     """One row for each image, all images of a batch at once."""
 
-    @F.pandas_udf("array<long>")
-    def of(kids: pd.Series) -> pd.Series:
-        return pd.Series([_labels(*([k[c] for k in ks] for c in ("x0", "y0", "x1", "y1", "box_id")), max_distance, max_ratio) for ks in kids], dtype=object)
+    @F.arrow_udf("array<long>")
+    def of(kids: pa.Array) -> pa.Array:
+        at, flat = pc.list_parent_indices(kids).to_numpy(zero_copy_only=False), pc.list_flatten(kids)
+        box = {c: pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1", "box_id")}
+        ends = np.append(0, np.cumsum(np.bincount(at, minlength=len(kids))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_labels_of(at, box, max_distance, max_ratio), pa.int64()))
 
     names = [c for c in boxes.columns if c != "image_id"]
     kids = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", *[c for c in names if c != "box_id"]))).alias("kids"))
@@ -120,8 +159,10 @@ def merged_lines(clustered: DataFrame) -> DataFrame:
     across = F.array_sort("kids")
     down = F.array_sort(F.transform("kids", lambda k: F.struct((-k["cx"]).alias("nx"), k["cy"].alias("cy"), k["box_id"].alias("box_id"), k["text"].alias("text"), k["score"].alias("score"))))
     words = lambda kids: F.array_join(F.filter(F.transform(kids, lambda k: k["text"]), lambda t: F.trim(t) != ""), " ")
-    text = F.when(F.col("tall"), words(down)).otherwise(words(across))
-    score = F.when(F.col("tall"), F.element_at(down, 1)["score"]).otherwise(F.element_at(across, 1)["score"])
+    # Most clusters are one box: nothing to order.
+    one, only = F.col("n") == 1, F.get("kids", F.lit(0))
+    text = F.when(one, F.when(F.trim(only["text"]) != "", only["text"]).otherwise("")).when(F.col("tall"), words(down)).otherwise(words(across))
+    score = F.when(one, only["score"]).when(F.col("tall"), F.element_at(down, 1)["score"]).otherwise(F.element_at(across, 1)["score"])
     m = m.select("image_id", "cluster", "x0", "y0", "x1", "y1", "n", text.alias("text"), score.alias("score"), "size")
     return m.withColumn("line", F.row_number().over(Window.partitionBy("image_id").orderBy(g.center_y(), g.center_x(), "cluster")).cast("long"))
 

@@ -255,3 +255,19 @@ def test_trees_of_one_task_equal_those_by_levels(spark, most):
     want, got = (sorted(f.collect(), key=key) for f in (trees._by_levels(d), trees.nested(d, most)))
     assert [(*key(x), x.text, x.leaves) for x in got] == [(*key(x), x.text, x.leaves) for x in want] and len(got) > 80
     assert all(g_.size == pytest.approx(w.size) if w.size is not None else g_.size is None for g_, w in zip(got, want))
+
+
+def test_clusters_of_many_images_at_once():
+    """Images of none to many boxes, some with turned corners, in one call; as by a union-find of each image."""
+    from glyphflow.operators import boxes as B
+
+    r, parts = random.Random(12), []
+    for n in [0, 1, 2, 5, 31, 32, 33, 80, *[r.randrange(1, 12) for _ in range(200)]]:
+        x, y = [r.randrange(200) for _ in range(n)], [r.randrange(200) for _ in range(n)]
+        low = -3 if n == 5 else 1
+        parts.append((x, y, [v + r.randrange(low, 40) for v in x], [v + r.randrange(low, 40) for v in y], sorted(r.sample(range(999), n))))
+    of = np.repeat(np.arange(len(parts)), [len(p[4]) for p in parts])
+    box = {c: np.array([v for p in parts for v in p[k]]) for k, c in enumerate(("x0", "y0", "x1", "y1", "box_id"))}
+    want = [v for p in parts for v in B._labels(*p, 10, 1.5)]
+    assert B._labels_of(of, box, 10, 1.5).tolist() == want and want != box["box_id"].tolist()
+    assert len(B._labels_of(of[:0], {c: v[:0] for c, v in box.items()}, 10, 1.5)) == 0
