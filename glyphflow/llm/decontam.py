@@ -34,9 +34,14 @@ from ._common import Scratch, WordHashes, any_columns, blob_id, mix, table
 MASKS = ("1111", "11011", "10111", "11101", "1", "11", "111")
 LEAST, SIMILAR, SIEVE = 20, (4, 5), 26
 _TOKEN = re.compile(r"[^\W_]+")
+_ASCII = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+#: Tokens whose masks are hashed at once.
+CHUNK = 1 << 16
 
 
 def tokens(text: str | None, memo: WordHashes) -> np.ndarray:
+    if text and text.isascii():
+        return memo.of(text.lower().encode().translate(_ASCII).split())
     return memo.of([w.encode() for w in _TOKEN.findall(text.lower())] if text else [])
 
 
@@ -75,8 +80,30 @@ def agrees(t: np.ndarray, q: np.ndarray, shift: int) -> bool:
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = np.uint64(64 - SIEVE)
-    return (h >> top).astype(np.int64), (mix(h) >> top).astype(np.int64)
+    return _slot(h, 0), _slot(h, 1)
+
+
+def _slot(h: np.ndarray, probe: int) -> np.ndarray:
+    return ((mix(h) if probe else h) >> np.uint64(64 - SIEVE)).astype(np.int64)
+
+
+def found_in(texts: list[np.ndarray], masks: list[int], bits: np.ndarray) -> list[list[dict]]:
+    """h, p of the seeds of each text that the sieve ``bits`` passes; texts are laid in a row and hashed at once."""
+    out: list[list[dict]] = [[] for _ in texts]
+    many = np.array([len(t) for t in texts], np.int64)
+    ends, row = np.cumsum(many), np.concatenate([np.zeros(0, np.uint64), *texts])
+    for m in masks:
+        h = seeds(row, m)
+        place = np.arange(len(h))
+        for k in (0, 1):
+            s = _slot(h[place], k)
+            place = place[(bits[s >> 3] >> (s & 7) & 1).astype(bool)]
+        of = np.searchsorted(ends, place, "right")
+        whole = place + len(MASKS[m]) <= ends[of]  # no seed crosses from one text to the next
+        of, place = of[whole], place[whole]
+        for d, a, p in zip(of.tolist(), h[place].view(np.int64).tolist(), (place - ends[of] + many[of]).tolist()):
+            out[d].append({"h": a, "p": p})
+    return out
 
 
 def seed_table(benchmark: DataFrame, scratch: Scratch, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -124,18 +151,14 @@ def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: Col
 
     @F.pandas_udf("array<struct<h:long,p:int>>")
     def hits(t: pd.Series) -> pd.Series:
-        bits, memo, out = np.frombuffer(shared.value, np.uint8), WordHashes(), []
+        bits, memo, out, held, size = np.frombuffer(shared.value, np.uint8), WordHashes(), [], [], 0
         for x in t:
-            ts, got = tokens(x, memo), []
-            for m in masks:
-                h = seeds(ts, m)
-                for k in (0, 1):
-                    if k == 0:
-                        place = np.arange(len(h))
-                    s = _slots(h[place])[k] if len(place) else np.zeros(0, np.int64)
-                    place = place[(bits[s >> 3] >> (s & 7) & 1).astype(bool)]
-                got += [{"h": a, "p": b} for a, b in zip(h[place].view(np.int64).tolist(), place.tolist())]
-            out.append(got)
+            held.append(tokens(x, memo))
+            size += len(held[-1])
+            if size >= CHUNK:
+                out += found_in(held, masks, bits)
+                held, size = [], 0
+        out += found_in(held, masks, bits)
         return pd.Series(out, dtype=object)
 
     @F.pandas_udf("boolean")

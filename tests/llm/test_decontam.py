@@ -69,3 +69,27 @@ def test_against_brute_force(spark):
     assert got == {**want, 900: [], 901: [], None: want[0]}
     assert 20 < sum(map(bool, want.values())) < 150
     assert sorted((x.doc_id for x in decontam.clean(spark, d, b).collect() if x.doc_id is not None)) == sorted(i for i, x in got.items() if not x and i is not None)
+
+
+def test_texts_hashed_at_once_equal_those_hashed_alone():
+    """Empty and short texts among others: each has its own seeds, and none that crosses into the next."""
+    from glyphflow.llm._common import WordHashes
+
+    memo, r = WordHashes(), random.Random(5)
+    texts = ["", None, "a", "a b", "a b c", *[" ".join(r.choice("abcd") for _ in range(r.randrange(30))) for _ in range(60)], "", "a b c d e"]
+    bits = np.full(1 << (decontam.SIEVE - 3), 0x55, np.uint8)
+    masks, ts = list(range(len(decontam.MASKS))), [decontam.tokens(x, memo) for x in texts]
+    want = []
+    for t in ts:
+        h = [(int(v.view(np.int64)), p) for m in masks for p, v in enumerate(decontam.seeds(t, m))]
+        want.append([(a, p) for a, p in h if not any(s % 2 for s in (int(decontam._slot(np.array([a]).view(np.uint64), k)[0]) for k in (0, 1)))])
+    got = [[(x["h"], x["p"]) for x in g] for g in decontam.found_in(ts, masks, bits)]
+    assert got == want and any(want) and not want[0]
+
+
+def test_tokens_of_ascii_equal_the_expression():
+    from glyphflow.llm._common import WordHashes
+
+    memo = WordHashes()
+    for x in ["".join(map(chr, range(128))), "A_b-c9\x00d\x1ce", "É_a", "", "__", "x\x7fy"]:
+        assert decontam.tokens(x, memo).tolist() == memo.of([w.encode() for w in decontam._TOKEN.findall(x.lower())]).tolist()
