@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -103,3 +104,27 @@ def test_tables_go_and_shares_change_nothing(spark, tmp_path, monkeypatch):
     got = nearcopies.dedup(spark, spark.createDataFrame(rows, SCHEMA))
     assert len(list(tmp_path.glob("glyphflow/*/*"))) <= 3
     assert Counter((r.doc_id, r.text or "") for r in got.collect()) == survivors(rows)[0]
+
+
+def test_large_group_is_not_all_pairs(spark, monkeypatch):
+    """Edited copies of one text, many too far from all others: what is compared grows with the group, not with its square."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(400):
+        t = list(base)
+        for k in r.sample(range(0, 150, 5), i % 6):
+            t[k] = word()
+        rows.append((i, " ".join(t), "h/p"))
+    compared, keep = [], _common.Scratch.keep
+
+    def counted(self, df, *args, **named):
+        out = keep(self, df, *args, **named)
+        if sys._getframe(1).f_code.co_name == "verified":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(_common.Scratch, "keep", counted)
+    got = nearcopies.dedup(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((x.doc_id, x.text) for x in got) == survivors(rows)[0]
+    assert compared and max(compared) < 10 * len(rows)
