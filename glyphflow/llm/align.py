@@ -50,7 +50,7 @@ _RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPAN, _BLANK, _BORDER = re.compile(rb"[^\x03]*\x03"), re.compile(f"[{_WHITE}]{{4096}}"), re.compile(f"(?<=[^{_WHITE}])(?= )")
 _GROUPS = T.ArrayType(T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in "ab"]))
-_ZSTD = {"spark__sql__parquet__compression__codec": "zstd", "spark__sql__execution__arrow__maxRecordsPerBatch": "2000"}
+_ZSTD = {"spark__sql__parquet__compression__codec": "zstd", "spark__sql__execution__arrow__maxRecordsPerBatch": "500"}
 
 
 class _Sizes(dict):
@@ -202,6 +202,13 @@ def _aligner(*files: str) -> Aligner:
     return Aligner(*files)
 
 
+def _without_tokenizers() -> None:
+    """Gives the tokenizers of a worker back, whose later tasks need them no more but would keep them."""
+    _aligner.cache_clear()
+    _library.cache_clear()
+    sentencepiece.pieces.cache_clear()
+
+
 def _ints(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All 32-bit integers of a binary column and how many every row has."""
     ends = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, 4 * packed.offset) if len(packed) else np.zeros(1, np.int32)
@@ -305,6 +312,7 @@ def links(encoded: DataFrame) -> DataFrame:
     """pair, n (documents that hold it linked), best (whether no pair of its A id is in more)."""
 
     def counted(batches):
+        _without_tokenizers()
         held, size = [], 0
 
         def out():
@@ -352,6 +360,7 @@ def align(spark: SparkSession, docs: DataFrame, keep: list[str], text: str = "te
 
     @F.arrow_udf("n_links long, n_best long, count_sum long, pair array<long>, times array<long>")
     def scored(a: pa.Array, b: pa.Array, sizes: pa.Array) -> pa.Array:
+        _without_tokenizers()
         pairs, n, best = shared.value
         out = []
         for part in _slices(a, b, sizes):

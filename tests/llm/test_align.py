@@ -85,3 +85,9 @@ def test_wide_groups_and_blocks(monkeypatch):
 
 def test_empty_table(spark):
     assert align.align(spark, spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
+def test_later_tasks_give_tokenizers_back():
+    align._aligner(align.A_RANKS, align.A_FILE, align.B_FILE)
+    align._without_tokenizers()
+    assert align._aligner.cache_info().currsize == align._library.cache_info().currsize == 0
