@@ -16,6 +16,7 @@ import re
 import zlib
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from ._common import table
 
 SAMPLE, PATHS, WORDS, HIDDEN, EPOCHS = 64, 96, 32, 16, 12
+#: Pages that a worker holds as blocks; blocks that are read side by side, those of one page at least.
+SLICE, TOGETHER = 256, 8_192
 # Tags that never hold text, tags inside a line, void tags, and what marks training blocks as boilerplate.
 SILENT = {"script", "style", "noscript", "template", "title", "svg", "select", "textarea", "iframe"}
 INLINE = set("a abbr b bdi bdo cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -128,13 +131,15 @@ def blocks(page: str | None) -> list[tuple[str, tuple[int, ...], bool]]:
 
 
 def vectors(page: list[tuple[str, tuple[int, ...], bool]]) -> np.ndarray:
-    out = np.zeros((len(page), PATHS + WORDS))
-    for row, (text, path, _) in zip(out, page):
-        for c in path:
-            row[c] = 1
-        words = text.split()
-        for w in words:
-            row[_word_cell(w)] += 1 / len(words)
+    width = PATHS + WORDS
+    words = [text.split() for text, *_ in page]
+    many = np.array([len(w) for w in words], np.int64)
+    cells = np.fromiter(map(_word_cell, chain.from_iterable(words)), np.int64, int(many.sum()))
+    at = np.repeat(np.arange(len(page)) * width, many) + cells
+    out = np.bincount(at, np.repeat(1 / np.maximum(many, 1), many), len(page) * width).reshape(len(page), width)
+    paths = [path for _, path, _ in page]
+    rows = np.repeat(np.arange(len(page)), [len(x) for x in paths])
+    out[rows, np.fromiter(chain.from_iterable(paths), np.int64, len(rows))] = 1
     return out
 
 
@@ -168,6 +173,38 @@ class Labeller:
             return np.zeros(0)
         return _sigmoid(np.hstack([self._run(x, "f")[2][1:], self._run(x[::-1], "b")[2][:0:-1]]) @ self.p["o"] + self.p["z"])
 
+    def _read(self, pre: np.ndarray, s: str, first: np.ndarray, step: int, n: np.ndarray) -> np.ndarray:
+        """The hidden states of many pages at once. ``first``: row of ``pre`` where a page begins, ``n``: its blocks, most first."""
+        k, wh, hs = HIDDEN, self.p["h" + s], np.zeros((len(pre), HIDDEN))
+        h, c = np.zeros((len(n), k)), np.zeros((len(n), k))
+        for t, live in enumerate(np.searchsorted(-n, -np.arange(n[0]) if len(n) else []).tolist()):
+            rows = first[:live] + step * t
+            a = pre[rows] + h[:live] @ wh
+            g, top = _sigmoid(a[:, : 3 * k]), np.tanh(a[:, 3 * k :])
+            c = g[:, k : 2 * k] * c[:live] + g[:, :k] * top
+            h = g[:, 2 * k :] * np.tanh(c)
+            hs[rows] = h
+        return hs
+
+    def probabilities_of(self, pages: list[list[tuple[str, tuple[int, ...], bool]]]) -> list[np.ndarray]:
+        """``probabilities`` of the blocks of every page, pages of about TOGETHER blocks read side by side."""
+        out, at = [], 0
+        while at < len(pages):
+            stop, held = at, 0
+            while stop < len(pages) and (stop == at or held + len(pages[stop]) <= TOGETHER):
+                held += len(pages[stop])
+                stop += 1
+            part = pages[at:stop]
+            n = np.array([len(b) for b in part], np.int64)
+            ends, order = np.cumsum(n), np.argsort(-n, kind="stable")
+            x = vectors(list(chain.from_iterable(part)))
+            first = {"f": ((ends - n)[order], 1), "b": ((ends - 1)[order], -1)}
+            hidden = [self._read(x @ self.p["x" + s] + self.p["c" + s], s, *first[s], n[order]) for s in "fb"]
+            p = _sigmoid(np.hstack(hidden) @ self.p["o"] + self.p["z"])
+            out += np.split(p, ends[:-1])
+            at = stop
+        return out
+
     def _back(self, x, s, run, dh_out, grad):
         (gates, cells, hs), k = run, HIDDEN
         da, dh, dc = np.zeros_like(gates), np.zeros(k), np.zeros(k)
@@ -223,9 +260,9 @@ def extract(spark: SparkSession, pages: DataFrame, model: Labeller, keep: list[s
     @F.pandas_udf("string")
     def of(page: pd.Series) -> pd.Series:
         out = []
-        for x in page:
-            b = blocks(x)
-            out.append(" ".join(t for (t, *_), p in zip(b, shared.value.probabilities(vectors(b))) if p > 0.5))
+        for at in range(0, len(page), SLICE):
+            read = [blocks(x) for x in page.iloc[at : at + SLICE]]
+            out += [" ".join(t for (t, *_), own in zip(b, (p > 0.5).tolist()) if own) for b, p in zip(read, shared.value.probabilities_of(read))]
         return pd.Series(out, dtype=object)
 
     return pages.select(*keep, of(F.col(html)).alias("text"))

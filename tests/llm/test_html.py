@@ -3,6 +3,8 @@
 import html as H
 import re
 
+import numpy as np
+
 from glyphflow.llm import html
 
 
@@ -43,3 +45,16 @@ def test_hostile_page_is_linear():
         assert len(html.blocks("<div>x</span></b>" * n)) == n and len(html.blocks("<li>y" * n)) == n
         took.append(time.process_time() - start)
     assert took[1] < 10 * took[0] + 0.5
+
+
+def test_pages_side_by_side(spark, monkeypatch):
+    """Pages read side by side get the probabilities that each gets alone, whatever their lengths."""
+    pages = [html.blocks("".join(f"<p class='c{k % 5}'>word{k % 7} {'text ' * (k % 4)}</p>" for k in range(n))) for n in (3, 0, 1, 40, 3, 0, 17, 2)]
+    model = html.Labeller()
+    alone = [model.probabilities(html.vectors(b)) for b in pages]
+    for together in (1, 20, 8_192):
+        monkeypatch.setattr(html, "TOGETHER", together)
+        got = model.probabilities_of(pages)
+        assert [len(p) for p in got] == [len(b) for b in pages]
+        assert all(np.allclose(x, y, rtol=0, atol=1e-12) for x, y in zip(alone, got))
+    assert model.probabilities_of([]) == []
