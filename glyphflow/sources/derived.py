@@ -60,7 +60,7 @@ def colour_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D10: image_id, box_id, quad, text, width, height: COLOUR_BOXES on every image of D5, which is 16 wide."""
     rows = [(b, [{"x": x, "y": y} for x, y in q], t) for b, q, t in COLOUR_BOXES]
     kinds = F.explode(F.array(*[F.struct(F.lit(b).cast("long").alias("box_id"), F.array(*[F.struct(F.lit(p["x"]).cast("long").alias("x"), F.lit(p["y"]).cast("long").alias("y")) for p in q]).alias("quad"), F.lit(t).alias("text")) for b, q, t in rows]))
-    sizes = pixels(spark, sf_dir).groupBy("image_id").agg((F.max("y") + 1).alias("height"))
+    sizes = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("image_id")).agg(F.expr("(count(*) - 1) div 16 + 1").alias("height"))
     return sizes.select("image_id", "height", kinds.alias("k")).select("image_id", "k.*", F.lit(16).cast("long").alias("width"), "height")
 
 

@@ -5,6 +5,7 @@ import random
 import sys
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark import cloudpickle
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions import geometry as g
 from glyphflow.operators import colour, grid, raster, recognise, requests, trees
+from glyphflow.plans import composed
 from glyphflow.plans import workflow as W
 from glyphflow.sources import charset, images
 
@@ -60,6 +62,49 @@ def test_ring_decides_only_where_the_box_leaves_no_ground(spark):
     assert {(r.cr, r.cg, r.cb) for r in colour.judged(far).collect()} == {dark}
 
 
+def random_pages(n=16, seed=8):
+    """Pages of a few coarse colours, some channels unknown, with straight and slanted boxes at odd places."""
+    r, out, boxes = np.random.default_rng(seed), [], []
+    for k in range(n):
+        w, h = (int(v) for v in r.integers(8, 90, 2))
+        a = r.integers(0, 5, (-(-h // 3), -(-w // 4), 3)).repeat(3, 0).repeat(4, 1)[:h, :w] * 60
+        a[r.random((h, w)) < 0.4] = r.integers(0, 2) * 250
+        gaps = r.random((h, w, 3)) < (0.05 if k % 3 == 0 else 0)
+        out += [(k, x, y, *(None if gaps[y, x, c] else int(a[y, x, c]) for c in range(3))) for y in range(h) for x in range(w)]
+        for b in range(5):
+            x0, y0, x1, y1 = (int(v) for v in r.integers(-10, 95, 4))
+            quad = rect(min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)) if b % 2 else [(int(x), int(y)) for x, y in r.integers(-5, 70, (4, 2))]
+            boxes.append((k, b, quad, ["some words here", "", None, "ab", "x" * 40][int(r.integers(5))], w, h))
+    return out, boxes
+
+
+def test_colours_by_vectors_and_by_windows_are_the_same(spark):
+    rows, boxes = random_pages()
+    p, b = spark.createDataFrame(rows, PIXEL).cache(), spark.createDataFrame(boxes, BOX)
+    told = lambda f, most: sorted(map(repr, f(p, b, most).collect()))
+    for f, least in ((colour.word_colours, 5), (colour.text_colours, 30)):
+        want = told(f, 0)
+        assert len(want) >= least and told(f, 3000) == want == told(f, colour.MOST)
+    p.unpersist()
+
+
+def test_colours_shuffle_a_box_and_not_its_pixels(spark):
+    p, b = (spark.createDataFrame(x, y) for x, y in ((page(1, 40, 10, (2, 2, 10, 8, RED)), PIXEL), ([(1, 1, rect(0, 0, 40, 10), "ab cd", 40, 10)], BOX)))
+    for f in (colour.word_colours, colour.text_colours):
+        plan = f(p, b)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Window" not in plan
+
+
+def test_colours_of_events_without_value_equal_sql(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("value", F.when(F.col("event_id") % 4 != 0, F.col("value")))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = composed.QUERIES["box_text_color"](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({composed.SQL['box_text_color']})").fetchall()
+    assert len(want) == 75 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 T0 = datetime(2024, 1, 1)
 
 
